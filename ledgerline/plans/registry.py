@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from ledgerline.functions import exprs
 from ledgerline.functions.exprs import naive_utc
 from ledgerline.operators import staging
 from ledgerline.plans import marts, models
@@ -103,5 +104,117 @@ def q_dim_loans(spark, d):
     return dim_a(spark, d)
 
 
+# --- marts and KPIs ----------------------------------------------------------
+
+HISTORY_ACCOUNT = "7"   # the account whose balance history the history query returns
+
+
+def mot_o(spark, d):
+    return models.portfolio_daily(daily_o(spark, d))
+
+
+@register("accounts_latest")
+def q_accounts_latest(spark, d):
+    """Every account at its latest version, ordered by name, NULL names last (A)."""
+    return marts.accounts_latest(stg_a(spark, d))
+
+
+@register("account_history")
+def q_account_history(spark, d):
+    """Daily balance history of one account (B)."""
+    return marts.account_history(daily_b(spark, d), HISTORY_ACCOUNT)
+
+
+@register("portfolio_series")
+def q_portfolio_series(spark, d):
+    """Multi-year daily portfolio series (O)."""
+    return marts.portfolio_series(mot_o(spark, d))
+
+
+@register("latest_snapshot")
+def q_latest_snapshot(spark, d):
+    """Freshness probe: newest snapshot date as text (O)."""
+    return marts.latest_snapshot(mot_o(spark, d))
+
+
+@register("prev_month_end")
+def q_prev_month_end(spark, d):
+    """Latest date and the last date before its month (O)."""
+    return marts.prev_month_end(mot_o(spark, d))
+
+
+@register("latest_loan_balance")
+def q_latest_loan_balance(spark, d):
+    """Latest loan-typed balance per account, type filter before the pick (O)."""
+    return marts.latest_loan_balance(daily_o(spark, d))
+
+
+@register("loan_balance_join")
+def q_loan_balance_join(spark, d):
+    """Loan dimension joined with each loan's latest balance (A x O)."""
+    return marts.loan_balance_join(dim_a(spark, d), marts.latest_loan_balance(daily_o(spark, d)))
+
+
+@register("weighted_rate")
+def q_weighted_rate(spark, d):
+    """Balance-weighted interest rate and total exposure (A x O)."""
+    return marts.weighted_rate(marts.loan_balance_join(dim_a(spark, d), marts.latest_loan_balance(daily_o(spark, d))))
+
+
+@register("loan_kpis")
+def q_loan_kpis(spark, d):
+    """Loan KPI row: total net debt, monthly change, weighted rate (A x O)."""
+    daily = daily_o(spark, d)
+    return marts.loan_kpis(models.portfolio_daily(daily), dim_a(spark, d), daily)
+
+
+# --- scalar functions on landed accounts (A) ----------------------------------
+
+@register("type_normalise")
+def q_type_normalise(spark, d):
+    """Account type as landed and normalised (upper/trim, NULL -> '')."""
+    raw = fixtures.raw_accounts(spark, d)
+    return raw.select(F.col("_id").alias("account_id"), "_dlt_load_id", F.col("type").alias("raw_type"),
+                      exprs.normalise_type("type").alias("account_type"))
+
+
+@register("credit_flag")
+def q_credit_flag(spark, d):
+    """Credit-card flag from the landed type text."""
+    raw = fixtures.raw_accounts(spark, d)
+    return raw.select(F.col("_id").alias("account_id"), "_dlt_load_id", F.col("type").alias("raw_type"),
+                      exprs.credit_flag("type").alias("is_credit_card"))
+
+
+@register("blank_to_null_cast")
+def q_blank_to_null_cast(spark, d):
+    """Blank-to-NULL then strict casts: numeric, int (rounding), boolean, instant."""
+    raw = fixtures.raw_accounts(spark, d)
+    L = staging.LOAN
+    return raw.select(
+        F.col("_dlt_load_id"),
+        exprs.to_numeric(L + "interest__rate").alias("loan_interest_rate"),
+        exprs.to_numeric(L + "initial_principal").alias("loan_initial_principal"),
+        exprs.text_to_int(L + "term__years").alias("term_years"),
+        exprs.text_to_int(L + "term__months").alias("term_months"),
+        exprs.to_bool(L + "is_interest_only").alias("is_interest_only"),
+        exprs.to_instant(L + "matures_at").alias("loan_matures_at"),
+    )
+
+
+@register("variant_coalesce")
+def q_variant_coalesce(spark, d):
+    """Text amount if non-blank, else the double-typed variant column."""
+    raw = fixtures.raw_accounts(spark, d)
+    L = staging.LOAN + "repayment__"
+    return raw.select(
+        F.col("_dlt_load_id"),
+        F.col(L + "next_amount").alias("next_amount_text"),
+        F.col(L + "next_amount__v_double").alias("next_amount_double"),
+        staging.variant_coalesce(F.col(L + "next_amount"), F.col(L + "next_amount__v_double"))
+        .alias("repayment_next_amount"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
