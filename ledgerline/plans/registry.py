@@ -15,10 +15,12 @@ from pyspark.sql.types import TimestampType
 
 from ledgerline.functions import exprs
 from ledgerline.functions.exprs import naive_utc
-from ledgerline.operators import staging
+from ledgerline.operators import ingest, projection, quality, staging
+from ledgerline.operators.merge import dedupe_batch, merge_by_key
 from ledgerline.plans import marts, models
 from ledgerline.session import prepare
-from ledgerline.sources import fixtures
+from ledgerline.sources import fixtures, landed, sinks
+from ledgerline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,5 +218,197 @@ def q_variant_coalesce(spark, d):
     )
 
 
+# --- ingest: envelopes, keys, snapshots, merges --------------------------------
+
+AS_OF = "2024-07-01T12:00:00Z"     # run instant of the snapshot query (next day in Auckland)
+SPLIT_DATE = "1998-01-01"          # versions landed before it form the first load
+MERGE_TARGET_LAST = "2024-01-20"   # balance merge: target holds days up to this one
+MERGE_INCOMING_FIRST = "2024-01-15"  # incoming re-run starts here (overlap with the target)
+ROLL_START, ROLL_DAYS = "2024-01-01", 181
+
+
+def _unwrapped(spark, d):
+    rec = fixtures.api_records(spark, d, faults=True)
+    shape = F.col("_dlt_load_id").cast("long") % 4
+    return landed.unwrap_envelopes(landed.envelope_bodies(rec, shape), rec.schema)
+
+
+@register("envelope_unwrap")
+def q_envelope_unwrap(spark, d):
+    """Records recovered from bare-array, items, result and empty-items envelopes."""
+    return landed.flatten_struct(_unwrapped(spark, d).drop("meta"))
+
+
+@register("accounts_keyed")
+def q_accounts_keyed(spark, d):
+    """Unwrapped records with a usable key only."""
+    return landed.flatten_struct(landed.keyed_records(_unwrapped(spark, d)).drop("meta"))
+
+
+@register("flatten_struct")
+def q_flatten_struct(spark, d):
+    """Nested account records flattened to `a__b__c` columns (the landed accounts table)."""
+    return fixtures.raw_accounts(spark, d)
+
+
+@register("balance_snapshot")
+def q_balance_snapshot(spark, d):
+    """One balance row per keyed record for a run at AS_OF."""
+    return ingest.balance_snapshot(fixtures.api_records(spark, d, faults=True), AS_OF)
+
+
+@register("ingest_metrics")
+def q_ingest_metrics(spark, d):
+    """Record count and latest parseable refresh time of a fetch."""
+    return ingest.ingest_metrics(fixtures.api_records(spark, d, faults=True))
+
+
+@register("local_snapshot_date")
+def q_local_snapshot_date(spark, d):
+    """UTC event times to their calendar date in Pacific/Auckland."""
+    ev = read_table(spark, d, "events", ["event_id", "ts"])
+    return ev.select("event_id", "ts", exprs.local_date("ts").alias("local_date"))
+
+
+@register("append_evolve")
+def q_append_evolve(spark, d):
+    """Two loads of the accounts table; the older lacks the variant column."""
+    raw = fixtures.raw_accounts(spark, d, with_load_date=True)
+    old = raw.filter(F.col("_load_date") < F.lit(SPLIT_DATE).cast("date"))
+    new = raw.filter(F.col("_load_date") >= F.lit(SPLIT_DATE).cast("date"))
+    v = staging.LOAN + "repayment__next_amount__v_double"
+    return landed.append_evolve(old.drop(v, "_load_date"), new.drop("_load_date"))
+
+
+@register("merge_accounts")
+def q_merge_accounts(spark, d):
+    """Upsert of the later load into the accounts table on `_id`."""
+    raw = fixtures.raw_accounts(spark, d, with_load_date=True)
+    split = F.lit(SPLIT_DATE).cast("date")
+    order = [("_dlt_load_id", "desc")]
+    target = dedupe_batch(raw.filter(F.col("_load_date") < split).drop("_load_date"), ["_id"], order)
+    incoming = raw.filter(F.col("_load_date") >= split).drop("_load_date")
+    return merge_by_key(target, incoming, ["_id"], order)
+
+
+@register("merge_balances")
+def q_merge_balances(spark, d):
+    """Upsert on (account_id, snapshot_date): an overlapping re-run replaces the days it covers."""
+    stg = stg_b(spark, d)
+    target = models.daily_balances(stg.filter(F.col("snapshot_date") <= F.lit(MERGE_TARGET_LAST).cast("date")))
+    incoming = (stg.filter((F.col("snapshot_date") >= F.lit(MERGE_INCOMING_FIRST).cast("date"))
+                           & (F.col("current_balance") >= 1))
+                   .withColumnRenamed("snapshot_at", "last_snapshot_at").select(*models.DAILY_COLUMNS))
+    order = [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")]
+    return merge_by_key(target, incoming, ["account_id", "snapshot_date"], order)
+
+
+@register("raw_json_fields")
+def q_raw_json_fields(spark, d):
+    """Decode the raw JSON payload and encode a field back to JSON."""
+    ev = read_table(spark, d, "events", ["event_id", "props"])
+    k = F.from_json("props", "k int").getField("k")
+    return ev.select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"))).alias("k_json"))
+
+
+@register("rows_to_json")
+def q_rows_to_json(spark, d):
+    """Portfolio rows as JSON objects, as an API returns them (B)."""
+    return sinks.rows_to_json(marts.portfolio_series(models.portfolio_daily(daily_b(spark, d))))
+
+
+@register("parse_or_default")
+def q_parse_or_default(spark, d):
+    """Number from text, default when blank or unparseable (B)."""
+    raw = fixtures.raw_balances_intraday(spark, d)
+    return raw.select("account_id", "_dlt_load_id", exprs.parse_or_default("current").alias("amount"))
+
+
+@register("money_round")
+def q_money_round(spark, d):
+    """Money amounts rounded half-up to cents."""
+    ev = read_table(spark, d, "events", ["event_id", "value"])
+    return ev.select("event_id", exprs.money_round(F.col("value") * F.lit(1.075)).alias("amount_with_tax"))
+
+
+# --- data quality ----------------------------------------------------------------
+
+def _checked_models(spark, d):
+    daily = daily_b(spark, d)
+    return {
+        "stg_accounts": stg_a(spark, d),
+        "stg_balances": stg_b(spark, d),
+        "daily_balances": daily,
+        "portfolio_daily": models.portfolio_daily(daily),
+        "dim_loans": dim_a(spark, d),
+    }
+
+
+NOT_NULL = {
+    "stg_accounts": ["account_id"],
+    "stg_balances": ["account_id", "snapshot_date"],
+    "daily_balances": ["account_id", "snapshot_date"],
+    "portfolio_daily": ["snapshot_date"],
+    "dim_loans": ["account_id"],
+}
+UNIQUE = {"stg_accounts": ["account_id"], "dim_loans": ["account_id"]}
+
+
+@register("dq_not_null")
+def q_dq_not_null(spark, d):
+    """not_null checks of the model graph: failing row count per (model, column)."""
+    m = _checked_models(spark, d)
+    return quality.run_checks({k: (m[k], cols) for k, cols in NOT_NULL.items()}, {})
+
+
+@register("dq_unique")
+def q_dq_unique(spark, d):
+    """unique checks: number of keys that occur more than once."""
+    m = _checked_models(spark, d)
+    return quality.run_checks({}, {k: (m[k], cols) for k, cols in UNIQUE.items()})
+
+
+# --- development (lenient) variants ----------------------------------------------
+
+@register("stg_accounts_lenient")
+def q_stg_accounts_lenient(spark, d):
+    """Accounts staging without normalisation, casts or key filter (A)."""
+    return staging.stg_accounts_lenient(fixtures.raw_accounts(spark, d))
+
+
+@register("daily_balances_lenient")
+def q_daily_balances_lenient(spark, d):
+    """Daily balances without dedupe, try_cast amounts (B)."""
+    return staging.daily_balances_lenient(fixtures.raw_balances_intraday(spark, d))
+
+
+@register("portfolio_daily_lenient")
+def q_portfolio_daily_lenient(spark, d):
+    """Daily totals over undeduplicated landed rows, double amounts (B)."""
+    return models.portfolio_daily_lenient(fixtures.raw_balances_intraday(spark, d))
+
+
+@register("dim_loans_lenient")
+def q_dim_loans_lenient(spark, d):
+    """Every LOAN-typed account version with its rate as double (A)."""
+    return models.dim_loans_lenient(staging.stg_accounts_lenient(fixtures.raw_accounts(spark, d)))
+
+
+# --- spines and projections --------------------------------------------------------
+
+@register("account_date_spine")
+def q_account_date_spine(spark, d):
+    """One row per account per day between its first and last snapshot (B)."""
+    return projection.date_spine(stg_b(spark, d))
+
+
+@register("loan_rollforward")
+def q_loan_rollforward(spark, d):
+    """Daily balance roll-forward of every loan at its latest version (A)."""
+    latest = dedupe_batch(fixtures.raw_accounts(spark, d), ["_id"], [("_dlt_load_id", "desc")])
+    params = projection.loan_parameters(latest, ROLL_START)
+    return projection.loan_rollforward(params, ROLL_START, ROLL_DAYS)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

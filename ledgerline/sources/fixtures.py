@@ -70,7 +70,7 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey)
 
 
-def api_records(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
+def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load_date: bool = False) -> DataFrame:
     """Nested account records (one per order), plus ``_dlt_load_id`` = order key text.
 
     ``faults`` injects records an API may send: ``_id`` '' or NULL, missing
@@ -135,13 +135,18 @@ def api_records(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFr
         if faults else F.struct(refreshed_at.alias("balance")).alias("refreshed"),
         F.struct(loan_details.alias("loan_details")).alias("meta"),
         k.cast("string").alias("_dlt_load_id"),
+        *([ts.cast("date").alias("_load_date")] if with_load_date else []),
     )
 
 
-def raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(A) landed accounts table: key, name, type, status, flattened ``meta`` and load id."""
-    rec = api_records(spark, sf_dir, faults=False)
-    return flatten_struct(rec.select("_id", "name", "type", "status", "meta", "_dlt_load_id"))
+def raw_accounts(spark: SparkSession, sf_dir: str, with_load_date: bool = False) -> DataFrame:
+    """(A) landed accounts table: key, name, type, status, flattened ``meta`` and load id.
+
+    ``with_load_date`` adds ``_load_date`` (the order date), the day the version landed.
+    """
+    rec = api_records(spark, sf_dir, faults=False, with_load_date=with_load_date)
+    cols = ["_id", "name", "type", "status", "meta", "_dlt_load_id"] + (["_load_date"] if with_load_date else [])
+    return flatten_struct(rec.select(*cols))
 
 
 def raw_balances_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
