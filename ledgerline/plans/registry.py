@@ -410,5 +410,42 @@ def q_loan_rollforward(spark, d):
     return projection.loan_rollforward(params, ROLL_START, ROLL_DAYS)
 
 
+# --- streaming ------------------------------------------------------------------
+
+def _landed_balances(spark, d):
+    """Land the staged intraday snapshots (B) as parquet files for a file stream."""
+    from ledgerline.session import scratch_path
+    stg = stg_b(spark, d).withColumnRenamed("snapshot_at", "last_snapshot_at").select(*models.DAILY_COLUMNS)
+    path = scratch_path(spark, "landed-balances")
+    stg.repartition(6, "snapshot_date").write.parquet(path)
+    return path, stg.schema
+
+
+@register("stream_merge_balances")
+def q_stream_merge_balances(spark, d):
+    """Landed snapshot files merged batch by batch into the daily table (B)."""
+    from ledgerline.session import scratch_path
+    from ledgerline.streaming.merge_stream import incremental_merge
+    src, schema = _landed_balances(spark, d)
+    target = scratch_path(spark, "daily-balances-t1")
+    incremental_merge(spark, src, schema, target, ["account_id", "snapshot_date"],
+                      [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
+                      scratch_path(spark, "ckpt-t1"), max_files_per_trigger=2)
+    return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
+
+
+@register("stream_latest_balances")
+def q_stream_latest_balances(spark, d):
+    """Streaming state keeps the latest snapshot per account-day (B)."""
+    from ledgerline.session import scratch_path
+    from ledgerline.streaming.merge_stream import latest_state_stream
+    src, schema = _landed_balances(spark, d)
+    target = scratch_path(spark, "daily-balances-t2")
+    latest_state_stream(spark, src, schema, target, ["account_id", "snapshot_date"],
+                        [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
+                        scratch_path(spark, "ckpt-t2"), max_files_per_trigger=2)
+    return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

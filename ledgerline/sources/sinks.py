@@ -31,12 +31,18 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, root: str):
-    """The newest complete version of a versioned table, or None when there is none."""
+def latest_version(spark: SparkSession, root: str, before: int | None = None):
+    """The newest version of a versioned table (below ``before`` if given), or None.
+
+    Passing ``before`` = the version being written makes a retried write start
+    from the same base as the first attempt.
+    """
     try:
-        versions = spark.read.parquet(root).select("version").distinct()
-    except Exception:
+        versions = spark.read.parquet(root).select("version")
+    except Exception:  # no version written yet
         return None
+    if before is not None:
+        versions = versions.filter(F.col("version") < before)
     row = versions.agg(F.max("version").alias("v")).first()
     if row is None or row.v is None:
         return None
@@ -44,7 +50,7 @@ def latest_version(spark: SparkSession, root: str):
 
 
 def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str],
-                      order: list, partition_col: str) -> None:
+                      order: list, partition_col: str, order_proof: bool = False) -> None:
     """Merge ``incoming`` into the table at ``path`` partitioned by ``partition_col``.
 
     Only the partitions touched by ``incoming`` are read (a semi-join on the
@@ -59,7 +65,7 @@ def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys:
     else:
         touched = incoming.select(partition_col).distinct()
         target = target.join(touched, partition_col, "left_semi")
-        merged = merge_by_key(target, incoming, keys, order)
+        merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
     # cut the lineage to the files about to be replaced
     merged = merged.checkpoint(eager=True)
     # rows are already hash-partitioned by the merge keys: no extra shuffle,
