@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.sources.landed import flatten_struct
 from ledgerline.sources.tables import read_table
 
 CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -70,6 +69,88 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey)
 
 
+def _account_tree(k: Column, ck: Column, ts: Column, faults: bool) -> dict:
+    """The account record as a tree of columns (dict = struct), in API field order."""
+    acct_id = ck.cast("string")
+    if faults:
+        acct_id = (F.when(k % 50 == 7, F.lit(""))
+                    .when(k % 50 == 8, F.lit(None).cast("string"))
+                    .otherwise(acct_id))
+    refreshed_at = F.date_format(
+        ts + F.make_dt_interval(secs=(k % 86400).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    if faults:
+        refreshed_at = (F.when(k % 13 == 0, F.lit("pending"))
+                         .when(k % 17 == 0, F.lit(""))
+                         .otherwise(refreshed_at))
+    return {
+        "_id": acct_id,
+        "name": account_name(ck, F.col("c_name")),
+        "type": version_type(k, F.col("c_mktsegment"), ck),
+        "status": F.when(F.col("o_orderstatus") == "F", F.lit("INACTIVE")).otherwise(F.lit("ACTIVE")),
+        "connection": ({"name": F.concat(F.lit("Bank "), F.col("c_nationkey").cast("string"))},
+                       (k % 23 == 0) if faults else None),
+        "balance": ({
+            "currency": F.lit("NZD"),
+            "current": F.col("o_totalprice"),
+            "available": F.col("c_acctbal"),
+            "limit": F.when(F.col("o_orderstatus") == "O", F.lit(600000.0)),
+            "overdrawn": F.col("c_acctbal") < 0,
+        }, (k % 19 == 0) if faults else None),
+        "refreshed": ({"balance": refreshed_at}, (k % 29 == 0) if faults else None),
+        "meta": {"loan_details": {
+            "interest": {
+                "rate": F.when(ck % 5 == 0, F.lit(""))
+                         .otherwise(((k % 400 + 200) / F.lit(100.0)).cast("decimal(18,3)").cast("string")),
+                "type": F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), F.lit("floating"))
+                         .otherwise(F.lit("fixed")),
+                "expires_at": _ts_text(ts, 1095),
+            },
+            "is_interest_only": F.when(k % 3 == 0, F.lit("true")).when(k % 3 == 1, F.lit("false"))
+                                 .otherwise(F.lit("")),
+            "term": {
+                "years": F.when(k % 5 == 0, F.lit("30")).when(k % 5 == 1, F.lit("25.5"))
+                          .when(k % 5 == 2, F.lit("")).when(k % 5 == 3, F.lit("30.4996"))
+                          .otherwise(F.concat((k % 21 + 10).cast("string"), F.lit(".7"))),
+                "months": (k % 12).cast("string"),
+            },
+            "matures_at": _ts_text(ts, 10950),
+            "initial_principal": F.when(k % 9 == 0, F.lit(""))
+                                  .otherwise((F.col("o_totalprice").cast("decimal(18,2)") * 4).cast("string")),
+            "repayment": {
+                "frequency": F.when(k % 2 == 0, F.lit("monthly")).otherwise(F.lit("fortnightly")),
+                "next_date": _ts_text(ts, 30),
+                "next_amount": F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(None).cast("string"))
+                                .otherwise(F.concat((k % 5000).cast("string"), F.lit(".25"))),
+                "next_amount__v_double": F.when(k % 2 == 0, F.col("o_totalprice")),
+            },
+        }},
+    }
+
+
+def _nested(node) -> Column:
+    """Tree -> struct column; a (tree, missing) pair gives NULL where ``missing`` holds."""
+    if isinstance(node, tuple):
+        tree, missing = node
+        built = _nested(tree)
+        return built if missing is None else F.when(missing, F.lit(None)).otherwise(built)
+    if isinstance(node, dict):
+        return F.struct(*[_nested(v).alias(name) for name, v in node.items()])
+    return node
+
+
+def _flat(node, prefix: str = "", missing=None):
+    """Tree -> flat ``a__b__c`` columns, the same values ``flatten_struct(_nested(tree))`` gives."""
+    if isinstance(node, tuple):
+        tree, miss = node
+        both = miss if missing is None else (missing if miss is None else (missing | miss))
+        yield from _flat(tree, prefix, both)
+    elif isinstance(node, dict):
+        for name, v in node.items():
+            yield from _flat(v, f"{prefix}{name}" if not prefix else f"{prefix}__{name}", missing)
+    else:
+        yield (node if missing is None else F.when(missing, F.lit(None)).otherwise(node)).alias(prefix)
+
+
 def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load_date: bool = False) -> DataFrame:
     """Nested account records (one per order), plus ``_dlt_load_id`` = order key text.
 
@@ -78,62 +159,9 @@ def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load
     """
     j = customer_orders(spark, sf_dir)
     k, ck, ts = F.col("o_orderkey"), F.col("c_custkey"), F.col("o_orderdate")
-    acct_id = ck.cast("string")
-    if faults:
-        acct_id = (F.when(k % 50 == 7, F.lit(""))
-                    .when(k % 50 == 8, F.lit(None).cast("string"))
-                    .otherwise(acct_id))
-    refreshed_at = F.date_format(
-        ts + F.make_dt_interval(secs=(k % 86400).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    refreshed_text = (F.when(k % 13 == 0, F.lit("pending"))
-                       .when(k % 17 == 0, F.lit(""))
-                       .otherwise(refreshed_at))
-    balance = F.struct(
-        F.lit("NZD").alias("currency"),
-        F.col("o_totalprice").alias("current"),
-        F.col("c_acctbal").alias("available"),
-        F.when(F.col("o_orderstatus") == "O", F.lit(600000.0)).alias("limit"),
-        (F.col("c_acctbal") < 0).alias("overdrawn"),
-    )
-    loan_details = F.struct(
-        F.struct(
-            F.when(ck % 5 == 0, F.lit(""))
-             .otherwise(((k % 400 + 200) / F.lit(100.0)).cast("decimal(18,3)").cast("string")).alias("rate"),
-            F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), F.lit("floating"))
-             .otherwise(F.lit("fixed")).alias("type"),
-            _ts_text(ts, 1095).alias("expires_at"),
-        ).alias("interest"),
-        F.when(k % 3 == 0, F.lit("true")).when(k % 3 == 1, F.lit("false"))
-         .otherwise(F.lit("")).alias("is_interest_only"),
-        F.struct(
-            F.when(k % 5 == 0, F.lit("30")).when(k % 5 == 1, F.lit("25.5"))
-             .when(k % 5 == 2, F.lit("")).when(k % 5 == 3, F.lit("30.4996"))
-             .otherwise(F.concat((k % 21 + 10).cast("string"), F.lit(".7"))).alias("years"),
-            (k % 12).cast("string").alias("months"),
-        ).alias("term"),
-        _ts_text(ts, 10950).alias("matures_at"),
-        F.when(k % 9 == 0, F.lit(""))
-         .otherwise((F.col("o_totalprice").cast("decimal(18,2)") * 4).cast("string")).alias("initial_principal"),
-        F.struct(
-            F.when(k % 2 == 0, F.lit("monthly")).otherwise(F.lit("fortnightly")).alias("frequency"),
-            _ts_text(ts, 30).alias("next_date"),
-            F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(None).cast("string"))
-             .otherwise(F.concat((k % 5000).cast("string"), F.lit(".25"))).alias("next_amount"),
-            F.when(k % 2 == 0, F.col("o_totalprice")).alias("next_amount__v_double"),
-        ).alias("repayment"),
-    )
+    tree = _account_tree(k, ck, ts, faults)
     return j.select(
-        acct_id.alias("_id"),
-        account_name(ck, F.col("c_name")).alias("name"),
-        version_type(k, F.col("c_mktsegment"), ck).alias("type"),
-        F.when(F.col("o_orderstatus") == "F", F.lit("INACTIVE")).otherwise(F.lit("ACTIVE")).alias("status"),
-        F.when(k % 23 == 0, F.lit(None)).otherwise(
-            F.struct(F.concat(F.lit("Bank "), F.col("c_nationkey").cast("string")).alias("name"))
-        ).alias("connection"),
-        F.when(k % 19 == 0, F.lit(None)).otherwise(balance).alias("balance") if faults else balance.alias("balance"),
-        F.when(k % 29 == 0, F.lit(None)).otherwise(F.struct(refreshed_text.alias("balance"))).alias("refreshed")
-        if faults else F.struct(refreshed_at.alias("balance")).alias("refreshed"),
-        F.struct(loan_details.alias("loan_details")).alias("meta"),
+        *[_nested(v).alias(name) for name, v in tree.items()],
         k.cast("string").alias("_dlt_load_id"),
         *([ts.cast("date").alias("_load_date")] if with_load_date else []),
     )
@@ -142,11 +170,19 @@ def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load
 def raw_accounts(spark: SparkSession, sf_dir: str, with_load_date: bool = False) -> DataFrame:
     """(A) landed accounts table: key, name, type, status, flattened ``meta`` and load id.
 
+    Equal to ``flatten_struct`` of the record's key, name, type, status and meta
+    (see the tests), built flat so no struct is materialised per row.
     ``with_load_date`` adds ``_load_date`` (the order date), the day the version landed.
     """
-    rec = api_records(spark, sf_dir, faults=False, with_load_date=with_load_date)
-    cols = ["_id", "name", "type", "status", "meta", "_dlt_load_id"] + (["_load_date"] if with_load_date else [])
-    return flatten_struct(rec.select(*cols))
+    j = customer_orders(spark, sf_dir)
+    k, ck, ts = F.col("o_orderkey"), F.col("c_custkey"), F.col("o_orderdate")
+    tree = _account_tree(k, ck, ts, faults=False)
+    keep = {n: tree[n] for n in ("_id", "name", "type", "status", "meta")}
+    return j.select(
+        *_flat(keep),
+        k.cast("string").alias("_dlt_load_id"),
+        *([ts.cast("date").alias("_load_date")] if with_load_date else []),
+    )
 
 
 def raw_balances_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:

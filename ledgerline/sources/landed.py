@@ -27,13 +27,12 @@ def unwrap_envelopes(bodies: DataFrame, record_schema: StructType, body_col: str
     arr_t = ArrayType(record_schema)
     env_t = StructType([StructField("items", arr_t), StructField("result", arr_t)])
     body = F.col(body_col)
-    env = F.from_json(body, env_t)
-    records = (
-        F.when(F.ltrim(body).startswith("["), F.from_json(body, arr_t))
-         .when(F.size(env.getField("items")) > 0, env.getField("items"))
-         .when(F.size(env.getField("result")) > 0, env.getField("result"))
-    )
-    return bodies.select(F.explode(records).alias("_rec")).select("_rec.*")
+    # a bare array is parsed as {"items": [...]}: one JSON parse per body
+    as_env = F.when(F.ltrim(body).startswith("["), F.concat(F.lit('{"items":'), body, F.lit("}"))).otherwise(body)
+    parsed = bodies.select(F.from_json(as_env, env_t).alias("_env"))
+    items, result = F.col("_env.items"), F.col("_env.result")
+    records = F.when(F.size(items) > 0, items).when(F.size(result) > 0, result)
+    return parsed.select(F.explode(records).alias("_rec")).select("_rec.*")
 
 
 def read_landed(spark: SparkSession, path: str, record_schema: StructType) -> DataFrame:

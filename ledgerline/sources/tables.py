@@ -16,11 +16,28 @@ DRIVER_TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None,
+               spread_scan: bool = True) -> DataFrame:
     """Read one driver table (``{sf_dir}/{name}.parquet``), optionally projected."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns is not None:
         df = df.select(*columns)
+    return spread(df) if spread_scan else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a narrow scan enough tasks for the cluster.
+
+    A parquet file is split by row group, so a table stored as a few large row
+    groups scans in a few tasks and every projection before the first shuffle
+    runs on those few cores. Only then the rows are dealt round-robin to
+    ``min_partitions`` (default: the session's parallelism). A scan that already
+    has that many splits - any large table on a cluster - is returned unchanged,
+    so no shuffle is added at scale. Planning only; no job runs here.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
     return df
 
 
