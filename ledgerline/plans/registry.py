@@ -18,7 +18,7 @@ from ledgerline.functions.exprs import naive_utc
 from ledgerline.operators import ingest, projection, quality, staging
 from ledgerline.operators.merge import dedupe_batch, merge_by_key
 from ledgerline.plans import marts, models
-from ledgerline.session import prepare
+from ledgerline.session import checkpoint_root, prepare
 from ledgerline.sources import fixtures, landed, sinks
 from ledgerline.sources.tables import read_table
 
@@ -166,7 +166,10 @@ def q_weighted_rate(spark, d):
 @register("loan_kpis")
 def q_loan_kpis(spark, d):
     """Loan KPI row: total net debt, monthly change, weighted rate (A x O)."""
-    daily = daily_o(spark, d)
+    # the daily fact feeds two groupings (per day, per account): write it once to the
+    # shared checkpoint folder instead of deduplicating it twice
+    checkpoint_root(spark)
+    daily = daily_o(spark, d).select(*marts.KPI_DAILY_COLUMNS).checkpoint(eager=True)
     return marts.loan_kpis(models.portfolio_daily(daily), dim_a(spark, d), daily)
 
 
