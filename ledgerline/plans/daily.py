@@ -9,8 +9,8 @@ Folder layout under ``out_root``::
 
     raw/accounts/version=<run_no>/          landed accounts, merged on _id
     raw/account_balances/snapshot_date=.../ landed snapshots, merged on (account_id, snapshot_date)
-    fct_account_daily_balances/snapshot_date=.../
-    fct_mortgage_over_time/snapshot_date=.../
+    daily_balances/snapshot_date=.../
+    portfolio_daily/snapshot_date=.../
     quality/version=<run_no>/               check results of the run
 """
 
@@ -66,10 +66,10 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
     touched = snaps.select("snapshot_date").distinct()
     raw_bal = spark.read.parquet(bal_path).join(touched, "snapshot_date", "left_semi")
     daily = models.daily_balances(staging.stg_balances(raw_bal))
-    _overwrite_partitions(daily, _p(out_root, "fct_account_daily_balances"))
-    fct = spark.read.parquet(_p(out_root, "fct_account_daily_balances"))
+    _overwrite_partitions(daily, _p(out_root, "daily_balances"))
+    fct = spark.read.parquet(_p(out_root, "daily_balances"))
     mot = models.portfolio_daily(fct.join(touched, "snapshot_date", "left_semi"))
-    _overwrite_partitions(mot, _p(out_root, "fct_mortgage_over_time"))
+    _overwrite_partitions(mot, _p(out_root, "portfolio_daily"))
 
     checks = run_checks(spark, out_root)
     write_version(checks, _p(out_root, "quality"), run_no)
@@ -88,8 +88,8 @@ def model_frames(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
     return {
         "stg_accounts": stg_acc,
         "stg_balances": staging.stg_balances(spark.read.parquet(_p(out_root, "raw", "account_balances"))),
-        "daily_balances": spark.read.parquet(_p(out_root, "fct_account_daily_balances")),
-        "portfolio_daily": spark.read.parquet(_p(out_root, "fct_mortgage_over_time")),
+        "daily_balances": spark.read.parquet(_p(out_root, "daily_balances")),
+        "portfolio_daily": spark.read.parquet(_p(out_root, "portfolio_daily")),
         "dim_loans": models.dim_loans(stg_acc),
     }
 

@@ -63,8 +63,13 @@ def _dec_text(c: Column, scale: int = 2) -> Column:
     return c.cast(f"decimal(18,{scale})").cast("string")
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the dimension side of every adapter join: no scan spreading, its rows only feed a join
+    return read_table(spark, sf_dir, "customer", CUSTOMER_COLS, spread_scan=False)
+
+
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "customer", CUSTOMER_COLS)
+    c = _customers(spark, sf_dir)
     o = read_table(spark, sf_dir, "orders", ORDER_COLS)
     return c.join(o, c.c_custkey == o.o_custkey)
 
@@ -189,7 +194,7 @@ def raw_balances_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(B) landed balance snapshots: one per event, ~2 per account-day; each snapshot is its own
     load, so the load id (the event time as fixed-width text) orders the day's versions."""
     e = read_table(spark, sf_dir, "events", EVENT_COLS)
-    c = read_table(spark, sf_dir, "customer", CUSTOMER_COLS)
+    c = _customers(spark, sf_dir)
     j = e.join(c, e.user_id == c.c_custkey)
     eid, ts = F.col("event_id"), F.col("ts")
     return j.select(

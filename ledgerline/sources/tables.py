@@ -41,8 +41,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def resolve_table(spark: SparkSession, name: str, schemas: Iterable[str] = ("dbt", "akahu")) -> str:
-    """First schema-qualified name that exists in the catalog, else the bare name.
+def resolve_table(spark: SparkSession, name: str, schemas: Iterable[str]) -> str:
+    """First ``schema.name`` among the ordered candidate ``schemas`` that exists in the
+    catalog, else the bare name (the current database).
 
     Catalog lookups only; no data is read. The caller caches the answer if it
     needs it repeatedly.

@@ -123,3 +123,15 @@ def test_money_round_half_up(spark):
     df = spark.createDataFrame([(Decimal("2.675"),), (Decimal("-2.675"),)], "v decimal(18,3)")
     assert [r.x for r in df.select(money_round(F.col("v")).alias("x")).collect()] == \
         [Decimal("2.68"), Decimal("-2.68")]
+
+
+def test_resolve_table_prefers_first_existing_schema(spark):
+    from ledgerline.sources.tables import resolve_table
+    spark.sql("CREATE DATABASE IF NOT EXISTS ll_second")
+    spark.range(1).write.mode("overwrite").saveAsTable("ll_second.series_t")
+    try:
+        assert resolve_table(spark, "series_t", ["ll_first", "ll_second"]) == "ll_second.series_t"
+        assert resolve_table(spark, "missing_t", ["ll_first", "ll_second"]) == "missing_t"
+    finally:
+        spark.sql("DROP TABLE IF EXISTS ll_second.series_t")
+        spark.sql("DROP DATABASE IF EXISTS ll_second")
