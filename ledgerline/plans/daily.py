@@ -41,10 +41,13 @@ def current_accounts(spark: SparkSession, out_root: str) -> DataFrame | None:
 
 
 def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str, load_id: str,
-              run_no: int) -> DataFrame:
-    """Ingest one landed fetch taken at ``as_of`` and refresh every model; returns the check frame."""
+              run_no: int, per_line: bool = False) -> DataFrame:
+    """Ingest one landed fetch taken at ``as_of`` and refresh every model; returns the check frame.
+
+    ``per_line``: the landed responses are JSON lines instead of one page per file.
+    """
     prepare(spark)
-    records = read_landed(spark, landed_path, ACCOUNT_RECORD)
+    records = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line=per_line)
 
     # accounts: keyed records, flattened, stamped, merged on _id into a new version
     accounts = flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta")) \

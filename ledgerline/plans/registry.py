@@ -450,5 +450,30 @@ def q_stream_latest_balances(spark, d):
     return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
 
 
+# --- the daily run ------------------------------------------------------------------
+
+RUN_LOAD_ID = "1719835200"   # load id stamped by the registered daily run
+
+
+@register("daily_run")
+def q_daily_run(spark, d):
+    """K2: the accounts endpoint's current state (latest version of every account) landed as
+    JSON-lines responses, then ingest -> merge -> daily facts -> checks; returns the stored
+    portfolio table of the run."""
+    from ledgerline.plans.daily import run_daily
+    from ledgerline.session import scratch_path
+    rec = fixtures.api_records(spark, d, faults=False)
+    current = dedupe_batch(rec, ["_id"], [("_dlt_load_id", "desc")]).drop("_dlt_load_id")
+    shape = F.abs(F.xxhash64("_id")) % 4
+    landed_dir = scratch_path(spark, "landed-accounts")
+    landed.envelope_bodies(current, shape).write.text(landed_dir)
+    out = scratch_path(spark, "daily-run")
+    checks = run_daily(spark, landed_dir, out, AS_OF, RUN_LOAD_ID, 1, per_line=True)
+    failed = checks.filter(F.col("failures") > 0).count()
+    if failed:
+        raise RuntimeError(f"{failed} data-quality checks failed in the daily run")
+    return spark.read.parquet(f"{out}/portfolio_daily").select(*marts.SERIES_COLUMNS)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

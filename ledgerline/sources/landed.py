@@ -35,13 +35,14 @@ def unwrap_envelopes(bodies: DataFrame, record_schema: StructType, body_col: str
     return parsed.select(F.explode(records).alias("_rec")).select("_rec.*")
 
 
-def read_landed(spark: SparkSession, path: str, record_schema: StructType) -> DataFrame:
-    """Read landed response files (one JSON document per file) and unwrap them.
+def read_landed(spark: SparkSession, path: str, record_schema: StructType, per_line: bool = False) -> DataFrame:
+    """Read landed responses and unwrap them.
 
-    Each file is one API response page, so ``wholetext`` keeps it in one task
-    while different files are parsed in parallel.
+    Default: one JSON document per file (an API response page); ``wholetext``
+    keeps a page in one task while pages are parsed in parallel. ``per_line``:
+    one compact response per line (JSON lines), split like any text file.
     """
-    bodies = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
+    bodies = spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "body")
     return unwrap_envelopes(bodies, record_schema)
 
 
