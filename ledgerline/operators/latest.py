@@ -2,12 +2,14 @@
 
 Two physical forms with the same result:
 
-* ``"agg"`` – ``groupBy(keys).agg(max_by(struct(payload), struct(order)))``.
-  The aggregate is partial: each map task keeps one row per key before the
-  shuffle, so a key that holds a third of all rows still sends at most one row per
-  map task, and no sort of the full input is needed.
-* ``"window"`` – ``row_number() over (partition by keys order by ...) = 1``; Spark
-  plans a partial ``WindowGroupLimit`` before the shuffle and a sort after it.
+* ``"window"`` (default) - ``row_number() over (partition by keys order by ...) = 1``.
+  Spark plans a *partial* ``WindowGroupLimit`` before the shuffle (each map task
+  keeps one row per key) and a final one after it, all in whole-stage codegen.
+  A key holding a third of all rows still ships at most one row per map task.
+* ``"agg"`` - ``groupBy(keys).agg(max_by(struct(payload), struct(order)))``, also
+  partial before the shuffle; with string payloads Spark runs it as a sort-based
+  aggregate without codegen, measured 5-35 % slower. It is the form streaming
+  state can keep (windows are not supported on streams).
 
 Order terms are ``(column, "desc")`` meaning *descending, NULLs last*; that is the
 only direction the models use, and it is exactly the order ``max`` gives on a
@@ -32,7 +34,7 @@ def _check_order(order: Sequence[OrderTerm]) -> None:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[OrderTerm],
-                   strategy: str = "agg") -> DataFrame:
+                   strategy: str = "window") -> DataFrame:
     """Keep one row per ``keys``: the greatest by ``order`` (descending, NULLs last)."""
     _check_order(order)
     keys, cols = list(keys), df.columns

@@ -24,7 +24,7 @@ _SIDE = "__incoming"
 
 def merge_by_key(target: DataFrame, incoming: DataFrame, keys: Sequence[str],
                  order: Sequence[OrderTerm] = (), order_proof: bool = False,
-                 strategy: str = "agg") -> DataFrame:
+                 strategy: str = "window") -> DataFrame:
     cols = list(dict.fromkeys(target.columns + incoming.columns))
     both = (target.withColumn(_SIDE, F.lit(0))
                   .unionByName(incoming.withColumn(_SIDE, F.lit(1)), allowMissingColumns=True))
@@ -33,6 +33,6 @@ def merge_by_key(target: DataFrame, incoming: DataFrame, keys: Sequence[str],
 
 
 def dedupe_batch(batch: DataFrame, keys: Sequence[str], order: Sequence[OrderTerm],
-                 strategy: str = "agg") -> DataFrame:
+                 strategy: str = "window") -> DataFrame:
     """One row per key inside a single batch (the latest by ``order``)."""
     return latest_per_key(batch, keys, order, strategy=strategy)

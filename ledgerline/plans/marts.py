@@ -22,7 +22,7 @@ SERIES_COLUMNS = ["snapshot_date", "total_mortgage_balance", "total_creditcard_b
 LATEST_LOAN_ORDER = [("snapshot_date", "desc"), ("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")]
 
 
-def accounts_latest(stg_acc: DataFrame, strategy: str = "agg") -> DataFrame:
+def accounts_latest(stg_acc: DataFrame, strategy: str = "window") -> DataFrame:
     """All accounts (any type) at their latest version, by name with NULL names last."""
     cols = [c for c in stg_acc.columns if c != "_dlt_load_id"]
     return latest_accounts(stg_acc, strategy).select(*cols).orderBy(F.col("account_name").asc_nulls_last())
@@ -63,7 +63,7 @@ def prev_month_end(mot: DataFrame) -> DataFrame:
     return d.agg(F.max("_latest").alias("latest_date"), F.max("_prev").alias("prev_date"))
 
 
-def latest_loan_balance(daily: DataFrame, strategy: str = "agg") -> DataFrame:
+def latest_loan_balance(daily: DataFrame, strategy: str = "window") -> DataFrame:
     """Latest loan-typed row per account; the type filter runs *before* the pick."""
     loans = daily.filter(loan_pred("account_type", "is_credit_card")).select(
         "account_id", "snapshot_date", "_dlt_load_id", "last_snapshot_at", "current_balance")
@@ -91,7 +91,7 @@ KPI_DAILY_COLUMNS = ["account_id", "snapshot_date", "account_type", "is_credit_c
                      "available_balance", "credit_limit", "_dlt_load_id", "last_snapshot_at"]
 
 
-def loan_kpis(mot: DataFrame, dim: DataFrame, daily: DataFrame, strategy: str = "agg") -> DataFrame:
+def loan_kpis(mot: DataFrame, dim: DataFrame, daily: DataFrame, strategy: str = "window") -> DataFrame:
     """One row: |latest total|, change against the last snapshot before this month, weighted rate.
 
     ``mot`` is read once (one window pass), the weighted rate is a single scalar

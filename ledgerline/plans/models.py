@@ -33,18 +33,18 @@ ACCOUNT_VERSION_ORDER = [("_dlt_load_id", "desc")]
 DAILY_ORDER = [("_dlt_load_id", "desc"), ("snapshot_at", "desc")]
 
 
-def latest_accounts(stg_acc: DataFrame, strategy: str = "agg") -> DataFrame:
+def latest_accounts(stg_acc: DataFrame, strategy: str = "window") -> DataFrame:
     """Latest version of every account (any type)."""
     return latest_per_key(stg_acc, ["account_id"], ACCOUNT_VERSION_ORDER, strategy)
 
 
-def dim_loans(stg_acc: DataFrame, strategy: str = "agg") -> DataFrame:
+def dim_loans(stg_acc: DataFrame, strategy: str = "window") -> DataFrame:
     """Loan dimension: latest version per account, kept only if that version is a loan."""
     latest = latest_accounts(stg_acc, strategy)
     return latest.filter(loan_pred("account_type", "is_credit_card")).select(*DIM_COLUMNS)
 
 
-def daily_balances(stg_bal: DataFrame, strategy: str = "agg") -> DataFrame:
+def daily_balances(stg_bal: DataFrame, strategy: str = "window") -> DataFrame:
     """Last load of the day per account: by load id, then latest snapshot time (NULLs last)."""
     cols = [c for c in DAILY_COLUMNS if c != "last_snapshot_at"] + ["snapshot_at"]
     latest = latest_per_key(stg_bal.select(*cols), ["account_id", "snapshot_date"], DAILY_ORDER, strategy)
