@@ -24,6 +24,8 @@ from pyspark.sql.types import StructType
 from ledgerline.operators.latest import OrderTerm, _check_order
 from ledgerline.sources.sinks import upsert_partitions
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def incremental_merge(spark: SparkSession, source_path: str, schema: StructType, target_path: str,
                       keys: Sequence[str], order: Sequence[OrderTerm], partition_col: str,
@@ -54,6 +56,10 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
                         state_watermark: tuple[str, str] | None = None, transform=None) -> None:
     """Keep the latest row per key in streaming state and upsert changed keys each batch."""
     _check_order(order)
+    # state holds one row per key: keep it in RocksDB (off-heap, spills to local disk,
+    # checkpointed with the query) unless the session already chose a provider
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
