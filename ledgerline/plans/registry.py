@@ -433,7 +433,7 @@ def q_stream_merge_balances(spark, d):
     target = scratch_path(spark, "daily-balances-t1")
     incremental_merge(spark, src, schema, target, ["account_id", "snapshot_date"],
                       [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
-                      scratch_path(spark, "ckpt-t1"), max_files_per_trigger=2)
+                      scratch_path(spark, "ckpt-t1"), max_files_per_trigger=3)
     return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
 
 
@@ -446,7 +446,7 @@ def q_stream_latest_balances(spark, d):
     target = scratch_path(spark, "daily-balances-t2")
     latest_state_stream(spark, src, schema, target, ["account_id", "snapshot_date"],
                         [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
-                        scratch_path(spark, "ckpt-t2"), max_files_per_trigger=2)
+                        scratch_path(spark, "ckpt-t2"), max_files_per_trigger=3)
     return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
 
 

@@ -61,13 +61,14 @@ def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys:
     except Exception:  # first load: nothing to merge with
         target = None
     if target is None:
+        # first load: nothing is read from ``path``, so no lineage to cut
         merged = dedupe_batch(incoming, keys, order)
     else:
         touched = incoming.select(partition_col).distinct()
         target = target.join(touched, partition_col, "left_semi")
         merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
-    # cut the lineage to the files about to be replaced
-    merged = merged.checkpoint(eager=True)
+        # cut the lineage to the files about to be replaced
+        merged = merged.checkpoint(eager=True)
     # rows are already hash-partitioned by the merge keys: no extra shuffle,
     # and a hot partition value is spread over many writer tasks
     (merged.write.mode("overwrite")
