@@ -49,31 +49,85 @@ def edge(df: DataFrame) -> DataFrame:
 
 
 # --- model inputs (lazy DataFrames; nothing is computed here) ----------------
+#
+# Defined once per session and input folder and shared by every query, like the
+# temporary views of a model graph: the plan objects are reused, no data is cached.
 
+_INPUTS: dict[tuple, DataFrame] = {}
+
+
+def _shared(fn):
+    def build(spark, d):
+        key = (spark.sparkContext.applicationId, id(spark), d.rstrip("/"), fn.__name__)
+        df = _INPUTS.get(key)
+        if df is None:
+            df = _INPUTS[key] = fn(spark, d)
+        return df
+    build.__name__ = fn.__name__
+    build.__doc__ = fn.__doc__
+    return build
+
+
+@_shared
+def raw_a(spark, d):
+    return fixtures.raw_accounts(spark, d)
+
+
+@_shared
+def raw_b(spark, d):
+    return fixtures.raw_balances_intraday(spark, d)
+
+
+@_shared
+def raw_o(spark, d):
+    return fixtures.raw_balances_history(spark, d)
+
+
+@_shared
+def records(spark, d):
+    return fixtures.api_records(spark, d, faults=True)
+
+
+@_shared
+def raw_a_dated(spark, d):
+    return fixtures.raw_accounts(spark, d, with_load_date=True)
+
+
+@_shared
 def stg_a(spark, d):
-    return staging.stg_accounts(fixtures.raw_accounts(spark, d))
+    return staging.stg_accounts(raw_a(spark, d))
 
 
+@_shared
 def stg_b(spark, d):
-    return staging.stg_balances(fixtures.raw_balances_intraday(spark, d))
+    return staging.stg_balances(raw_b(spark, d))
 
 
+@_shared
 def stg_o(spark, d):
-    return staging.stg_balances(fixtures.raw_balances_history(spark, d))
+    return staging.stg_balances(raw_o(spark, d))
 
 
+@_shared
 def daily_b(spark, d):
     return models.daily_balances(stg_b(spark, d))
 
 
+@_shared
 def daily_o(spark, d):
     return models.daily_balances(stg_o(spark, d))
 
 
+@_shared
 def dim_a(spark, d):
     return models.dim_loans(stg_a(spark, d))
 
 
+@_shared
+def mot_b(spark, d):
+    return models.portfolio_daily(daily_b(spark, d))
+
+
 # --- staging, models ---------------------------------------------------------
 
 @register("stg_accounts")
@@ -97,7 +151,7 @@ def q_daily_balances(spark, d):
 @register("portfolio_daily")
 def q_portfolio_daily(spark, d):
     """Daily portfolio totals (B)."""
-    return models.portfolio_daily(daily_b(spark, d))
+    return mot_b(spark, d)
 
 
 @register("dim_loans")
@@ -111,6 +165,7 @@ def q_dim_loans(spark, d):
 HISTORY_ACCOUNT = "7"   # the account whose balance history the history query returns
 
 
+@_shared
 def mot_o(spark, d):
     return models.portfolio_daily(daily_o(spark, d))
 
@@ -178,7 +233,7 @@ def q_loan_kpis(spark, d):
 @register("type_normalise")
 def q_type_normalise(spark, d):
     """Account type as landed and normalised (upper/trim, NULL -> '')."""
-    raw = fixtures.raw_accounts(spark, d)
+    raw = raw_a(spark, d)
     return raw.select(F.col("_id").alias("account_id"), "_dlt_load_id", F.col("type").alias("raw_type"),
                       exprs.normalise_type("type").alias("account_type"))
 
@@ -186,7 +241,7 @@ def q_type_normalise(spark, d):
 @register("credit_flag")
 def q_credit_flag(spark, d):
     """Credit-card flag from the landed type text."""
-    raw = fixtures.raw_accounts(spark, d)
+    raw = raw_a(spark, d)
     return raw.select(F.col("_id").alias("account_id"), "_dlt_load_id", F.col("type").alias("raw_type"),
                       exprs.credit_flag("type").alias("is_credit_card"))
 
@@ -194,7 +249,7 @@ def q_credit_flag(spark, d):
 @register("blank_to_null_cast")
 def q_blank_to_null_cast(spark, d):
     """Blank-to-NULL then strict casts: numeric, int (rounding), boolean, instant."""
-    raw = fixtures.raw_accounts(spark, d)
+    raw = raw_a(spark, d)
     L = staging.LOAN
     return raw.select(
         F.col("_dlt_load_id"),
@@ -210,7 +265,7 @@ def q_blank_to_null_cast(spark, d):
 @register("variant_coalesce")
 def q_variant_coalesce(spark, d):
     """Text amount if non-blank, else the double-typed variant column."""
-    raw = fixtures.raw_accounts(spark, d)
+    raw = raw_a(spark, d)
     L = staging.LOAN + "repayment__"
     return raw.select(
         F.col("_dlt_load_id"),
@@ -231,7 +286,7 @@ ROLL_START, ROLL_DAYS = "2024-01-01", 181
 
 
 def _unwrapped(spark, d):
-    rec = fixtures.api_records(spark, d, faults=True)
+    rec = records(spark, d)
     shape = F.col("_dlt_load_id").cast("long") % 4
     return landed.unwrap_envelopes(landed.envelope_bodies(rec, shape), rec.schema)
 
@@ -251,19 +306,19 @@ def q_accounts_keyed(spark, d):
 @register("flatten_struct")
 def q_flatten_struct(spark, d):
     """Nested account records flattened to `a__b__c` columns (the landed accounts table)."""
-    return fixtures.raw_accounts(spark, d)
+    return raw_a(spark, d)
 
 
 @register("balance_snapshot")
 def q_balance_snapshot(spark, d):
     """One balance row per keyed record for a run at AS_OF."""
-    return ingest.balance_snapshot(fixtures.api_records(spark, d, faults=True), AS_OF)
+    return ingest.balance_snapshot(records(spark, d), AS_OF)
 
 
 @register("ingest_metrics")
 def q_ingest_metrics(spark, d):
     """Record count and latest parseable refresh time of a fetch."""
-    return ingest.ingest_metrics(fixtures.api_records(spark, d, faults=True))
+    return ingest.ingest_metrics(records(spark, d))
 
 
 @register("local_snapshot_date")
@@ -276,7 +331,7 @@ def q_local_snapshot_date(spark, d):
 @register("append_evolve")
 def q_append_evolve(spark, d):
     """Two loads of the accounts table; the older lacks the variant column."""
-    raw = fixtures.raw_accounts(spark, d, with_load_date=True)
+    raw = raw_a_dated(spark, d)
     old = raw.filter(F.col("_load_date") < F.lit(SPLIT_DATE).cast("date"))
     new = raw.filter(F.col("_load_date") >= F.lit(SPLIT_DATE).cast("date"))
     v = staging.LOAN + "repayment__next_amount__v_double"
@@ -286,7 +341,7 @@ def q_append_evolve(spark, d):
 @register("merge_accounts")
 def q_merge_accounts(spark, d):
     """Upsert of the later load into the accounts table on `_id`."""
-    raw = fixtures.raw_accounts(spark, d, with_load_date=True)
+    raw = raw_a_dated(spark, d)
     split = F.lit(SPLIT_DATE).cast("date")
     order = [("_dlt_load_id", "desc")]
     target = dedupe_batch(raw.filter(F.col("_load_date") < split).drop("_load_date"), ["_id"], order)
@@ -317,13 +372,13 @@ def q_raw_json_fields(spark, d):
 @register("rows_to_json")
 def q_rows_to_json(spark, d):
     """Portfolio rows as JSON objects, as an API returns them (B)."""
-    return sinks.rows_to_json(marts.portfolio_series(models.portfolio_daily(daily_b(spark, d))))
+    return sinks.rows_to_json(marts.portfolio_series(mot_b(spark, d)))
 
 
 @register("parse_or_default")
 def q_parse_or_default(spark, d):
     """Number from text, default when blank or unparseable (B)."""
-    raw = fixtures.raw_balances_intraday(spark, d)
+    raw = raw_b(spark, d)
     return raw.select("account_id", "_dlt_load_id", exprs.parse_or_default("current").alias("amount"))
 
 
@@ -337,12 +392,11 @@ def q_money_round(spark, d):
 # --- data quality ----------------------------------------------------------------
 
 def _checked_models(spark, d):
-    daily = daily_b(spark, d)
     return {
         "stg_accounts": stg_a(spark, d),
         "stg_balances": stg_b(spark, d),
-        "daily_balances": daily,
-        "portfolio_daily": models.portfolio_daily(daily),
+        "daily_balances": daily_b(spark, d),
+        "portfolio_daily": mot_b(spark, d),
         "dim_loans": dim_a(spark, d),
     }
 
@@ -376,25 +430,25 @@ def q_dq_unique(spark, d):
 @register("stg_accounts_lenient")
 def q_stg_accounts_lenient(spark, d):
     """Accounts staging without normalisation, casts or key filter (A)."""
-    return staging.stg_accounts_lenient(fixtures.raw_accounts(spark, d))
+    return staging.stg_accounts_lenient(raw_a(spark, d))
 
 
 @register("daily_balances_lenient")
 def q_daily_balances_lenient(spark, d):
     """Daily balances without dedupe, try_cast amounts (B)."""
-    return staging.daily_balances_lenient(fixtures.raw_balances_intraday(spark, d))
+    return staging.daily_balances_lenient(raw_b(spark, d))
 
 
 @register("portfolio_daily_lenient")
 def q_portfolio_daily_lenient(spark, d):
     """Daily totals over undeduplicated landed rows, double amounts (B)."""
-    return models.portfolio_daily_lenient(fixtures.raw_balances_intraday(spark, d))
+    return models.portfolio_daily_lenient(raw_b(spark, d))
 
 
 @register("dim_loans_lenient")
 def q_dim_loans_lenient(spark, d):
     """Every LOAN-typed account version with its rate as double (A)."""
-    return models.dim_loans_lenient(staging.stg_accounts_lenient(fixtures.raw_accounts(spark, d)))
+    return models.dim_loans_lenient(staging.stg_accounts_lenient(raw_a(spark, d)))
 
 
 # --- spines and projections --------------------------------------------------------
@@ -408,7 +462,7 @@ def q_account_date_spine(spark, d):
 @register("loan_rollforward")
 def q_loan_rollforward(spark, d):
     """Daily balance roll-forward of every loan at its latest version (A)."""
-    latest = dedupe_batch(fixtures.raw_accounts(spark, d), ["_id"], [("_dlt_load_id", "desc")])
+    latest = dedupe_batch(raw_a(spark, d), ["_id"], [("_dlt_load_id", "desc")])
     params = projection.loan_parameters(latest, ROLL_START)
     return projection.loan_rollforward(params, ROLL_START, ROLL_DAYS)
 

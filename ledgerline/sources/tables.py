@@ -16,13 +16,27 @@ DRIVER_TABLES = (
 )
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None,
                spread_scan: bool = True) -> DataFrame:
-    """Read one driver table (``{sf_dir}/{name}.parquet``), optionally projected."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns is not None:
-        df = df.select(*columns)
-    return spread(df) if spread_scan else df
+    """Read one driver table (``{sf_dir}/{name}.parquet``), optionally projected.
+
+    The driver tables are read-only, so the lazy DataFrame (file listing, footer
+    schema, scan-spreading decision) is defined once per session and reused, the
+    way a temporary view is; no data is cached.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name,
+           tuple(columns) if columns is not None else None, spread_scan)
+    df = _READS.get(key)
+    if df is None:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        if columns is not None:
+            df = df.select(*columns)
+        df = spread(df) if spread_scan else df
+        _READS[key] = df
+    return df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
