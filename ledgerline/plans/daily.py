@@ -26,7 +26,7 @@ from ledgerline.plans import models
 from ledgerline.schemas import ACCOUNT_RECORD
 from ledgerline.session import prepare
 from ledgerline.sources.landed import flatten_struct, keyed_records, read_landed
-from ledgerline.sources.sinks import latest_version, upsert_partitions, write_version
+from ledgerline.sources.sinks import fresh_read, latest_version, upsert_partitions, write_version
 
 ACCOUNT_KEY = ["_id"]
 BALANCE_KEY = ["account_id", "snapshot_date"]
@@ -67,16 +67,16 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
 
     # facts: recompute only the dates this run touched
     touched = snaps.select("snapshot_date").distinct()
-    raw_bal = spark.read.parquet(bal_path).join(touched, "snapshot_date", "left_semi")
+    raw_bal = fresh_read(spark, bal_path).join(touched, "snapshot_date", "left_semi")
     daily = models.daily_balances(staging.stg_balances(raw_bal))
     _overwrite_partitions(daily, _p(out_root, "daily_balances"))
-    fct = spark.read.parquet(_p(out_root, "daily_balances"))
+    fct = fresh_read(spark, _p(out_root, "daily_balances"))
     mot = models.portfolio_daily(fct.join(touched, "snapshot_date", "left_semi"))
     _overwrite_partitions(mot, _p(out_root, "portfolio_daily"))
 
     checks = run_checks(spark, out_root)
     write_version(checks, _p(out_root, "quality"), run_no)
-    return spark.read.parquet(_p(out_root, "quality", f"version={int(run_no):012d}"))
+    return fresh_read(spark, _p(out_root, "quality", f"version={int(run_no):012d}"))
 
 
 def _overwrite_partitions(df: DataFrame, path: str) -> None:
@@ -90,9 +90,9 @@ def model_frames(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
     stg_acc = staging.stg_accounts(raw_acc)
     return {
         "stg_accounts": stg_acc,
-        "stg_balances": staging.stg_balances(spark.read.parquet(_p(out_root, "raw", "account_balances"))),
-        "daily_balances": spark.read.parquet(_p(out_root, "daily_balances")),
-        "portfolio_daily": spark.read.parquet(_p(out_root, "portfolio_daily")),
+        "stg_balances": staging.stg_balances(fresh_read(spark, _p(out_root, "raw", "account_balances"))),
+        "daily_balances": fresh_read(spark, _p(out_root, "daily_balances")),
+        "portfolio_daily": fresh_read(spark, _p(out_root, "portfolio_daily")),
         "dim_loans": models.dim_loans(stg_acc),
     }
 

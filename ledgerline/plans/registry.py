@@ -502,7 +502,7 @@ def q_stream_merge_balances(spark, d):
     incremental_merge(spark, src, schema, target, ["account_id", "snapshot_date"],
                       [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
                       scratch_path(spark, "ckpt-t1"), max_files_per_trigger=3)
-    return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
+    return sinks.fresh_read(spark, target).select(*models.DAILY_COLUMNS)
 
 
 @register("stream_latest_balances")
@@ -515,7 +515,7 @@ def q_stream_latest_balances(spark, d):
     latest_state_stream(spark, src, schema, target, ["account_id", "snapshot_date"],
                         [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")], "snapshot_date",
                         scratch_path(spark, "ckpt-t2"), max_files_per_trigger=3)
-    return spark.read.parquet(target).select(*models.DAILY_COLUMNS)
+    return sinks.fresh_read(spark, target).select(*models.DAILY_COLUMNS)
 
 
 # --- the daily run ------------------------------------------------------------------
@@ -550,7 +550,7 @@ def q_daily_run(spark, d):
     failed = checks.filter(F.col("failures") > 0).count()
     if failed:
         raise RuntimeError(f"{failed} data-quality checks failed in the daily run")
-    return spark.read.parquet(f"{out}/portfolio_daily").select(*marts.SERIES_COLUMNS)
+    return sinks.fresh_read(spark, f"{out}/portfolio_daily").select(*marts.SERIES_COLUMNS)
 
 
 def queries() -> dict[str, Query]:

@@ -25,6 +25,14 @@ def rows_to_json(df: DataFrame, col_name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(col_name))
 
 
+def fresh_read(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table this engine rewrites in place: drop the session's cached file
+    listing for the path first, so files replaced by an earlier overwrite are not
+    looked up again."""
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
 def write_version(df: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/version={int(version):012d}"
     df.write.mode("overwrite").parquet(path)
@@ -38,7 +46,7 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None):
     from the same base as the first attempt.
     """
     try:
-        versions = spark.read.parquet(root).select("version")
+        versions = fresh_read(spark, root).select("version")
     except Exception:  # no version written yet
         return None
     if before is not None:
@@ -46,7 +54,7 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None):
     row = versions.agg(F.max("version").alias("v")).first()
     if row is None or row.v is None:
         return None
-    return spark.read.parquet(f"{root.rstrip('/')}/version={int(row.v):012d}")
+    return fresh_read(spark, f"{root.rstrip('/')}/version={int(row.v):012d}")
 
 
 def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str],
@@ -57,7 +65,7 @@ def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys:
     partition column lets the scan prune the rest) and rewritten.
     """
     try:
-        target = spark.read.parquet(path)
+        target = fresh_read(spark, path)
     except Exception:  # first load: nothing to merge with
         target = None
     if target is None:
