@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,13 +14,13 @@ def spark():
 
     from ledgerline.session import prepare
 
-    ckpt = tempfile.mkdtemp(prefix="ledgerline-test-ckpt-")
+    # spark.checkpoint.dir comes from the session's configuration; when it is
+    # unset, ledgerline.session.checkpoint_root creates a private folder
     s = (SparkSession.builder.master("local[4]")
          .appName("ledgerline-tests")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", "8")
-         .config("spark.checkpoint.dir", ckpt)
          .config("spark.driver.memory", "4g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
