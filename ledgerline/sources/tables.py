@@ -39,18 +39,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[st
     return df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a narrow scan enough tasks for the cluster.
+NARROW_SCAN_SPLITS = 16   # a scan with at most this many splits counts as narrow
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_splits: int = NARROW_SCAN_SPLITS) -> DataFrame:
+    """Give a narrow scan enough tasks for the per-row work that follows.
 
     A parquet file is split by row group, so a table stored as a few large row
     groups scans in a few tasks and every projection before the first shuffle
-    runs on those few cores. Only then the rows are dealt round-robin to
-    ``min_partitions`` (default: the session's parallelism). A scan that already
-    has that many splits - any large table on a cluster - is returned unchanged,
-    so no shuffle is added at scale. Planning only; no job runs here.
+    runs on those few cores. Only a scan with at most ``max_splits`` splits and
+    fewer than ``min_partitions`` (default: the session's parallelism) is dealt
+    round-robin to ``min_partitions``: at the default split size that is at most
+    ~2 GB of input, unless its row groups are oversized, which is the case this
+    is for. Any wider scan keeps its own splits, so a large table on a cluster
+    never gets an extra shuffle. Planning only; no job runs here.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    splits = df.rdd.getNumPartitions()
+    if splits <= max_splits and splits < target:
         return df.repartition(target)
     return df
 

@@ -40,3 +40,12 @@ def test_top1_with_a_third_of_rows_on_one_key(spark, strategy):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the reduction happens before the shuffle as well as after it
     assert ("WindowGroupLimit" in plan and "Partial" in plan) if strategy == "window" else "partial_max_by" in plan
+
+
+def test_spread_only_narrow_scans(spark, tmp_path):
+    from ledgerline.sources.tables import spread
+    wide = spark.range(0, 1000, 1, 40)            # 40 splits: wider than a narrow scan
+    assert spread(wide, min_partitions=64).rdd.getNumPartitions() == 40
+    narrow = spark.range(0, 1000, 1, 1)
+    assert spread(narrow, min_partitions=8).rdd.getNumPartitions() == 8
+    assert spread(spark.range(0, 1000, 1, 8), min_partitions=8).rdd.getNumPartitions() == 8
