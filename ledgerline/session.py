@@ -9,7 +9,9 @@ The engine needs three things from a session:
   skew-join split) – large joins are written as plain equi-joins and AQE turns
   them into broadcast joins only when the *measured* side is below the threshold;
 * a shared folder for checkpoints and versioned tables, read from
-  ``spark.checkpoint.dir``. A private temporary folder is created only when the
+  ``spark.checkpoint.dir`` (on a cluster also set
+  ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` at submit time so
+  checkpoint files are removed when no longer referenced). A private temporary folder is created only when the
   session has none (local tests), never on a cluster that names one.
 """
 
@@ -48,6 +50,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # remove checkpoint files once their DataFrame is garbage-collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in SESSION_DEFAULTS.items():
         builder = builder.config(key, value)
