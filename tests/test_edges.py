@@ -173,3 +173,15 @@ def test_latest_per_key_rejects_ascending(spark):
     df = spark.createDataFrame([("a", 1)], "k string, v int")
     with pytest.raises(ValueError):
         latest_per_key(df, ["k"], [("v", "asc")])
+
+
+def test_available_and_limit_loans_only_vs_all_accounts(spark):
+    # trap 2: the model sums available/limit over loans only, the development form over all accounts
+    rows = [bal("l", 1, "1", None, "10", type_="LOAN"), bal("s", 1, "1", None, "20", type_="SAVINGS")]
+    rows = [r[:9] + ("100",) + ("7",) + r[11:] for r in rows]
+    raw = spark.createDataFrame(rows, BAL_SCHEMA)
+    strict = models.portfolio_daily(models.daily_balances(staging.stg_balances(raw))).collect()[0]
+    lenient = models.portfolio_daily_lenient(raw).collect()[0]
+    assert (strict.total_available, strict.total_limit) == (Decimal("100.000"), Decimal("7.000"))
+    assert (lenient.total_available, lenient.total_limit) == (Decimal("200.00"), Decimal("14.00"))
+    assert strict.total_net_debt == Decimal("30.000") and lenient.total_net_debt == Decimal("30.00")

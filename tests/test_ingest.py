@@ -135,3 +135,11 @@ def test_resolve_table_prefers_first_existing_schema(spark):
     finally:
         spark.sql("DROP TABLE IF EXISTS ll_second.series_t")
         spark.sql("DROP DATABASE IF EXISTS ll_second")
+
+
+def test_ingest_metrics_mixed_naive_and_offset_times(spark):
+    # trap 11: a naive time next to offset times is read as UTC instead of failing
+    docs = [[rec("a", refreshed="2024-07-02T01:00:00"), rec("b", refreshed="2024-07-02T00:30:00Z"),
+             rec("c", refreshed="2024-07-02T12:00:00+13:00")]]
+    r = ingest_metrics(landed.unwrap_envelopes(bodies(spark, docs), ACCOUNT_RECORD)).collect()[0]
+    assert r.latest_refreshed == "2024-07-02T01:00:00+00:00"
