@@ -17,6 +17,7 @@ DEFAULT_PRINCIPAL = 500000.0
 DEFAULT_PAYMENT = 3000.0
 CARD_START_BALANCE = 1500.0
 DAYS_PER_YEAR = 365.0
+OUTPUT_ROWS = 500_000   # rows per frame the roll-forward hands back to Arrow
 
 
 def date_spine(df: DataFrame, key: str = "account_id", date_col: str = "snapshot_date") -> DataFrame:
@@ -88,26 +89,29 @@ def loan_rollforward(params: DataFrame, start_date: str, days: int, method: str
     dates = np.array([first + dt.timedelta(days=i) for i in range(days)], dtype=object)
     day_of_month = np.array([d.day for d in dates])
 
+    # accounts stepped together per chunk, so one yielded frame stays near OUTPUT_ROWS rows
+    chunk = max(1, OUTPUT_ROWS // days)
+
     def roll(batches):
         for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            b = pdf["start_balance"].to_numpy(dtype="float64").copy()
-            rate = pdf["rate"].to_numpy(dtype="float64")
-            pay = pdf["payment"].to_numpy(dtype="float64")
-            pay_day = pdf["pay_day"].to_numpy()
-            out = np.empty((n, days), dtype="float64")
-            for t in range(days):
-                b = b + b * (rate / DAYS_PER_YEAR)
-                b = np.where(pay_day == day_of_month[t], b - pay, b)
-                b = np.maximum(0.0, b)
-                out[:, t] = b
-            yield pd.DataFrame({
-                "account_id": np.repeat(pdf["account_id"].to_numpy(), days),
-                "snapshot_date": np.tile(dates, n),
-                "balance": out.ravel(),
-            })
+            for lo in range(0, len(pdf), chunk):
+                part = pdf.iloc[lo:lo + chunk]
+                n = len(part)
+                b = part["start_balance"].to_numpy(dtype="float64").copy()
+                rate = part["rate"].to_numpy(dtype="float64")
+                pay = part["payment"].to_numpy(dtype="float64")
+                pay_day = part["pay_day"].to_numpy()
+                out = np.empty((n, days), dtype="float64")
+                for t in range(days):
+                    b = b + b * (rate / DAYS_PER_YEAR)
+                    b = np.where(pay_day == day_of_month[t], b - pay, b)
+                    b = np.maximum(0.0, b)
+                    out[:, t] = b
+                yield pd.DataFrame({
+                    "account_id": np.repeat(part["account_id"].to_numpy(), days),
+                    "snapshot_date": np.tile(dates, n),
+                    "balance": out.ravel(),
+                })
 
     rolled = params.select("account_id", "start_balance", "rate", "payment", "pay_day").mapInPandas(
         roll, "account_id string, snapshot_date date, balance double")
