@@ -47,7 +47,16 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
     ``per_line``: the landed responses are JSON lines instead of one page per file.
     """
     prepare(spark)
-    records = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line=per_line)
+    # one parse of the landed fetch feeds both raw tables; a lost block is re-read from the files
+    records = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line=per_line).persist()
+    try:
+        return _run(spark, records, out_root, as_of, load_id, run_no)
+    finally:
+        records.unpersist()
+
+
+def _run(spark: SparkSession, records: DataFrame, out_root: str, as_of: str, load_id: str,
+         run_no: int) -> DataFrame:
 
     # accounts: keyed records, flattened, stamped, merged on _id into a new version
     accounts = flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta")) \
