@@ -49,3 +49,12 @@ def test_spread_only_narrow_scans(spark, tmp_path):
     narrow = spark.range(0, 1000, 1, 1)
     assert spread(narrow, min_partitions=8).rdd.getNumPartitions() == 8
     assert spread(spark.range(0, 1000, 1, 8), min_partitions=8).rdd.getNumPartitions() == 8
+
+
+PYTHON_OPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES - {"loan_rollforward"}))
+def test_no_python_in_plans(spark, name):
+    plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not any(op in plan for op in PYTHON_OPS)

@@ -75,3 +75,39 @@ def test_rollforward_methods_agree(spark):
     b = projection.loan_rollforward(params, "2024-01-01", 75, method="aggregate")
     assert a.count() == params.count() * 75
     assert rows(a) == rows(b)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+ROW = st.tuples(st.sampled_from(["a", "b", "c", "d"]), st.sampled_from(["1", "2", "10", "9"]),
+                st.integers(0, 99))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(ROW, max_size=12, unique_by=lambda r: (r[0], r[1])),
+       st.lists(ROW, max_size=12, unique_by=lambda r: (r[0], r[1])))
+def test_merge_equals_anti_join_definition(spark, target_rows, incoming_rows):
+    """One-shuffle merge == anti-join the target on incoming keys, then append the newest incoming row."""
+    schema = "k string, load string, v int"
+    t = spark.createDataFrame(target_rows, schema)
+    i = spark.createDataFrame(incoming_rows, schema)
+    order = [("load", "desc")]
+    newest = {}
+    for k, load, v in incoming_rows:
+        if k not in newest or load > newest[k][1]:
+            newest[k] = (k, load, v)
+    target_newest = {}
+    for k, load, v in target_rows:
+        if k not in target_newest or load > target_newest[k][1]:
+            target_newest[k] = (k, load, v)
+    expected = sorted([r for k, r in target_newest.items() if k not in newest] + list(newest.values()))
+    got = sorted(tuple(r) for r in merge_by_key(t, i, ["k"], order).collect())
+    assert got == expected
+    # order-proof: the greatest load id wins whichever side it came from
+    both = {}
+    for k, load, v in target_rows + incoming_rows:
+        if k not in both or load > both[k][1] or (load == both[k][1] and (k, load, v) in incoming_rows):
+            both[k] = (k, load, v)
+    got_proof = sorted(tuple(r) for r in merge_by_key(t, i, ["k"], order, order_proof=True).collect())
+    assert got_proof == sorted(both.values())
