@@ -116,3 +116,12 @@ def run_checks(spark: SparkSession, out_root: str) -> DataFrame:
     unique = {"stg_accounts": ["account_id"], "dim_loans": ["account_id"]}
     return quality.run_checks({k: (m[k], c) for k, c in not_null.items()},
                               {k: (m[k], c) for k, c in unique.items()})
+
+
+def register_views(spark: SparkSession, out_root: str) -> list[str]:
+    """Expose the stored models as temporary views for SQL users (views stay lazy:
+    staging and the dimension are computed on read, the facts are stored tables)."""
+    frames = model_frames(spark, out_root)
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    return sorted(frames)

@@ -1,7 +1,7 @@
 """The daily run end to end on landed JSON pages: idempotent per run, incremental per day."""
 import json
 
-from ledgerline.plans.daily import model_frames, run_daily
+from ledgerline.plans.daily import model_frames, register_views, run_daily
 
 
 def account(_id, type_, current, rate="4.5"):
@@ -47,3 +47,11 @@ def test_daily_run(spark, tmp_path):
     assert float(series["2024-07-01"].total_net_debt) == -499000.0 - 50.0 + 900.0
     dim = {r.account_id: r for r in m["dim_loans"].collect()}
     assert set(dim) == {"m1"} and float(dim["m1"].loan_interest_rate) == 5.0
+    # the stored models are queryable by name with SQL
+    assert register_views(spark, out) == ["daily_balances", "dim_loans", "portfolio_daily", "stg_accounts",
+                                          "stg_balances"]
+    latest = spark.sql("SELECT CAST(max(snapshot_date) AS STRING) AS d FROM portfolio_daily").first().d
+    assert latest == "2024-07-02"
+    hist = spark.sql("SELECT snapshot_date, current_balance FROM daily_balances WHERE account_id = :id "
+                     "ORDER BY snapshot_date", args={"id": "m1"}).collect()
+    assert [float(r.current_balance) for r in hist] == [-499000.0, -498000.0]
