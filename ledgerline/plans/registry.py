@@ -54,6 +54,7 @@ def edge(df: DataFrame) -> DataFrame:
 # temporary views of a model graph: the plan objects are reused, no data is cached.
 
 _INPUTS: dict[tuple, DataFrame] = {}
+_LANDED: dict[tuple, object] = {}   # landed input files (the upstream fetch), once per session
 
 
 def _shared(fn):
@@ -285,10 +286,23 @@ MERGE_INCOMING_FIRST = "2024-01-15"  # incoming re-run starts here (overlap with
 ROLL_START, ROLL_DAYS = "2024-01-01", 181
 
 
+def _landed_responses(spark, d):
+    """API responses (bare array, items, result, empty items + result) over the account records,
+    landed once per session as JSON lines, the way a fetch lands them."""
+    from ledgerline.session import scratch_path
+    key = (spark.sparkContext.applicationId, id(spark), d.rstrip("/"), "responses")
+    if key not in _LANDED:
+        rec = records(spark, d)
+        shape = F.col("_dlt_load_id").cast("long") % 4
+        path = scratch_path(spark, "landed-responses")
+        landed.envelope_bodies(rec, shape).write.text(path)
+        _LANDED[key] = (path, rec.schema)
+    return _LANDED[key]
+
+
 def _unwrapped(spark, d):
-    rec = records(spark, d)
-    shape = F.col("_dlt_load_id").cast("long") % 4
-    return landed.unwrap_envelopes(landed.envelope_bodies(rec, shape), rec.schema)
+    path, schema = _landed_responses(spark, d)
+    return landed.read_landed(spark, path, schema, per_line=True)
 
 
 @register("envelope_unwrap")
@@ -469,9 +483,6 @@ def q_loan_rollforward(spark, d):
 
 # --- streaming ------------------------------------------------------------------
 
-_LANDED: dict[tuple, tuple] = {}
-
-
 def _landed_balances(spark, d):
     """Land the staged intraday snapshots (B) as parquet files for a file stream.
 
