@@ -22,7 +22,8 @@ SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(He
 def duck(sql, values):
     con = duckdb.connect()
     con.execute("CREATE TABLE t (i INTEGER, v VARCHAR)")
-    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    if values:
+        con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
     return [r[0] for r in con.execute(f"SELECT {sql} FROM t ORDER BY i").fetchall()]
 
 
