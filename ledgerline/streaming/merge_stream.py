@@ -10,7 +10,8 @@ landed and stops, which is how a daily job runs it.
 ``latest_state_stream`` (T2): a streaming aggregate keeps the latest row per key
 in the state store (``max_by`` over the version order) and emits changed keys
 in update mode; each micro-batch upserts them. State grows with the number of
-keys; ``state_watermark`` bounds it when very late loads may be dropped.
+keys; ``state_delay`` bounds it (event-day watermark) when very late loads may
+be dropped.
 """
 
 from __future__ import annotations
@@ -53,8 +54,14 @@ def incremental_merge(spark: SparkSession, source_path: str, schema: StructType,
 def latest_state_stream(spark: SparkSession, source_path: str, schema: StructType, target_path: str,
                         keys: Sequence[str], order: Sequence[OrderTerm], partition_col: str,
                         checkpoint_path: str, max_files_per_trigger: int | None = None,
-                        state_watermark: tuple[str, str] | None = None, transform=None) -> None:
-    """Keep the latest row per key in streaming state and upsert changed keys each batch."""
+                        state_delay: str | None = None, transform=None) -> None:
+    """Keep the latest row per key in streaming state and upsert changed keys each batch.
+
+    ``state_delay`` (e.g. ``"3 days"``) bounds the state: the day of ``partition_col`` becomes
+    an event-time grouping key with that watermark, so state of days older than the newest
+    day seen minus the delay is dropped, and rows arriving later than that for those days are
+    ignored. Without it no row is ever dropped and state grows with the keys.
+    """
     _check_order(order)
     # state holds one row per key: keep it in RocksDB (off-heap, spills to local disk,
     # checkpointed with the query) unless the session already chose a provider
@@ -66,12 +73,16 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
     stream = reader.parquet(source_path)
     if transform is not None:
         stream = transform(stream)
-    if state_watermark is not None:
-        stream = stream.withWatermark(*state_watermark)
     cols = stream.columns
+    group = list(keys)
+    if state_delay is not None:
+        # event time in the grouping keys is what lets the watermark evict state
+        stream = (stream.withColumn("__event_day", F.col(partition_col).cast("timestamp"))
+                        .withWatermark("__event_day", state_delay))
+        group = group + ["__event_day"]
     payload = [c for c in cols if c not in keys]
     ordering = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, (c, _) in enumerate(order)])
-    latest = (stream.groupBy(*keys)
+    latest = (stream.groupBy(*group)
                     .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in payload]), ordering).alias("__row"))
                     .select(*keys, *[F.col("__row").getField(c).alias(c) for c in payload]))
 
