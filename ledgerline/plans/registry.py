@@ -365,7 +365,10 @@ def q_merge_accounts(spark, d):
 
 @register("merge_balances")
 def q_merge_balances(spark, d):
-    """Upsert on (account_id, snapshot_date): an overlapping re-run replaces the days it covers."""
+    """Upsert on (account_id, snapshot_date) over all snapshots (B). The target holds every
+    snapshot up to MERGE_TARGET_LAST; the incoming re-run covers MERGE_INCOMING_FIRST onwards but
+    re-sends only snapshots with a positive balance. So on the overlap days its rows replace the
+    target's, and keys it does not re-send keep the target's row."""
     stg = stg_b(spark, d)
     target = models.daily_balances(stg.filter(F.col("snapshot_date") <= F.lit(MERGE_TARGET_LAST).cast("date")))
     incoming = (stg.filter((F.col("snapshot_date") >= F.lit(MERGE_INCOMING_FIRST).cast("date"))
