@@ -125,3 +125,31 @@ def register_views(spark: SparkSession, out_root: str) -> list[str]:
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return sorted(frames)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """Job entry point, e.g. ``spark-submit --py-files ledgerline.zip -m ledgerline.plans.daily ...``.
+
+    Uses the session the launcher provides (master, checkpoint folder); exits non-zero
+    when a quality check fails.
+    """
+    import argparse
+
+    parser = argparse.ArgumentParser(description="Ingest one landed fetch and refresh the models.")
+    parser.add_argument("--landed", required=True, help="folder of landed API responses")
+    parser.add_argument("--out", required=True, help="root folder of the tables")
+    parser.add_argument("--as-of", required=True, help="fetch instant, ISO-8601 with offset")
+    parser.add_argument("--load-id", required=True, help="load id stamped on every row")
+    parser.add_argument("--run-no", required=True, type=int, help="version number of this run")
+    parser.add_argument("--per-line", action="store_true", help="responses are JSON lines")
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("ledgerline-daily").getOrCreate()
+    checks = run_daily(spark, args.landed, args.out, args.as_of, args.load_id, args.run_no, args.per_line)
+    failed = checks.filter(F.col("failures") > 0).collect()   # at most one row per check
+    for row in failed:
+        print(f"check failed: {row.model}.{row.column_name} {row.check_name}: {row.failures}")
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -55,3 +55,13 @@ def test_daily_run(spark, tmp_path):
     hist = spark.sql("SELECT snapshot_date, current_balance FROM daily_balances WHERE account_id = :id "
                      "ORDER BY snapshot_date", args={"id": "m1"}).collect()
     assert [float(r.current_balance) for r in hist] == [-499000.0, -498000.0]
+
+
+def test_daily_job_entry_point(spark, tmp_path):
+    from ledgerline.plans.daily import main
+    landed_dir = land(tmp_path, "fetch", [{"items": [account("m1", "LOAN", -1000.0)]}])
+    out = str(tmp_path / "tables")
+    args = ["--landed", landed_dir, "--out", out, "--as-of", "2024-07-01T01:00:00Z", "--load-id", "1", "--run-no", "1"]
+    assert main(args) == 0
+    assert main(args) == 0          # re-run of the same run number
+    assert {r.account_id for r in model_frames(spark, out)["dim_loans"].collect()} == {"m1"}
