@@ -128,7 +128,7 @@ def register_views(spark: SparkSession, out_root: str) -> list[str]:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Job entry point, e.g. ``spark-submit --py-files ledgerline.zip -m ledgerline.plans.daily ...``.
+    """Job entry point, e.g. ``spark-submit --py-files ledgerline.zip ledgerline/plans/daily.py ...``.
 
     Uses the session the launcher provides (master, checkpoint folder); exits non-zero
     when a quality check fails.
