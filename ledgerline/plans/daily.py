@@ -26,7 +26,7 @@ from ledgerline.plans import models
 from ledgerline.schemas import ACCOUNT_RECORD
 from ledgerline.session import prepare
 from ledgerline.sources.landed import flatten_struct, keyed_records, read_landed
-from ledgerline.sources.sinks import fresh_read, latest_version, upsert_partitions, write_version
+from ledgerline.sources.sinks import fresh_read, latest_version, touched_target, upsert_partitions, write_version
 
 ACCOUNT_KEY = ["_id"]
 BALANCE_KEY = ["account_id", "snapshot_date"]
@@ -75,12 +75,11 @@ def _run(spark: SparkSession, records: DataFrame, out_root: str, as_of: str, loa
                       "snapshot_date")
 
     # facts: recompute only the dates this run touched
-    touched = snaps.select("snapshot_date").distinct()
-    raw_bal = fresh_read(spark, bal_path).join(touched, "snapshot_date", "left_semi")
+    raw_bal = touched_target(spark, bal_path, snaps, "snapshot_date")
     daily = models.daily_balances(staging.stg_balances(raw_bal))
     _overwrite_partitions(daily, _p(out_root, "daily_balances"))
-    fct = fresh_read(spark, _p(out_root, "daily_balances"))
-    mot = models.portfolio_daily(fct.join(touched, "snapshot_date", "left_semi"))
+    fct = touched_target(spark, _p(out_root, "daily_balances"), snaps, "snapshot_date")
+    mot = models.portfolio_daily(fct)
     _overwrite_partitions(mot, _p(out_root, "portfolio_daily"))
 
     checks = run_checks(spark, out_root)

@@ -57,23 +57,40 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None):
     return fresh_read(spark, f"{root.rstrip('/')}/version={int(row.v):012d}")
 
 
+MAX_PRUNED_PARTITIONS = 10_000   # touched partition values listed explicitly up to this many
+
+
+def touched_target(spark: SparkSession, path: str, incoming: DataFrame, partition_col: str) -> DataFrame:
+    """The target rows in the partitions ``incoming`` touches, read with partition pruning.
+
+    The touched values are one per calendar day of the batch, a set bounded by the
+    calendar, so they are collected and applied as an ``isin`` on the partition
+    column: the scan lists only those folders (static pruning, whatever the
+    optimizer estimates for the batch). Beyond ``MAX_PRUNED_PARTITIONS`` values it
+    falls back to a semi-join.
+    """
+    target = fresh_read(spark, path)
+    values = incoming.select(partition_col).distinct().limit(MAX_PRUNED_PARTITIONS + 1).collect()
+    if len(values) <= MAX_PRUNED_PARTITIONS:
+        return target.filter(F.col(partition_col).isin([v[0] for v in values]))
+    return target.join(incoming.select(partition_col).distinct(), partition_col, "left_semi")
+
+
 def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str],
                       order: list, partition_col: str, order_proof: bool = False) -> None:
     """Merge ``incoming`` into the table at ``path`` partitioned by ``partition_col``.
 
-    Only the partitions touched by ``incoming`` are read (a semi-join on the
-    partition column lets the scan prune the rest) and rewritten.
+    Only the partitions touched by ``incoming`` are read (``touched_target``) and
+    rewritten.
     """
     try:
-        target = fresh_read(spark, path)
+        target = touched_target(spark, path, incoming, partition_col)
     except Exception:  # first load: nothing to merge with
         target = None
     if target is None:
         # first load: nothing is read from ``path``, so no lineage to cut
         merged = dedupe_batch(incoming, keys, order)
     else:
-        touched = incoming.select(partition_col).distinct()
-        target = target.join(touched, partition_col, "left_semi")
         merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
         # cut the lineage to the files about to be replaced
         merged = merged.checkpoint(eager=True)

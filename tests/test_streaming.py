@@ -54,3 +54,17 @@ def test_stateful_stream_with_bounded_state(spark, tmp_path):
                         max_files_per_trigger=2, state_delay="400 days")
     got = rows(fresh_read(spark, target).select(*models.DAILY_COLUMNS))
     assert got == rows(registry.daily_b(spark, SF_SMALL))
+
+
+def test_upsert_reads_only_touched_partitions(spark, tmp_path):
+    from ledgerline.sources.sinks import touched_target, upsert_partitions
+    stg = staged(spark)
+    path = str(tmp_path / "daily")
+    upsert_partitions(spark, stg, path, KEYS, ORDER, "snapshot_date")
+    day = stg.filter(F.col("snapshot_date") == "2024-01-05")
+    target = touched_target(spark, path, day, "snapshot_date")
+    plan = target._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_date" in plan and "2024-01-05" in plan
+    assert {str(r.snapshot_date) for r in target.select("snapshot_date").distinct().collect()} == {"2024-01-05"}
+    upsert_partitions(spark, day, path, KEYS, ORDER, "snapshot_date")   # re-merge of one day
+    assert rows(fresh_read(spark, path).select(*models.DAILY_COLUMNS)) == rows(registry.daily_b(spark, SF_SMALL))
