@@ -28,6 +28,15 @@ from ledgerline.sources.sinks import upsert_partitions
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _upsert_batch(batch: DataFrame, target_path: str, keys, order, partition_col: str) -> None:
+    """Upsert one micro-batch. The batch is read twice (its touched dates, then the merge),
+    so it is first written to the shared checkpoint folder: the source or the state
+    update runs once, and a lost executor re-reads the checkpoint instead."""
+    batch = batch.checkpoint(eager=True)
+    upsert_partitions(batch.sparkSession, batch, target_path, list(keys), list(order), partition_col,
+                      order_proof=True)
+
+
 def incremental_merge(spark: SparkSession, source_path: str, schema: StructType, target_path: str,
                       keys: Sequence[str], order: Sequence[OrderTerm], partition_col: str,
                       checkpoint_path: str, max_files_per_trigger: int | None = None,
@@ -41,8 +50,7 @@ def incremental_merge(spark: SparkSession, source_path: str, schema: StructType,
         stream = transform(stream)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        upsert_partitions(batch.sparkSession, batch, target_path, list(keys), list(order), partition_col,
-                          order_proof=True)
+        _upsert_batch(batch, target_path, keys, order, partition_col)
 
     query = (stream.writeStream.foreachBatch(merge_batch)
                    .option("checkpointLocation", checkpoint_path)
@@ -87,8 +95,7 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
                     .select(*keys, *[F.col("__row").getField(c).alias(c) for c in payload]))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_partitions(batch.sparkSession, batch, target_path, list(keys), list(order), partition_col,
-                          order_proof=True)
+        _upsert_batch(batch, target_path, keys, order, partition_col)
 
     query = (latest.writeStream.outputMode("update").foreachBatch(upsert)
                    .option("checkpointLocation", checkpoint_path)
