@@ -8,6 +8,8 @@ The engine needs three things from a session:
 * adaptive execution on (runtime join re-planning, partition coalescing and the
   skew-join split) – large joins are written as plain equi-joins and AQE turns
   them into broadcast joins only when the *measured* side is below the threshold;
+* dynamic partition overwrite is requested per write (never session-wide, so a
+  user's own partitioned overwrites keep their meaning);
 * a shared folder for checkpoints and versioned tables, read from
   ``spark.checkpoint.dir`` (on a cluster also set
   ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` at submit time so
@@ -28,7 +30,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
