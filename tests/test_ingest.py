@@ -143,3 +143,16 @@ def test_ingest_metrics_mixed_naive_and_offset_times(spark):
              rec("c", refreshed="2024-07-02T12:00:00+13:00")]]
     r = ingest_metrics(landed.unwrap_envelopes(bodies(spark, docs), ACCOUNT_RECORD)).collect()[0]
     assert r.latest_refreshed == "2024-07-02T01:00:00+00:00"
+
+
+def test_versioned_table_retry_reads_the_version_below(spark, tmp_path):
+    from ledgerline.sources.sinks import latest_version, write_version
+    root = str(tmp_path / "accounts")
+    assert latest_version(spark, root) is None
+    write_version(spark.createDataFrame([("a", 1)], "k string, v int"), root, 1)
+    write_version(spark.createDataFrame([("a", 2)], "k string, v int"), root, 2)
+    assert latest_version(spark, root).first().v == 2
+    # a retried run 2 starts from version 1, whatever run 2 left behind
+    assert latest_version(spark, root, before=2).first().v == 1
+    write_version(spark.createDataFrame([("a", 3)], "k string, v int"), root, 2)   # the retry rewrites v2
+    assert latest_version(spark, root).first().v == 3
