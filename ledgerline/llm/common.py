@@ -38,10 +38,22 @@ def ascii_lower(col: Column) -> Column:
              .otherwise(F.translate(col, upper, upper.lower())))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of the named columns of two frames, null equal to null."""
-    out = None
-    for n in names:
-        c = left[n].eqNullSafe(right[n])
-        out = c if out is None else out & c
-    return out
+def join_same(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on the named columns, null equal to null; the keys come once, from ``left``."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+    out = left.join(right, match, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__right_{k}" for k in keys])
+
+
+def keep_one(rows: DataFrame, lost: DataFrame, again: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without those whose ``keys`` are in ``lost``; of rows whose keys are in
+    ``again`` (rows that repeat the one that stays, rare) one stays."""
+    rows = join_same(rows, lost, *keys, how="left_anti")
+    again = cut(again)
+    if not again.isEmpty():
+        rows = (join_same(rows, again, *keys, how="left_anti")
+                .unionByName(join_same(rows, again, *keys, how="left_semi").dropDuplicates(list(keys))))
+    return rows

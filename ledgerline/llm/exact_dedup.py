@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, same, texts
+from ledgerline.llm.common import cut, keep_one, texts
 
 #: Frequent digests that are settled by broadcast, and items that the summary tracks.
 HEAVY, TRACKED = 256, 4096
@@ -78,11 +78,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .filter(F.col("__w").isNull() | F.col("__id").eqNullSafe(F.col("__keep"))).drop("__w", "__keep"))
     named = lambda d: d.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     lost = named(found.filter(~F.col("is_heavy") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")))).distinct()
-    rows = rows.join(lost, same(rows, lost, "__id", "__digest"), "left_anti")
-    # rows that repeat the winner's id as well: rare, but one of them has to stay
-    again = cut(named(found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))).distinct())
-    if not again.isEmpty():
-        match = same(rows, again, "__id", "__digest")
-        rows = (rows.join(again, match, "left_anti")
-                    .unionByName(rows.join(again, match, "left_semi").dropDuplicates(["__id", "__digest"])))
+    again = named(found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id")))).distinct()
+    rows = keep_one(rows, lost, again, "__id", "__digest")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACES, cut, same, texts
+from ledgerline.llm.common import SPACES, cut, join_same, texts
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -69,7 +69,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = texts(docs, id_col, text_col).withColumn("fp", F.xxhash64("text"))
     lost = (common_lines(d, min_chars, min_docs)
             .groupBy("doc_id", "fp").agg(F.collect_set("hash").alias("lost")))  # a document's own lines
-    joined = d.join(lost, same(d, lost, "doc_id", "fp"), "left").select(d["doc_id"], d["text"], lost["lost"])
+    joined = join_same(d, lost, "doc_id", "fp", how="left").select("doc_id", "text", "lost")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
