@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, exact_dedup, line_dedup, mixing, simhash
-from ledgerline.llm.common import read
+from ledgerline.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, simhash, toxicity
+from ledgerline.llm.common import cut, read
 from ledgerline.session import prepare
 
 
@@ -24,6 +24,34 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _held_out(folds: int, fold: int) -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def _predicted(scores: DataFrame, threshold: float, folds: int, fold: int) -> DataFrame:
+    return scores.select("doc_id", _held_out(folds, fold).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def training_labels(spark: SparkSession, sf_dir: str, column: str, folds: int, fold: int) -> DataFrame:
+    """Labelled rows that a model may learn from."""
+    rows = read(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("label"))
+    return rows.filter(~_held_out(folds, fold) & F.col("label").isNotNull())
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    scores = toxicity.score_all(read(spark, sf_dir, "documents"), training_labels(spark, sf_dir, "toxic", 3, 1))
+    return _predicted(scores, toxicity.THRESHOLD, 3, 1)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    x = cut(quality.with_statistics(read(spark, sf_dir, "documents")))
+    model = quality.fit(quality.training_rows(x, training_labels(spark, sf_dir, "quality", 4, 2)))
+    return _predicted(quality.scored(x, model), quality.THRESHOLD, 4, 2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return line_dedup.drop_lines(read(spark, sf_dir, "documents")).select(
@@ -46,7 +74,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
