@@ -1,5 +1,10 @@
 """A training-data pipeline over ``documents``: each stage applies one operator of
-``ledgerline.llm`` to all rows that its predecessor kept."""
+``ledgerline.llm`` to all rows that its predecessor kept.
+
+Stages write Parquet to the session's shared folder and the next one reads it, so a lost
+executor costs tasks of one stage only. All but the last return the columns of
+``documents``; the last adds how many words the mix takes of each document.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +12,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import exact_dedup
+from ledgerline.llm import decontaminate, exact_dedup, mixing, quality, simhash
 from ledgerline.llm.common import read
+from ledgerline.llm.queries import training_labels
 from ledgerline.session import prepare, scratch_path
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from labelled rows of
+    the folds that it may see."""
+    return quality.keep_good(docs, training_labels(spark, sf_dir, "quality", 4, 2))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts, the one with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints, the one with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix of sources takes words of, and how many."""
+    return mixing.mixed(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", good),
     ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("benchmark_decontamination", clean),
+    ("source_mixing", mix),
 ]
 
+#: A trained classifier decides the first stage: SQL cannot express it.
 ORACLE_SQL = None
 
 

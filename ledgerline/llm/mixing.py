@@ -13,7 +13,9 @@ source with a third of all rows therefore costs no task more than a few thousand
 Defined results: a null text has 0 words and takes 0; sources are ordered by code point with
 null, a source of its own, last; a source without words gets target 0; rows that repeat a
 document are documents of their own, tied ones ordered by a row hash; an empty table gives
-no rows; other columns pass through ``mix``.
+no rows. ``mixed`` returns the documents themselves with their other columns; there, rows that
+repeat doc_id, source and text become one that takes their words together, and columns named
+like those it adds are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WORD, cut
+from ledgerline.llm.common import WORD, cut, join_same
 
 WEIGHTS, MOST_EPOCHS, BUCKETS, SEED = (1, 2, 3), 3, 1 << 16, "mix-1"
 #: Letters a word has on average in running text.
@@ -70,14 +72,14 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
-    ``taken``."""
+    """One row per document: ``doc_id``, ``tie`` (a hash of the text), ``source``, ``size``,
+    ``source_size``, ``target``, ``taken``."""
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
                     F.col(f"`{text_col}`").alias("text"))
     d = d.withColumn("size", n_words(F.col("text")))
     d = d.withColumn("key", sampling_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")), seed))
     d = cut(d.select("doc_id", "source", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * buckets).alias("bucket"),
-                     F.xxhash64("text").alias("tie")))
+                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")))
     per_bucket = cut(d.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     t = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
@@ -98,6 +100,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("past")))))
     outside = (d.filter(~F.coalesce(at_edge, F.lit(False)))
                 .withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0))))
-    cols = ["doc_id", "source", "size", "source_size", "target",
+    cols = ["doc_id", "tie", "source", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")]
     return inside.select(*cols).unionByName(outside.select(*cols))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes words of, with ``mix_size``, ``mix_source_size``,
+    ``mix_target`` and ``mix_taken``."""
+    keys = ["__id", "__tie", "__source"]
+    of = (mix(docs, id_col, text_col, source_col, **options)
+          .groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("source").alias("__source"))
+          .agg(F.first("size").alias("mix_size"), F.first("source_size").alias("mix_source_size"),
+               F.first("target").alias("mix_target"), F.sum("taken").alias("mix_taken"), F.count("*").alias("__rows"))
+          .filter("mix_taken > 0"))
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+    rows = (docs.drop(*added).withColumn("__id", F.col(f"`{id_col}`")).withColumn("__source", F.col(f"`{source_col}`"))
+                .withColumn("__tie", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+    rows = join_same(rows, of, *keys)
+    again = cut(of.filter("__rows > 1").select("__id"))
+    if not again.isEmpty():
+        rows = rows.filter("__rows = 1").unionByName(rows.filter("__rows > 1").dropDuplicates(keys))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)

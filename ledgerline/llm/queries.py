@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, simhash, substring, toxicity
+from ledgerline.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, quality, simhash, substring, toxicity, url_filter
 from ledgerline.llm.common import cut, read
 from ledgerline.session import prepare
 
@@ -71,6 +71,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count_col="n_entities").select("doc_id", "n_entities", "text")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    marked = url_filter.page_labels(spark, read(spark, sf_dir, "labels"))
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), marked)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return substring.drop_repeats(read(spark, sf_dir, "documents")).select(
@@ -83,7 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
 }
