@@ -1,112 +1,133 @@
 """The daily run: landed fetch -> raw tables -> models -> quality checks.
 
-``run_daily`` is re-run safe: the accounts table is written as version
-``run_no`` from the newest version *below* it, and balances / facts are
-rewritten only in the snapshot-date partitions this run touches. Running the
-same day twice therefore leaves the same tables.
+``run_daily`` is re-run safe: the accounts table is written as version ``run_no``
+from the newest version *below* it, and balances / facts are rewritten only in the
+snapshot-date partition of the run. Merges compare load ids, so running a day
+twice, or an older load once more after a newer one, leaves the same tables.
 
 Folder layout under ``out_root``::
 
+    landed/version=<run_no>/                the fetch, parsed once, each record with its own text
+    landed_broken/version=<run_no>/         response bodies that could not be parsed (``on_broken="skip"``)
     raw/accounts/version=<run_no>/          landed accounts, merged on _id
     raw/account_balances/snapshot_date=.../ landed snapshots, merged on (account_id, snapshot_date)
     daily_balances/snapshot_date=.../
     portfolio_daily/snapshot_date=.../
+    metrics/version=<run_no>/               record count, latest refresh time, broken bodies
     quality/version=<run_no>/               check results of the run
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.exprs import LOCAL_ZONE
 from ledgerline.operators import quality, staging
-from ledgerline.operators.ingest import balance_snapshot
+from ledgerline.operators.ingest import balance_snapshot, ingest_metrics
 from ledgerline.operators.merge import dedupe_batch, merge_by_key
 from ledgerline.plans import models
-from ledgerline.schemas import ACCOUNT_RECORD
+from ledgerline.schemas import ACCOUNT_RECORD, RAW_ACCOUNTS, RAW_BALANCES, conform
 from ledgerline.session import prepare
-from ledgerline.sources.landed import flatten_struct, keyed_records, read_landed
-from ledgerline.sources.sinks import fresh_read, latest_version, touched_target, upsert_partitions, write_version
+from ledgerline.sources.landed import broken_bodies, flatten_struct, keyed_records, landed_bodies, read_landed
+from ledgerline.sources.sinks import (
+    fresh_read, latest_version, overwrite_partitions, read_version, upsert_partitions, write_version,
+)
 
 ACCOUNT_KEY = ["_id"]
 BALANCE_KEY = ["account_id", "snapshot_date"]
+KEPT_VERSIONS = 30   # of the accounts table, the landed fetches and the results of runs
 
 
 def _p(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def current_accounts(spark: SparkSession, out_root: str) -> DataFrame | None:
-    return latest_version(spark, _p(out_root, "raw", "accounts"))
+def current_accounts(spark: SparkSession, out_root: str, run_no: int | None = None) -> DataFrame | None:
+    """The accounts table as of a run, or the newest."""
+    root = _p(out_root, "raw", "accounts")
+    return latest_version(spark, root) if run_no is None else read_version(spark, root, run_no)
+
+
+def run_date(as_of: str) -> dt.date:
+    """Local calendar date of a run, the date of all its snapshots."""
+    return dt.datetime.fromisoformat(as_of).astimezone(ZoneInfo(LOCAL_ZONE)).date()
+
+
+def _ordered(df: DataFrame, keys: list[str], first: list) -> list:
+    """``first``, then all other columns: which of several records of one load stays does not
+    depend on how they were dealt to tasks."""
+    used = {c for c, _ in first} | set(keys)
+    return first + [(c, "desc") for c in df.columns if c not in used]
 
 
 def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str, load_id: str,
-              run_no: int, per_line: bool = False) -> DataFrame:
+              run_no: int, per_line: bool = False, on_broken: str = "fail") -> DataFrame:
     """Ingest one landed fetch taken at ``as_of`` and refresh every model; returns the check frame.
 
     ``per_line``: the landed responses are JSON lines instead of one page per file.
+    ``on_broken``: a response that cannot be parsed fails the run, or (``skip``) is kept aside
+    and counted in the run's metrics.
     """
     prepare(spark)
-    # one parse of the landed fetch feeds both raw tables; a lost block is re-read from the files
-    records = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line=per_line).persist()
-    try:
-        return _run(spark, records, out_root, as_of, load_id, run_no)
-    finally:
-        records.unpersist()
-
-
-def _run(spark: SparkSession, records: DataFrame, out_root: str, as_of: str, load_id: str,
-         run_no: int) -> DataFrame:
+    date, load = run_date(as_of), [("_dlt_load_id", "desc")]
+    today = lambda path: fresh_read(spark, path).filter(F.col("snapshot_date") == F.lit(date))
+
+    # one parse of the fetch, written, feeds both raw tables and the metrics
+    parsed = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line, on_broken, keep_raw=True)
+    write_version(parsed, _p(out_root, "landed"), run_no, KEPT_VERSIONS)
+    records = read_version(spark, _p(out_root, "landed"), run_no)
+    broken = F.lit(0).cast("long")
+    if on_broken == "skip":
+        write_version(broken_bodies(landed_bodies(spark, landed_path, per_line)), _p(out_root, "landed_broken"), run_no, KEPT_VERSIONS)
+        broken = F.lit(read_version(spark, _p(out_root, "landed_broken"), run_no).count()).cast("long")
+    write_version(ingest_metrics(records).withColumn("broken_bodies", broken), _p(out_root, "metrics"), run_no, KEPT_VERSIONS)
 
     # accounts: keyed records, flattened, stamped, merged on _id into a new version
-    accounts = flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta")) \
-        .withColumn("_dlt_load_id", F.lit(load_id))
-    acc_root = _p(out_root, "raw", "accounts")
-    base = latest_version(spark, acc_root, before=run_no)
-    order = [("_dlt_load_id", "desc")]
+    accounts = conform(flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta"))
+                       .withColumn("_dlt_load_id", F.lit(load_id)), RAW_ACCOUNTS)
+    root = _p(out_root, "raw", "accounts")
+    base, order = latest_version(spark, root, before=run_no), _ordered(accounts, ACCOUNT_KEY, load)
     merged = dedupe_batch(accounts, ACCOUNT_KEY, order) if base is None else \
-        merge_by_key(base.drop("version"), accounts, ACCOUNT_KEY, order)
-    write_version(merged, acc_root, run_no)
+        merge_by_key(base, accounts, ACCOUNT_KEY, order, order_proof=True)
+    write_version(merged, root, run_no, KEPT_VERSIONS)
 
-    # balances: one snapshot per keyed record, merged into the touched date partitions
-    snaps = balance_snapshot(records, as_of).withColumn("_dlt_load_id", F.lit(load_id))
+    # balances: one snapshot per keyed record, merged into the partition of the run's date
+    snaps = conform(balance_snapshot(records, as_of).withColumn("_dlt_load_id", F.lit(load_id)), RAW_BALANCES)
     bal_path = _p(out_root, "raw", "account_balances")
-    upsert_partitions(spark, snaps, bal_path, BALANCE_KEY, [("_dlt_load_id", "desc"), ("snapshot_at", "desc")],
-                      "snapshot_date")
-
-    # facts: recompute only the dates this run touched
-    raw_bal = touched_target(spark, bal_path, snaps, "snapshot_date")
-    daily = models.daily_balances(staging.stg_balances(raw_bal))
-    _overwrite_partitions(daily, _p(out_root, "daily_balances"))
-    fct = touched_target(spark, _p(out_root, "daily_balances"), snaps, "snapshot_date")
-    mot = models.portfolio_daily(fct)
-    _overwrite_partitions(mot, _p(out_root, "portfolio_daily"))
-
-    checks = run_checks(spark, out_root)
-    write_version(checks, _p(out_root, "quality"), run_no)
-    return fresh_read(spark, _p(out_root, "quality", f"version={int(run_no):012d}"))
+    upsert_partitions(spark, snaps, bal_path, BALANCE_KEY, _ordered(snaps, BALANCE_KEY, [*load, ("snapshot_at", "desc")]),
+                      "snapshot_date", order_proof=True)
 
+    # facts: only that date
+    overwrite_partitions(models.daily_balances(staging.stg_balances(today(bal_path))), _p(out_root, "daily_balances"), "snapshot_date")
+    overwrite_partitions(models.portfolio_daily(today(_p(out_root, "daily_balances"))), _p(out_root, "portfolio_daily"), "snapshot_date")
 
-def _overwrite_partitions(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("snapshot_date").parquet(path))
+    checks = run_checks(spark, out_root, run_no, date)
+    write_version(checks, _p(out_root, "quality"), run_no, KEPT_VERSIONS)
+    return read_version(spark, _p(out_root, "quality"), run_no)
 
 
-def model_frames(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
-    """The model graph over the stored tables (views computed on read)."""
-    raw_acc = current_accounts(spark, out_root).drop("version")
-    stg_acc = staging.stg_accounts(raw_acc)
+def model_frames(spark: SparkSession, out_root: str, run_no: int | None = None, date: dt.date | None = None) -> dict[str, DataFrame]:
+    """The model graph over the stored tables (views computed on read): all of it, or what one
+    run wrote (its accounts version, its date)."""
+    stored = lambda *parts: fresh_read(spark, _p(out_root, *parts)) if date is None else \
+        fresh_read(spark, _p(out_root, *parts)).filter(F.col("snapshot_date") == F.lit(date))
+    stg_acc = staging.stg_accounts(current_accounts(spark, out_root, run_no))
     return {
         "stg_accounts": stg_acc,
-        "stg_balances": staging.stg_balances(fresh_read(spark, _p(out_root, "raw", "account_balances"))),
-        "daily_balances": fresh_read(spark, _p(out_root, "daily_balances")),
-        "portfolio_daily": fresh_read(spark, _p(out_root, "portfolio_daily")),
+        "stg_balances": staging.stg_balances(stored("raw", "account_balances")),
+        "daily_balances": stored("daily_balances"),
+        "portfolio_daily": stored("portfolio_daily"),
         "dim_loans": models.dim_loans(stg_acc),
     }
 
 
-def run_checks(spark: SparkSession, out_root: str) -> DataFrame:
-    m = model_frames(spark, out_root)
+def run_checks(spark: SparkSession, out_root: str, run_no: int | None = None, date: dt.date | None = None) -> DataFrame:
+    """The checks of the model graph, over what one run wrote or over all of it."""
+    m = model_frames(spark, out_root, run_no, date)
     not_null = {
         "stg_accounts": ["account_id"], "stg_balances": ["account_id", "snapshot_date"],
         "daily_balances": ["account_id", "snapshot_date"], "portfolio_daily": ["snapshot_date"],

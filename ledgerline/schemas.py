@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType, DateType, DoubleType, StringType, StructField, StructType, TimestampType,
 )
@@ -52,3 +54,12 @@ RAW_BALANCES = _s(
     ("current", D), ("available", D), ("limit", D), ("overdrawn", BooleanType()),
     ("refreshed_balance_at", S), ("raw_balance", S), ("_dlt_load_id", S),
 )
+
+
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` in the declared columns and types of a landed table: a declared column that is
+    missing, or one that is not declared, is an error."""
+    names = [f.name for f in schema.fields]
+    if set(names) != set(df.columns):
+        raise ValueError(f"columns differ from the declared table: {sorted(set(names) ^ set(df.columns))}")
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -13,8 +13,9 @@ The engine needs three things from a session:
 * a shared folder for checkpoints and versioned tables, read from
   ``spark.checkpoint.dir`` (on a cluster also set
   ``spark.cleaner.referenceTracking.cleanCheckpoints=true`` at submit time so
-  checkpoint files are removed when no longer referenced). A private temporary folder is created only when the
-  session has none (local tests), never on a cluster that names one.
+  checkpoint files are removed when no longer referenced). Only in local mode, where one
+  process runs everything, a session that names none gets a private temporary folder; on a
+  cluster that is an error.
 """
 
 from __future__ import annotations
@@ -67,19 +68,17 @@ _FALLBACK_ROOT: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local runs and tests) a private folder is
-    created once per application; a cluster that names a folder always gets it.
+    When a local session names none, a private folder is created once per application.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        try:
-            root = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:  # pragma: no cover - conf not visible in this session
-            root = None
+        root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = _FALLBACK_ROOT.get(sc.applicationId)
         if root is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
             _FALLBACK_ROOT[sc.applicationId] = root
     if sc.getCheckpointDir() is None:

@@ -64,8 +64,7 @@ def _dec_text(c: Column, scale: int = 2) -> Column:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the dimension side of every adapter join: no scan spreading, its rows only feed a join
-    return read_table(spark, sf_dir, "customer", CUSTOMER_COLS, spread_scan=False)
+    return read_table(spark, sf_dir, "customer", CUSTOMER_COLS)
 
 
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

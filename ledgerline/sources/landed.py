@@ -12,38 +12,72 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 SEP = "__"  # one nesting level in a flattened column name
 
 
-def unwrap_envelopes(bodies: DataFrame, record_schema: StructType, body_col: str = "body") -> DataFrame:
+#: Column with a record's own JSON text.
+RAW = "_raw"
+_BROKEN = "_broken"
+
+
+def _parsed(bodies: DataFrame, body_col: str) -> DataFrame:
+    """``body`` and ``env``: the envelope with its records as JSON text, each as it was sent."""
+    texts = ArrayType(StringType())
+    env_t = StructType([StructField("items", texts), StructField("result", texts), StructField(_BROKEN, StringType())])
+    body = F.col(body_col)
+    # a bare array is parsed as {"items": [...]}: one JSON parse per body
+    as_env = F.when(F.ltrim(body).startswith("["), F.concat(F.lit('{"items":'), body, F.lit("}"))).otherwise(body)
+    return bodies.select(body.alias("body"), F.from_json(as_env, env_t, {"columnNameOfCorruptRecord": _BROKEN}).alias("env"))
+
+
+def _is_broken() -> Column:
+    return F.col("body").isNull() | F.col("env").isNull() | F.col(f"env.{_BROKEN}").isNotNull()
+
+
+def broken_bodies(bodies: DataFrame, body_col: str = "body") -> DataFrame:
+    """The response bodies that are no complete JSON document, to be kept aside and counted."""
+    return _parsed(bodies, body_col).filter(_is_broken()).select("body")
+
+
+def unwrap_envelopes(bodies: DataFrame, record_schema: StructType, body_col: str = "body", on_broken: str = "fail",
+                     keep_raw: bool = False) -> DataFrame:
     """One row per record found in the response bodies of ``bodies[body_col]``.
 
     * text starting with ``[`` -> the array itself
     * an object -> ``items`` if it has at least one element, else ``result``,
       else nothing (an empty ``items`` falls through to ``result``)
+    * a body that is no complete JSON document fails the read, or, with
+      ``on_broken="skip"``, is left to ``broken_bodies``
+
+    ``keep_raw`` adds each record's own text as ``RAW``.
     """
-    arr_t = ArrayType(record_schema)
-    env_t = StructType([StructField("items", arr_t), StructField("result", arr_t)])
-    body = F.col(body_col)
-    # a bare array is parsed as {"items": [...]}: one JSON parse per body
-    as_env = F.when(F.ltrim(body).startswith("["), F.concat(F.lit('{"items":'), body, F.lit("}"))).otherwise(body)
-    parsed = bodies.select(F.from_json(as_env, env_t).alias("_env"))
-    items, result = F.col("_env.items"), F.col("_env.result")
+    if on_broken not in ("fail", "skip"):
+        raise ValueError(f"on_broken: {on_broken}")
+    items, result = F.col("env.items"), F.col("env.result")
     records = F.when(F.size(items) > 0, items).when(F.size(result) > 0, result)
-    return parsed.select(F.explode(records).alias("_rec")).select("_rec.*")
+    parsed = _parsed(bodies, body_col)
+    if on_broken == "skip":
+        parsed = parsed.filter(~_is_broken())
+    else:
+        told = F.raise_error(F.concat(F.lit("broken response body: "), F.coalesce(F.substring("body", 1, 80), F.lit("NULL"))))
+        records = F.when(_is_broken(), told.cast(ArrayType(StringType()))).otherwise(records)
+    rows = parsed.select(F.explode(records).alias(RAW)).withColumn("_rec", F.from_json(RAW, record_schema))
+    return rows.select("_rec.*", *([RAW] if keep_raw else []))
 
 
-def read_landed(spark: SparkSession, path: str, record_schema: StructType, per_line: bool = False) -> DataFrame:
-    """Read landed responses and unwrap them.
+def landed_bodies(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """The response bodies of a landed fetch: one JSON document per file (an API response
+    page; ``wholetext`` keeps a page in one task while pages are parsed in parallel), or, with
+    ``per_line``, one per line, split like any text file."""
+    return spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "body")
 
-    Default: one JSON document per file (an API response page); ``wholetext``
-    keeps a page in one task while pages are parsed in parallel. ``per_line``:
-    one compact response per line (JSON lines), split like any text file.
-    """
-    bodies = spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "body")
-    return unwrap_envelopes(bodies, record_schema)
+
+def read_landed(spark: SparkSession, path: str, record_schema: StructType, per_line: bool = False,
+                on_broken: str = "fail", keep_raw: bool = False) -> DataFrame:
+    """Read landed responses and unwrap them."""
+    return unwrap_envelopes(landed_bodies(spark, path, per_line), record_schema, on_broken=on_broken, keep_raw=keep_raw)
 
 
 def keyed_records(records: DataFrame, key: str = "_id") -> DataFrame:

@@ -3,12 +3,16 @@
 Plain parquet has no MERGE, so two write paths keep re-runs idempotent:
 
 * ``write_version`` – a whole new table version in its own folder
-  (``version=<n>``); the caller chooses ``n`` (the run date or the stream batch
-  id), so a retried run rewrites the same folder instead of adding one.
+  (``version=<n>``); the caller chooses ``n`` (the run number or the stream batch
+  id), so a retried run rewrites the same folder instead of adding one;
 * ``upsert_partitions`` – for large time-partitioned facts: only partitions that
-  appear in the incoming rows are re-merged and overwritten (dynamic partition
-  overwrite); the merged rows are checkpointed first so the job never reads the
-  files it is replacing.
+  appear in the incoming rows are merged and rewritten (dynamic partition
+  overwrite). Spark writes the new files beside the table and replaces the
+  partitions when the whole job has succeeded, so the rows are written once and a
+  failing job leaves the table as it was.
+
+Whether a table exists is asked of the file system. An error while reading one
+that does exist always ends the write.
 """
 
 from __future__ import annotations
@@ -33,70 +37,85 @@ def fresh_read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    path = f"{root.rstrip('/')}/version={int(version):012d}"
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if the folder does not exist. One listing, no job."""
+    fs, p = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _version_path(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/version={int(version):012d}"
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions that were written to the end, oldest first."""
+    named = [c for c in children(spark, root) if c.startswith("version=")]
+    return sorted(int(c.removeprefix("version=")) for c in named
+                  if "_SUCCESS" in children(spark, f"{root.rstrip('/')}/{c}"))
+
+
+def write_version(df: DataFrame, root: str, version: int, keep: int | None = None) -> str:
+    """Write one version. With ``keep``, versions older than the newest ``keep`` are deleted."""
+    path = _version_path(root, version)
     df.write.mode("overwrite").parquet(path)
+    if keep is not None:
+        spark = df.sparkSession
+        for old in versions(spark, root)[:-keep]:
+            fs, p = _folder(spark, _version_path(root, old))
+            fs.delete(p, True)
     return path
 
 
-def latest_version(spark: SparkSession, root: str, before: int | None = None):
+def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    return fresh_read(spark, _version_path(root, version))
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """The newest version of a versioned table (below ``before`` if given), or None.
 
     Passing ``before`` = the version being written makes a retried write start
     from the same base as the first attempt.
     """
-    try:
-        versions = fresh_read(spark, root).select("version")
-    except Exception:  # no version written yet
-        return None
-    if before is not None:
-        versions = versions.filter(F.col("version") < before)
-    row = versions.agg(F.max("version").alias("v")).first()
-    if row is None or row.v is None:
-        return None
-    return fresh_read(spark, f"{root.rstrip('/')}/version={int(row.v):012d}")
-
-
-MAX_PRUNED_PARTITIONS = 10_000   # touched partition values listed explicitly up to this many
+    found = [v for v in versions(spark, root) if before is None or v < before]
+    return read_version(spark, root, found[-1]) if found else None
 
 
 def touched_target(spark: SparkSession, path: str, incoming: DataFrame, partition_col: str) -> DataFrame:
-    """The target rows in the partitions ``incoming`` touches, read with partition pruning.
+    """The target rows in the partitions that ``incoming`` touches.
 
-    The touched values are one per calendar day of the batch, a set bounded by the
-    calendar, so they are collected and applied as an ``isin`` on the partition
-    column: the scan lists only those folders (static pruning, whatever the
-    optimizer estimates for the batch). Beyond ``MAX_PRUNED_PARTITIONS`` values it
-    falls back to a semi-join.
+    One plan at every size: the incoming first and last value bound the listing
+    (static partition pruning by two scalars), a semi-join keeps the touched
+    partitions in between. The NULL partition is touched by a NULL value.
     """
-    target = fresh_read(spark, path)
-    values = incoming.select(partition_col).distinct().limit(MAX_PRUNED_PARTITIONS + 1).collect()
-    if len(values) <= MAX_PRUNED_PARTITIONS:
-        return target.filter(F.col(partition_col).isin([v[0] for v in values]))
-    return target.join(incoming.select(partition_col).distinct(), partition_col, "left_semi")
+    target, value = fresh_read(spark, path), F.col(partition_col)
+    seen = incoming.agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count_if(value.isNull()).alias("nulls")).first()
+    touched = incoming.select(partition_col).filter(value.isNotNull()).distinct()
+    rows = target.filter(value.between(F.lit(seen["first"]), F.lit(seen["last"]))).join(touched, partition_col, "left_semi")
+    return rows.unionByName(target.filter(value.isNull())) if seen["nulls"] else rows
 
 
 def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str],
                       order: list, partition_col: str, order_proof: bool = False) -> None:
     """Merge ``incoming`` into the table at ``path`` partitioned by ``partition_col``.
 
-    Only the partitions touched by ``incoming`` are read (``touched_target``) and
-    rewritten.
+    Only the partitions touched by ``incoming`` are read and rewritten, each row
+    once: the merged rows are rebalanced by partition, so a partition is a few
+    files of even size however the rows were dealt, and a hot one is split.
     """
-    try:
+    if any(c.startswith(f"{partition_col}=") for c in children(spark, path)):
         target = touched_target(spark, path, incoming, partition_col)
-    except Exception:  # first load: nothing to merge with
-        target = None
-    if target is None:
-        # first load: nothing is read from ``path``, so no lineage to cut
-        merged = dedupe_batch(incoming, keys, order)
-    else:
         merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
-        # cut the lineage to the files about to be replaced
-        merged = merged.checkpoint(eager=True)
-    # rows are already hash-partitioned by the merge keys: no extra shuffle,
-    # and a hot partition value is spread over many writer tasks
-    (merged.write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic")
-           .partitionBy(partition_col)
-           .parquet(path))
+    else:
+        merged = dedupe_batch(incoming, keys, order)
+    overwrite_partitions(merged, path, partition_col)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
+    """Replace the partitions that ``df`` has rows of."""
+    (df.hint("rebalance", partition_col).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))

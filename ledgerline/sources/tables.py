@@ -16,49 +16,15 @@ DRIVER_TABLES = (
 )
 
 
-_READS: dict[tuple, DataFrame] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """Read one driver table (``{sf_dir}/{name}.parquet``), optionally projected."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if columns is None else df.select(*columns)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None,
-               spread_scan: bool = True) -> DataFrame:
-    """Read one driver table (``{sf_dir}/{name}.parquet``), optionally projected.
-
-    The driver tables are read-only, so the lazy DataFrame (file listing, footer
-    schema, scan-spreading decision) is defined once per session and reused, the
-    way a temporary view is; no data is cached.
-    """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name,
-           tuple(columns) if columns is not None else None, spread_scan)
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        if columns is not None:
-            df = df.select(*columns)
-        df = spread(df) if spread_scan else df
-        _READS[key] = df
-    return df
-
-
-NARROW_SCAN_SPLITS = 16   # a scan with at most this many splits counts as narrow
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_splits: int = NARROW_SCAN_SPLITS) -> DataFrame:
-    """Give a narrow scan enough tasks for the per-row work that follows.
-
-    A parquet file is split by row group, so a table stored as a few large row
-    groups scans in a few tasks and every projection before the first shuffle
-    runs on those few cores. Only a scan with at most ``max_splits`` splits and
-    fewer than ``min_partitions`` (default: the session's parallelism) is dealt
-    round-robin to ``min_partitions``: at the default split size that is at most
-    ~2 GB of input, unless its row groups are oversized, which is the case this
-    is for. Any wider scan keeps its own splits, so a large table on a cluster
-    never gets an extra shuffle. Planning only; no job runs here.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits <= max_splits and splits < target:
-        return df.repartition(target)
-    return df
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog has a table or view of that name; a database that does not exist has none."""
+    return spark.catalog.tableExists(name)
 
 
 def resolve_table(spark: SparkSession, name: str, schemas: Iterable[str]) -> str:
@@ -70,9 +36,6 @@ def resolve_table(spark: SparkSession, name: str, schemas: Iterable[str]) -> str
     """
     for schema in schemas:
         qualified = f"{schema}.{name}"
-        try:
-            if spark.catalog.tableExists(qualified):
-                return qualified
-        except Exception:  # unknown database -> try the next one
-            continue
+        if table_exists(spark, qualified):
+            return qualified
     return name

@@ -10,8 +10,9 @@ landed and stops, which is how a daily job runs it.
 ``latest_state_stream`` (T2): a streaming aggregate keeps the latest row per key
 in the state store (``max_by`` over the version order) and emits changed keys
 in update mode; each micro-batch upserts them. State grows with the number of
-keys; ``state_delay`` bounds it (event-day watermark) when very late loads may
-be dropped.
+keys (a session that holds many sets the RocksDB state store, which spills, by
+``spark.sql.streaming.stateStore.providerClass``); ``state_delay`` bounds it
+(event-day watermark) when very late loads may be dropped.
 """
 
 from __future__ import annotations
@@ -23,16 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerline.operators.latest import OrderTerm, _check_order
+from ledgerline.session import checkpoint_root
 from ledgerline.sources.sinks import upsert_partitions
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def _upsert_batch(batch: DataFrame, target_path: str, keys, order, partition_col: str) -> None:
-    """Upsert one micro-batch. The batch is read twice (its touched dates, then the merge),
-    so it is first written to the shared checkpoint folder: the source or the state
-    update runs once, and a lost executor re-reads the checkpoint instead."""
-    batch = batch.checkpoint(eager=True)
+    """Upsert one micro-batch; merges compare versions, so replays and late files converge."""
     upsert_partitions(batch.sparkSession, batch, target_path, list(keys), list(order), partition_col,
                       order_proof=True)
 
@@ -71,10 +68,6 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
     ignored. Without it no row is ever dropped and state grows with the keys.
     """
     _check_order(order)
-    # state holds one row per key: keep it in RocksDB (off-heap, spills to local disk,
-    # checkpointed with the query) unless the session already chose a provider
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -95,7 +88,9 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
                     .select(*keys, *[F.col("__row").getField(c).alias(c) for c in payload]))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        _upsert_batch(batch, target_path, keys, order, partition_col)
+        # read twice (its first and last date, then the merge): the state update must run once
+        checkpoint_root(spark)
+        _upsert_batch(batch.checkpoint(), target_path, keys, order, partition_col)
 
     query = (latest.writeStream.outputMode("update").foreachBatch(upsert)
                    .option("checkpointLocation", checkpoint_path)
