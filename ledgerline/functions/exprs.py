@@ -78,17 +78,47 @@ def parse_or_default(c, default: float = DEFAULT_HOUSE_VALUE) -> Column:
 
 
 def money_round(c) -> Column:
-    """Round a money amount to cents, half-up on the decimal value."""
-    return F.round(col(c).cast("decimal(38,6)"), 2).cast("decimal(38,2)")
+    """Round a money amount to cents in one step, on the exact value of the double (2.675 is a
+    little less than that and gives 2.67); an exact half goes to the even cent."""
+    return F.replace(F.format_number(col(c), 2), F.lit(","), F.lit("")).cast("decimal(38,2)")
 
 
-def iso_text(c) -> Column:
-    """Instant -> ISO-8601 text with offset, fraction only when non-zero (like ``isoformat``)."""
+# ISO-8601 text, whole: date (calendar or week, with or without hyphens), optionally any one
+# character and a time (hours, minutes, seconds, fraction) with an optional offset.
+_ISO_DATE = r"(\d{4})(?:-?(\d{2})-?(\d{2})|-?W(\d{2})(?:-?([1-7]))?)"
+_ISO_TIME = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+_ISO_OFFSET = r"(?: ?(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?))?"
+ISO = f"^{_ISO_DATE}(?:[^0-9]{_ISO_TIME}{_ISO_OFFSET})?$"
+
+
+def iso_instant(c) -> Column:
+    """ISO-8601 text -> struct (``instant``, ``text``, ``naive``): the instant, the time as
+    written, with its own offset, in extended form, and whether it has none; such a time is
+    compared as UTC. NULL for anything else."""
     c = col(c)
-    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx")
-    frac = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(c.isNull(), F.lit(None)).when(
-        F.date_format(c, "SSSSSS") == "000000", whole).otherwise(frac)
+    part = lambda i: F.regexp_extract(c, ISO, i)
+    or_zero = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+    calendar = F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
+    # week 1 is the week of 4 January
+    monday = F.date_trunc("week", F.concat(part(1), F.lit("-01-04")).try_cast("date")).cast("date")
+    day = F.when(part(5) == "", F.lit(1)).otherwise(part(5).try_cast("int"))
+    week = F.when(part(4).between("01", "53"), F.date_add(monday, (part(4).try_cast("int") - 1) * 7 + day - 1))
+    date = F.when(part(4) == "", calendar).otherwise(week)
+    fraction = F.rpad(F.substring(part(9), 1, 6), 6, "0")
+    wall = F.concat(date.cast("string"), F.lit(" "), F.concat_ws(":", or_zero(6), or_zero(7), or_zero(8)), F.lit("."),
+                    fraction).try_cast("timestamp_ntz")
+    digits = F.regexp_replace(F.when(part(10) == "Z", F.lit("+000000")).otherwise(part(10)), ":", "")
+    hms = [F.rpad(F.substring(digits, i, 2), 2, "0") for i in (2, 4, 6)]
+    sign = F.when(digits.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    seconds = F.when(digits == "", F.lit(0)).otherwise(
+        sign * (hms[0].try_cast("int") * 3600 + hms[1].try_cast("int") * 60 + hms[2].try_cast("int")))
+    offset = F.when(digits == "", F.lit("")).otherwise(F.concat(
+        F.when((sign < 0) & (seconds != 0), F.lit("-")).otherwise(F.lit("+")), hms[0], F.lit(":"), hms[1],
+        F.when(hms[2] == "00", F.lit("")).otherwise(F.concat(F.lit(":"), hms[2]))))
+    text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)), offset)
+    instant = wall - F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.when(c.rlike(ISO) & wall.isNotNull(), F.struct(instant.alias("instant"), text.alias("text"), (offset == "").alias("naive")))
 
 
 # --- account-type predicates --------------------------------------------------

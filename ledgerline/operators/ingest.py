@@ -6,25 +6,47 @@ DataFrame; a record never leaves its executor.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.exprs import LOCAL_ZONE, blank_to_null, iso_text, local_date
-from ledgerline.sources.landed import keyed_records
+from ledgerline.functions.exprs import LOCAL_ZONE, blank_to_null, iso_instant, local_date
+from ledgerline.sources.landed import RAW, keyed_records
+
+BALANCE_FIELDS = {"currency": "string", "current": "double", "available": "double", "limit": "double", "overdrawn": "boolean"}
+
 
-BALANCE_FIELDS = ["currency", "current", "available", "limit", "overdrawn"]
+def _sent_balance():
+    """The balance of a record as it was sent, as JSON text."""
+    return F.from_json(RAW, "balance string").getField("balance")
 
 
-def balance_snapshot(records: DataFrame, as_of: str, zone: str = LOCAL_ZONE) -> DataFrame:
+def amounts_as_numbers(records: DataFrame) -> DataFrame:
+    """Records that carry their text, with balance fields that were sent as text read as what
+    they spell; a balance that is missing stays so."""
+    bal, sent = F.col("balance"), _sent_balance()
+    fields = [F.coalesce(bal.getField(n), F.get_json_object(sent, f"$.{n}").try_cast(t)).alias(n) for n, t in BALANCE_FIELDS.items()]
+    return records.withColumn("balance", F.when(sent.isNotNull(), F.struct(*fields)))
+
+
+def balance_snapshot(records: DataFrame, as_of: str, zone: str = LOCAL_ZONE, extra: Sequence[str] = ()) -> DataFrame:
     """One balance row per keyed record for a run at instant ``as_of`` (text with offset).
 
     ``snapshot_at`` is the run instant, ``snapshot_date`` its calendar date in
     ``zone``; a missing ``balance`` / ``connection`` / ``refreshed`` struct gives
-    NULL fields, and the raw balance is kept as JSON text (``{}`` when missing).
+    NULL fields. Of records that carry their text (``landed.RAW``), the balance is
+    kept as it was sent, whatever fields it has (``{}`` when missing), and an amount
+    sent as text is read as the number it spells. ``extra``: columns to carry along.
     """
     rec = keyed_records(records)
     at = F.lit(as_of).cast("timestamp")
     bal = F.col("balance")
+    if RAW in records.columns:
+        sent = _sent_balance()
+        rec = amounts_as_numbers(rec)
+    else:
+        sent = F.to_json(bal, {"ignoreNullFields": "false"})
     return rec.select(
         F.col("_id").alias("account_id"),
         at.alias("snapshot_at"),
@@ -33,26 +55,27 @@ def balance_snapshot(records: DataFrame, as_of: str, zone: str = LOCAL_ZONE) ->
         F.col("type").alias("account_type"),
         F.col("connection").getField("name").alias("connection_name"),
         F.col("status"),
-        *[bal.getField(f).alias(f) for f in BALANCE_FIELDS],
+        *[bal.getField(n).alias(n) for n in BALANCE_FIELDS],
         F.col("refreshed").getField("balance").alias("refreshed_balance_at"),
-        F.coalesce(F.to_json(bal, {"ignoreNullFields": "false"}), F.lit("{}")).alias("raw_balance"),
+        F.coalesce(sent, F.lit("{}")).alias("raw_balance"),
+        *extra,
     )
 
 
 def ingest_metrics(records: DataFrame) -> DataFrame:
     """Record count and the latest ``refreshed.balance``.
 
-    Latest = the greatest parseable ISO instant (ISO text with offset), else the
-    greatest non-empty raw text, else NULL. One partial aggregate per task.
+    Latest = the ISO time of the greatest instant, with the offset it was sent with,
+    else the greatest non-empty raw text, else NULL. One partial aggregate per task.
     """
     raw = blank_to_null(F.col("refreshed").getField("balance"))
-    parsed = F.try_to_timestamp(raw)
+    parsed = iso_instant(raw)
     agg = records.agg(
         F.count(F.lit(1)).alias("record_count"),
-        F.max(parsed).alias("_max_parsed"),
-        F.max(raw).alias("_max_raw"),
-    )
-    return agg.select(
-        "record_count",
-        F.coalesce(iso_text(F.col("_max_parsed")), F.col("_max_raw")).alias("latest_refreshed"),
+        F.max(parsed).alias("_parsed"),
+        F.bool_or(~parsed.getField("naive")).alias("_offsets"),
+        F.max(raw).alias("_raw"),
     )
+    # a time without offset among times with one is told as the UTC time it was compared as
+    utc = F.when(F.col("_parsed.naive") & F.col("_offsets"), F.lit("+00:00")).otherwise(F.lit(""))
+    return agg.select("record_count", F.coalesce(F.concat("_parsed.text", utc), F.col("_raw")).alias("latest_refreshed"))

@@ -1,24 +1,11 @@
-"""Account-by-date spines and deterministic loan roll-forwards.
-
-Both expand one input row into one row per day in the task that holds the row
-(``explode`` of a per-row sequence, or a per-batch numpy step), never a join of
-all accounts with all days: the output is exactly the rows asked for.
-"""
+"""Account-by-date spines: one row per account becomes one row per day in the task that
+holds it (``explode`` of a sequence), never a join of all accounts with all days."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.exprs import blank_to_null, credit_flag, naive_utc
-
-# Fixed values of the balance model.
-DEFAULT_PRINCIPAL = 500000.0
-DEFAULT_PAYMENT = 3000.0
-CARD_START_BALANCE = 1500.0
-DAYS_PER_YEAR = 365.0
-OUTPUT_ROWS = 500_000   # rows per frame the roll-forward hands back to Arrow
-
 
 def date_spine(df: DataFrame, key: str = "account_id", date_col: str = "snapshot_date") -> DataFrame:
     """One row per key per calendar day from its first to its last observed date.
@@ -33,105 +20,3 @@ def date_spine(df: DataFrame, key: str = "account_id", date_col: str = "snapshot
         F.col("snapshot_date").cast("timestamp_ntz").alias("snapshot_at"),
         F.dayofmonth("snapshot_date").alias("day_of_month"),
     )
-
-
-def _number_or(c: Column, default: float) -> Column:
-    """Python ``float(x or default)`` on text: NULL, blank and 0 count as missing."""
-    return F.coalesce(F.nullif(blank_to_null(c).try_cast("double"), F.lit(0.0)), F.lit(default))
-
-
-def loan_parameters(accounts: DataFrame, start_date: str) -> DataFrame:
-    """Roll-forward inputs per loan account (type text containing 'loan', any case).
-
-    start balance  1500 for credit/card types, else the principal (default 500000)
-    payment        variant column, else the text amount, else 3000 (0 counts as missing)
-    rate           percent per year, default 0
-    payment day    day of the next repayment date, else the day of ``start_date``
-    """
-    L = "meta__loan_details__"
-    t = F.lower(F.coalesce(F.col("type"), F.lit("")))
-    principal = _number_or(F.col(L + "initial_principal"), DEFAULT_PRINCIPAL)
-    payment_text = _number_or(F.col(L + "repayment__next_amount"), DEFAULT_PAYMENT)
-    payment = F.coalesce(F.nullif(F.col(L + "repayment__next_amount__v_double"), F.lit(0.0)), payment_text)
-    next_date = naive_utc(blank_to_null(F.col(L + "repayment__next_date")).try_cast("timestamp"))
-    return accounts.filter(t.contains("loan")).select(
-        F.col("_id").alias("account_id"),
-        F.when(credit_flag("type"), F.lit(CARD_START_BALANCE)).otherwise(principal).alias("start_balance"),
-        (_number_or(F.col(L + "interest__rate"), 0.0) / F.lit(100.0)).alias("rate"),
-        payment.alias("payment"),
-        F.coalesce(F.dayofmonth(next_date), F.dayofmonth(F.lit(start_date).cast("date"))).alias("pay_day"),
-    )
-
-
-def loan_rollforward(params: DataFrame, start_date: str, days: int, method: str = "batched") -> DataFrame:
-    """Daily balance per loan: accrue ``b * rate/365``, pay on the payment day, floor at 0.
-
-    The recurrence is sequential in time but independent across accounts.
-
-    * ``"batched"`` (default) - ``mapInPandas``: each Arrow batch of accounts steps
-      through the days together with numpy (one vector operation per day for the
-      whole batch), linear in ``days``; no shuffle, accounts stay where they are.
-    * ``"aggregate"`` - JVM-only ``aggregate`` over the day sequence with an array
-      accumulator; no Python, but the per-step array append is quadratic in ``days``.
-
-    Both use the same floating-point operations in the same order.
-    """
-    if method == "aggregate":
-        return _rollforward_aggregate(params, start_date, days)
-    if method != "batched":
-        raise ValueError(f"unknown method {method!r}")
-    import datetime as dt
-
-    import numpy as np
-    import pandas as pd
-
-    first = dt.date.fromisoformat(start_date)
-    dates = np.array([first + dt.timedelta(days=i) for i in range(days)], dtype=object)
-    day_of_month = np.array([d.day for d in dates])
-
-    # accounts stepped together per chunk, so one yielded frame stays near OUTPUT_ROWS rows
-    chunk = max(1, OUTPUT_ROWS // days)
-
-    def roll(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                n = len(part)
-                b = part["start_balance"].to_numpy(dtype="float64").copy()
-                rate = part["rate"].to_numpy(dtype="float64")
-                pay = part["payment"].to_numpy(dtype="float64")
-                pay_day = part["pay_day"].to_numpy()
-                out = np.empty((n, days), dtype="float64")
-                for t in range(days):
-                    b = b + b * (rate / DAYS_PER_YEAR)
-                    b = np.where(pay_day == day_of_month[t], b - pay, b)
-                    b = np.maximum(0.0, b)
-                    out[:, t] = b
-                yield pd.DataFrame({
-                    "account_id": np.repeat(part["account_id"].to_numpy(), days),
-                    "snapshot_date": np.tile(dates, n),
-                    "balance": out.ravel(),
-                })
-
-    rolled = params.select("account_id", "start_balance", "rate", "payment", "pay_day").mapInPandas(
-        roll, "account_id string, snapshot_date date, balance double")
-    return rolled.select("account_id", "snapshot_date", F.col("balance").cast("decimal(38,4)").alias("balance"))
-
-
-def _rollforward_aggregate(params: DataFrame, start_date: str, days: int) -> DataFrame:
-    start = F.lit(start_date).cast("date")
-    seq = F.sequence(start, F.date_add(start, days - 1))
-    step_t = "struct<snapshot_date:date,balance:double>"
-    init = F.struct(F.col("start_balance").alias("b"), F.array().cast(f"array<{step_t}>").alias("out"))
-
-    def step(acc, d):
-        b = acc["b"]
-        accrued = b + b * (F.col("rate") / F.lit(DAYS_PER_YEAR))
-        paid = F.when(F.dayofmonth(d) == F.col("pay_day"), accrued - F.col("payment")).otherwise(accrued)
-        nb = F.greatest(F.lit(0.0), paid)
-        return F.struct(nb.alias("b"), F.concat(acc["out"], F.array(F.struct(d.alias("snapshot_date"),
-                                                                               nb.alias("balance")))).alias("out"))
-
-    rolled = params.select("account_id", F.aggregate(seq, init, step)["out"].alias("_out"))
-    return rolled.select("account_id", F.inline("_out")).select(
-        "account_id", "snapshot_date", F.col("balance").cast("decimal(38,4)").alias("balance"))

@@ -19,11 +19,18 @@ from ledgerline.functions.exprs import (
 LOAN = "meta__loan_details__"
 
 
+#: Columns that only later loads have: the number-typed variant of a field first sent as text.
+EVOLVED = (LOAN + "repayment__next_amount__v_double",)
+
+
 def _get(df: DataFrame, name: str, dtype: str = "string") -> Column:
-    """A column of the landed table, or NULL when an older load lacks it (schema evolution)."""
+    """A column of the landed table. One that is known to evolve is NULL in loads that lack it;
+    any other must be there."""
     if name in df.columns:
         return F.col(f"`{name}`")
-    return F.lit(None).cast(dtype)
+    if name in EVOLVED:
+        return F.lit(None).cast(dtype)
+    raise ValueError(f"landed table lacks column {name}")
 
 
 def variant_coalesce(text_col: Column, variant_col: Column, strict: bool = True) -> Column:

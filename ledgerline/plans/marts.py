@@ -1,15 +1,13 @@
 """Read-side marts: account list, balance history, portfolio series, freshness, loan KPIs.
 
-The KPI is one row: totals from one window pass over the daily portfolio table
-(one row per day, so the pass is bounded by the calendar), and the weighted rate
-from the loan dimension joined with each loan's latest balance. The heavy input,
-the daily fact, is a stored table (a checkpoint when derived on the fly), so it
-is deduplicated once although two groupings read it.
+The KPI is one row: totals from the daily portfolio table by partial aggregates, and the
+weighted rate from the loan dimension joined with each loan's latest balance. Marts read
+stored facts (``daily.model_frames``) or, as here registered, facts derived on the fly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import SUM_NUMERIC, loan_pred
@@ -25,7 +23,8 @@ LATEST_LOAN_ORDER = [("snapshot_date", "desc"), ("_dlt_load_id", "desc"), ("last
 def accounts_latest(stg_acc: DataFrame, strategy: str = "window") -> DataFrame:
     """All accounts (any type) at their latest version, by name with NULL names last."""
     cols = [c for c in stg_acc.columns if c != "_dlt_load_id"]
-    return latest_accounts(stg_acc, strategy).select(*cols).orderBy(F.col("account_name").asc_nulls_last())
+    # the id settles equal names, so no name (or its absence) has to sort in one task
+    return latest_accounts(stg_acc, strategy).select(*cols).orderBy(F.col("account_name").asc_nulls_last(), "account_id")
 
 
 def account_history(daily: DataFrame, account_id: str) -> DataFrame:
@@ -44,23 +43,12 @@ def latest_snapshot(mot: DataFrame) -> DataFrame:
     return mot.agg(F.max("snapshot_date").cast("string").alias("latest_snapshot_date"))
 
 
-def _with_period_dates(mot: DataFrame) -> DataFrame:
-    """Each portfolio day with the latest date and the last date before the latest month.
-
-    The portfolio table has one row per calendar day, so a global window over it
-    is bounded by the number of days, whatever the data volume upstream; it is
-    computed in one pass instead of nested scalar subqueries re-reading the table.
-    """
-    everything = Window.partitionBy()
-    with_latest = mot.withColumn("_latest", F.max("snapshot_date").over(everything))
-    before = F.when(F.col("snapshot_date") < F.trunc("_latest", "MM"), F.col("snapshot_date"))
-    return with_latest.withColumn("_prev", F.max(before).over(everything))
-
-
 def prev_month_end(mot: DataFrame) -> DataFrame:
-    """Latest snapshot date and the last snapshot date before its month (NULLs when empty)."""
-    d = _with_period_dates(mot.select("snapshot_date"))
-    return d.agg(F.max("_latest").alias("latest_date"), F.max("_prev").alias("prev_date"))
+    """Latest snapshot date and the last snapshot date before its month (NULLs when empty): the
+    days are summed up by month (a partial aggregate), and the two newest months are read off."""
+    months = mot.groupBy(F.trunc("snapshot_date", "MM").alias("month")).agg(F.max("snapshot_date").alias("last"))
+    two = F.sort_array(F.collect_list("last"), asc=False)  # one date per month
+    return months.agg(two.alias("d")).select(F.get("d", F.lit(0)).alias("latest_date"), F.get("d", F.lit(1)).alias("prev_date"))
 
 
 def latest_loan_balance(daily: DataFrame, strategy: str = "window") -> DataFrame:
@@ -87,28 +75,20 @@ def weighted_rate(joined: DataFrame) -> DataFrame:
     )
 
 
-KPI_DAILY_COLUMNS = ["account_id", "snapshot_date", "account_type", "is_credit_card", "current_balance",
-                     "available_balance", "credit_limit", "_dlt_load_id", "last_snapshot_at"]
-
-
 def loan_kpis(mot: DataFrame, dim: DataFrame, daily: DataFrame, strategy: str = "window") -> DataFrame:
     """One row: |latest total|, change against the last snapshot before this month, weighted rate.
 
-    ``mot`` is read once (one window pass), the weighted rate is a single scalar
-    subquery. ``daily`` feeds both the per-day totals and the per-account latest
-    balance, so callers pass a stored table (or a checkpoint of
-    ``KPI_DAILY_COLUMNS``) rather than a plan that would deduplicate twice.
+    ``mot`` (one row per day) is summed up to the last day of each month, of which the two
+    newest are read off; the weighted rate is a scalar subquery over ``daily``. Over stored
+    facts (``daily.model_frames``) each is read once.
     """
-    d = _with_period_dates(mot.select("snapshot_date", "total_net_debt"))
-    totals = d.agg(
-        F.max(F.when(F.col("snapshot_date") == F.col("_latest"), F.col("total_net_debt"))).alias("_curr"),
-        F.max(F.when(F.col("snapshot_date") == F.col("_prev"), F.col("total_net_debt"))).alias("_prev_total"),
-    )
+    months = (mot.groupBy(F.trunc("snapshot_date", "MM").alias("month"))
+                 .agg(F.max(F.struct("snapshot_date", "total_net_debt")).alias("last")))
+    two = months.agg(F.sort_array(F.collect_list("last"), asc=False).alias("d"))
     weighted = weighted_rate(loan_balance_join(dim, latest_loan_balance(daily, strategy)))
-    curr_abs = F.abs(F.coalesce(F.col("_curr"), F.lit(0)))
-    prev_abs = F.abs(F.coalesce(F.col("_prev_total"), F.lit(0)))
-    return totals.select(
-        curr_abs.cast(SUM_NUMERIC).alias("total_net_debt"),
-        (curr_abs - prev_abs).cast(SUM_NUMERIC).alias("monthly_change"),
+    debt = lambda i: F.abs(F.coalesce(F.get("d", F.lit(i)).getField("total_net_debt"), F.lit(0)))
+    return two.select(
+        debt(0).cast(SUM_NUMERIC).alias("total_net_debt"),
+        (debt(0) - debt(1)).cast(SUM_NUMERIC).alias("monthly_change"),
         weighted.select("weighted_rate").scalar().alias("weighted_interest_rate"),
     )

@@ -63,29 +63,30 @@ def portfolio_daily(daily: DataFrame) -> DataFrame:
     )
 
 
-def portfolio_daily_lenient(raw_bal: DataFrame, out_type: str = "decimal(38,2)") -> DataFrame:
+def portfolio_daily_lenient(raw_bal: DataFrame) -> DataFrame:
     """Development form: on landed rows without dedupe, double amounts, available/limit over all.
 
-    Double sums are order-dependent in the last bits; the result is rounded to
-    ``out_type`` (cents) so reruns and other engines give the same value.
+    Doubles are added as exact decimals and turned back at the end, so the totals do not
+    depend on the order in which tasks finish.
     """
     t = F.coalesce(F.col("account_type"), F.lit(""))
     is_loan = F.upper(t) == F.lit("LOAN")
-    cur = F.coalesce(lenient_amount("current"), F.lit(0.0))
 
-    def total(pred, amount):
-        return F.sum(F.when(pred, amount).otherwise(F.lit(0.0))).cast(out_type)
+    def total(amount, pred=None):
+        exact = F.coalesce(lenient_amount(amount), F.lit(0.0)).cast("decimal(28,8)")
+        return F.sum(exact if pred is None else F.when(pred, exact).otherwise(F.lit(0))).cast("double")
 
     return raw_bal.groupBy("snapshot_date").agg(
-        total(is_loan, cur).alias("total_mortgage_balance"),
-        total(credit_flag("account_type"), cur).alias("total_creditcard_balance"),
-        F.sum(cur).cast(out_type).alias("total_net_debt"),
-        F.sum(F.coalesce(lenient_amount("available"), F.lit(0.0))).cast(out_type).alias("total_available"),
-        F.sum(F.coalesce(lenient_amount("limit"), F.lit(0.0))).cast(out_type).alias("total_limit"),
+        total("current", is_loan).alias("total_mortgage_balance"),
+        total("current", credit_flag("account_type")).alias("total_creditcard_balance"),
+        total("current").alias("total_net_debt"),
+        total("available").alias("total_available"),
+        total("limit").alias("total_limit"),
     )
 
 
 def dim_loans_lenient(stg_lenient: DataFrame) -> DataFrame:
-    """Development form: every version of a LOAN-typed account, rate as double."""
+    """Development form: every version of a LOAN-typed account, its rate cast to double (text
+    that is no number raises, an empty one too)."""
     return stg_lenient.filter(F.upper(F.coalesce(F.col("account_type"), F.lit(""))) == "LOAN").select(
-        "account_id", lenient_amount("loan_interest_rate").alias("loan_interest_rate"))
+        "account_id", F.col("loan_interest_rate").cast("double").alias("loan_interest_rate"))

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import exprs
 from ledgerline.operators import quality
 from ledgerline.operators.ingest import balance_snapshot, ingest_metrics
 from ledgerline.operators.merge import merge_by_key
@@ -156,3 +157,72 @@ def test_versioned_table_retry_reads_the_version_below(spark, tmp_path):
     assert latest_version(spark, root, before=2).first().v == 1
     write_version(spark.createDataFrame([("a", 3)], "k string, v int"), root, 2)   # the retry rewrites v2
     assert latest_version(spark, root).first().v == 3
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2024-07-01T12:00:00Z", "2024-07-01T12:00:00+00:00"), ("20240701T120000Z", "2024-07-01T12:00:00+00:00"),
+    ("2024-07-01T12:00:00+12:00", "2024-07-01T12:00:00+12:00"), ("2024-07-01 12:00", "2024-07-01T12:00:00"),
+    ("2024-07-01", "2024-07-01T00:00:00"), ("2024-W27-1T05", "2024-07-01T05:00:00"), ("2024W271", "2024-07-01T00:00:00"),
+    ("2024-07-01T12:00:00.5-03:30", "2024-07-01T12:00:00.500000-03:30"), ("2024-07-01T12:00:00.123456789Z", "2024-07-01T12:00:00.123456+00:00"),
+    ("2024", None), ("2024-07", None), ("2024-02-30", None), ("2024-07-01T25:00", None), ("pending", None), ("", None),
+    ("2024-07-01T12:00:00 Z", "2024-07-01T12:00:00+00:00"), ("x2024-07-01", None)])
+def test_iso_grammar(spark, text, want):
+    import datetime
+    got = spark.createDataFrame([(text,)], "t string").select(exprs.iso_instant("t").getField("text")).first()[0]
+    assert got == want
+    try:
+        python = datetime.datetime.fromisoformat(text.replace("Z", "+00:00")).isoformat()
+    except ValueError:
+        python = None
+    assert got == python
+
+
+def test_latest_refresh_keeps_its_offset_and_compares_instants(spark):
+    sent = ["2024-07-01T12:00:00+12:00", "2024-07-01T01:00:00+00:00", "2024", "2024-07-01T12:00:00+11:30"]
+    recs = landed.unwrap_envelopes(bodies(spark, [[rec(str(i), refreshed=t) for i, t in enumerate(sent)]]), ACCOUNT_RECORD)
+    assert ingest_metrics(recs).first().latest_refreshed == "2024-07-01T01:00:00+00:00"
+    assert ingest_metrics(recs.filter("_id <> '1'")).first().latest_refreshed == "2024-07-01T12:00:00+11:30"
+
+
+def test_balances_are_kept_as_sent(spark):
+    sent = [rec("a", balance={"currency": "NZD", "current": "-5.5", "pending": {"x": [1, "y"]}, "overdrawn": "true"}),
+            rec("b", balance={"current": 1.10, "limit": "none"}), rec("c"), rec("d", balance=None)]
+    recs = landed.unwrap_envelopes(bodies(spark, [sent]), ACCOUNT_RECORD, keep_raw=True)
+    out = {r.account_id: r for r in balance_snapshot(recs, "2024-07-01T12:00:00Z").collect()}
+    for r in sent[:2]:
+        assert json.loads(out[r["_id"]].raw_balance) == r["balance"]
+    assert out["a"].current == -5.5 and out["a"].overdrawn is True and out["a"].currency == "NZD"
+    assert out["b"].current == 1.1 and out["b"].limit is None
+    assert out["c"].raw_balance == out["d"].raw_balance == "{}" and out["c"].current is None
+
+
+def test_broken_bodies(spark):
+    from pyspark.errors import PySparkException
+    docs = spark.createDataFrame([('[{"_id": "a"}]',), ('{"items": [{"_id": "b"',), (None,), ("",), ('{"items": []}',)], "body string")
+    assert [r.body for r in landed.broken_bodies(docs).collect()] == ['{"items": [{"_id": "b"', None, ""]
+    assert [r._id for r in landed.unwrap_envelopes(docs, ACCOUNT_RECORD, on_broken="skip").collect()] == ["a"]
+    with pytest.raises(PySparkException, match="broken response body"):
+        landed.unwrap_envelopes(docs, ACCOUNT_RECORD).collect()
+
+
+def test_staging_needs_its_columns(spark):
+    from ledgerline.operators import staging
+    from ledgerline.plans import models
+    from ledgerline.schemas import RAW_ACCOUNTS, RAW_BALANCES
+    bal, acc = spark.createDataFrame([], RAW_BALANCES), spark.createDataFrame([], RAW_ACCOUNTS)
+    for c in ("current", "_dlt_load_id", "snapshot_at"):
+        with pytest.raises(ValueError, match=c):
+            staging.stg_balances(bal.drop(c))
+    assert staging.stg_accounts(acc.drop(*staging.EVOLVED)).count() == 0
+    with pytest.raises(ValueError):
+        staging.stg_accounts(acc.drop("type"))
+    loans = spark.createDataFrame([("a", "LOAN", "4.5"), ("b", "x", "")], "account_id string, account_type string, loan_interest_rate string")
+    assert models.dim_loans_lenient(loans).first().loan_interest_rate == 4.5
+    with pytest.raises(Exception):
+        models.dim_loans_lenient(loans.withColumn("account_type", F.lit("loan"))).collect()
+
+
+@pytest.mark.parametrize("x", [2.6749999999, 1.0049999999, 2.675, 1.005, 0.125, 0.375, -2.675, 1234567.891, 0.0, -0.004, 1e-9])
+def test_money_is_rounded_once(spark, x):
+    got = spark.createDataFrame([(x,)], "x double").select(exprs.money_round("x")).first()[0]
+    assert got == Decimal(str(round(x, 2)))

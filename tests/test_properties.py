@@ -51,7 +51,9 @@ def test_batch_equals_stream(spark):
 def test_quality_clean_on_models(spark):
     res = {(r.model, r.column_name, r.check_name): r.failures
            for r in registry.QUERIES["dq_not_null"](spark, SF_SMALL).collect()}
-    assert set(res.values()) == {0}
+    landed = {k: v for k, v in res.items() if k[0] == "landed_records"}
+    assert landed and all(landed.values())          # the fetch has records without key or balance
+    assert {v for k, v in res.items() if k not in landed} == {0}
     uq = {r.model: r.failures for r in registry.QUERIES["dq_unique"](spark, SF_SMALL).collect()}
     assert uq["dim_loans"] == 0 and uq["stg_accounts"] > 0   # trap 9: versions make staging non-unique
 
@@ -65,17 +67,6 @@ def test_flat_accounts_equal_flattened_records(spark):
     assert rows(flat) == rows(nested)
 
 
-def test_rollforward_methods_agree(spark):
-    from ledgerline.operators import projection
-    from ledgerline.operators.merge import dedupe_batch
-    from ledgerline.sources import fixtures
-    latest = dedupe_batch(fixtures.raw_accounts(spark, SF_SMALL), ["_id"], [("_dlt_load_id", "desc")])
-    params = projection.loan_parameters(latest, "2024-01-01")
-    a = projection.loan_rollforward(params, "2024-01-01", 75, method="batched")
-    b = projection.loan_rollforward(params, "2024-01-01", 75, method="aggregate")
-    assert a.count() == params.count() * 75
-    assert rows(a) == rows(b)
-
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
