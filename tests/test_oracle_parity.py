@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from ledgerline.plans.oracle import ORACLE
+from ledgerline.plans.registry import queries
 
 TABLES = ["customer", "orders", "events", "nation", "region"]
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = queries()
 
 
 def _norm(v):
@@ -38,6 +39,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -2,24 +2,25 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from ledgerline.operators.latest import latest_per_key
+from ledgerline.plans.registry import queries
 
 # queries that run jobs (streams, writes) while being built; their plans read stored files
-WRITES = {"stream_merge_balances", "stream_latest_balances", "daily_run", "loan_kpis"}
+WRITES = {"stream_merge_balances", "stream_latest_balances", "daily_run"}
+QUERIES = queries()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_no_cartesian_or_nested_loop_join(spark, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
-    df = entry.queries()["account_history"](spark, SF_SMALL)
+    df = QUERIES["account_history"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in plan
     assert "props" not in plan                       # unused column never read
@@ -42,19 +43,34 @@ def test_top1_with_a_third_of_rows_on_one_key(spark, strategy):
     assert ("WindowGroupLimit" in plan and "Partial" in plan) if strategy == "window" else "partial_max_by" in plan
 
 
-def test_spread_only_narrow_scans(spark, tmp_path):
-    from ledgerline.sources.tables import spread
-    wide = spark.range(0, 1000, 1, 40)            # 40 splits: wider than a narrow scan
-    assert spread(wide, min_partitions=64).rdd.getNumPartitions() == 40
-    narrow = spark.range(0, 1000, 1, 1)
-    assert spread(narrow, min_partitions=8).rdd.getNumPartitions() == 8
-    assert spread(spark.range(0, 1000, 1, 8), min_partitions=8).rdd.getNumPartitions() == 8
+def test_one_shuffle_for_a_merge(spark):
+    plan = QUERIES["merge_balances"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    on_keys = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("account_id") and "snapshot_date" in x[:60]]
+    assert len(on_keys) == 1
+
+
+def test_no_window_over_all_rows(spark):
+    from ledgerline.plans import marts
+    mot = spark.createDataFrame([("2024-01-31", 1), ("2024-02-01", 2)], "snapshot_date string, total_net_debt int") \
+        .withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+    out = marts.prev_month_end(mot)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [str(x) for x in out.first()] == ["2024-02-01", "2024-01-31"]
+    assert list(marts.prev_month_end(mot.limit(0)).first()) == [None, None]
+
+
+def test_tables_are_read_anew(spark, tmp_path):
+    src = f"{SF_SMALL}/events.parquet"
+    spark.read.parquet(src).write.parquet(f"{tmp_path}/events.parquet")
+    n = QUERIES["money_round"](spark, str(tmp_path)).count()
+    spark.read.parquet(src).limit(n // 2).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["money_round"](spark, str(tmp_path)).count() == n // 2
 
 
 PYTHON_OPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES - {"loan_rollforward"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_no_python_in_plans(spark, name):
-    plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(op in plan for op in PYTHON_OPS)
