@@ -78,9 +78,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame,
                   .join(shared(grams.select("h", "len", "gram").distinct()), ["h", "len"])
                   .groupBy("doc_id", "fp").agg(F.collect_set(F.struct("pos", "len", "gram")).alias("spans")))
     held = join_same(d, spans, "doc_id", "fp").select("doc_id", "fp", "spans", words(F.col("text")).alias("words"))
-    held = (held.withColumn("spans", F.filter("spans", lambda x: F.array_join(
-                F.slice("words", x["pos"] + 1, x["len"]), " ") == x["gram"]))
-                .drop("words").filter("size(spans) > 0").dropDuplicates(["doc_id", "fp"]))
+    # the words are bound to a lambda's variable, so they are made once per document and not per span
+    real = F.transform(F.array("words"), lambda w: F.filter("spans", lambda x: F.array_join(
+        F.slice(w, x["pos"] + 1, x["len"]), " ") == x["gram"]))[0]
+    held = (held.withColumn("spans", real).drop("words").filter("size(spans) > 0").dropDuplicates(["doc_id", "fp"]))
     held = cut(held)
     items = (held.select("doc_id", "fp", F.explode(F.array_distinct("spans.gram")).alias("gram"))
                  .join(shared(grams.select("gram", "item").distinct()), "gram")
