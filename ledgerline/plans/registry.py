@@ -408,15 +408,15 @@ def q_money_round(spark, d):
 
 # --- data quality ----------------------------------------------------------------
 
-def _checked_models(spark, d):
-    return {
-        "landed_records": records(spark, d),
-        "stg_accounts": stg_a(spark, d),
-        "stg_balances": stg_b(spark, d),
-        "daily_balances": daily_b(spark, d),
-        "portfolio_daily": mot_b(spark, d),
-        "dim_loans": dim_a(spark, d),
-    }
+def _checked_models(spark, d, names):
+    """The named models, each input of theirs built once."""
+    acc = stg_a(spark, d)
+    out = {"landed_records": records(spark, d), "stg_accounts": acc, "dim_loans": models.dim_loans(acc)}
+    if {"stg_balances", "daily_balances", "portfolio_daily"} & set(names):
+        bal = stg_b(spark, d)
+        daily = models.daily_balances(bal)
+        out |= {"stg_balances": bal, "daily_balances": daily, "portfolio_daily": models.portfolio_daily(daily)}
+    return {n: out[n] for n in names}
 
 
 NOT_NULL = {
@@ -433,14 +433,14 @@ UNIQUE = {"landed_records": ["_id"], "stg_accounts": ["account_id"], "dim_loans"
 @register("dq_not_null")
 def q_dq_not_null(spark, d):
     """not_null checks of the model graph: failing row count per (model, column)."""
-    m = _checked_models(spark, d)
+    m = _checked_models(spark, d, NOT_NULL)
     return quality.run_checks({k: (m[k], cols) for k, cols in NOT_NULL.items()}, {})
 
 
 @register("dq_unique")
 def q_dq_unique(spark, d):
     """unique checks: number of keys that occur more than once."""
-    m = _checked_models(spark, d)
+    m = _checked_models(spark, d, UNIQUE)
     return quality.run_checks({}, {k: (m[k], cols) for k, cols in UNIQUE.items()})
 
 

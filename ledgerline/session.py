@@ -52,6 +52,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # recording the Python call site of every column costs more than building the columns
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # remove checkpoint files once their DataFrame is garbage-collected
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
