@@ -31,6 +31,8 @@ from ledgerline.llm.common import cut, keep_one, texts
 from ledgerline.llm.components import components
 
 SHINGLE, BITS, SEGMENTS, HASH_SEED = 3, 3, 2, 42
+#: A fingerprint of more than 1 in ``HOT`` rows is joined by broadcast; there are fewer than ``HOT``.
+HOT = 1024
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -94,13 +96,19 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, segments:
     of the smallest document that is reachable)."""
     own = cut(fingerprints(docs, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie")
-    distinct = cut(own.groupBy("fp").agg(F.min(order).alias("first")))
+    distinct = cut(own.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     comp = cut(components(links(distinct.select("fp"), bits, segments)))
     first = (comp.join(distinct, comp["node"] == distinct["fp"]).groupBy("label").agg(F.min("first").alias("first")))
     linked = comp.join(first, "label").select(F.col("node").alias("fp"), "first")
-    final = (distinct.join(linked.withColumnRenamed("first", "of_all"), "fp", "left")
-                     .select("fp", F.coalesce("of_all", "first").alias("first")))
-    return own.join(final, "fp").select("doc_id", "tie", "fp", "first")
+    final = cut(distinct.join(linked.withColumnRenamed("first", "of_all"), "fp", "left")
+                        .select("fp", "n", F.coalesce("of_all", "first").alias("first")))
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    # copies of one text may be a third of all rows: they get their group on the map side
+    hot = final.filter(F.col("n") > rows / HOT).select("fp", F.col("first").alias("of_hot"))
+    split = own.join(F.broadcast(hot), "fp", "left")
+    rest = split.filter("of_hot IS NULL").drop("of_hot").join(final.filter(F.col("n") <= rows / HOT), "fp")
+    return (split.filter("of_hot IS NOT NULL").select("doc_id", "tie", "fp", F.col("of_hot").alias("first"))
+                 .unionByName(rest.select("doc_id", "tie", "fp", "first")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
