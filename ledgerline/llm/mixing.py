@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD, cut, join_same
 
-WEIGHTS, MOST_EPOCHS, BUCKETS, SEED = (1, 2, 3), 3, 1 << 16, "mix-1"
+WEIGHTS, MOST_EPOCHS, BUCKETS, SEED = (1, 2, 3), 3, 1 << 12, "mix-1"
+#: Sources up to which their budgets are broadcast.
+MOST_BROADCAST = 100_000
 #: Letters a word has on average in running text.
 USUAL_WORD = 5.0
 
@@ -85,14 +87,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                                 .otherwise(F.lit(0)).cast("long"))
     t = cut(t.withColumn("left", F.floor("target") - F.col("epochs") * F.col("source_size")))
+    # one row per source: broadcast if they are few, so that a hot source is not dealt to one task
+    shared = F.broadcast if t.count() <= MOST_BROADCAST else (lambda d: d)
     start = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = per_bucket.withColumn("start", F.coalesce(F.sum("words").over(start), F.lit(0)))
-    edge = (edge.join(t.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
+    edge = (edge.join(shared(t.select(F.col("source").alias("s"), "left")), F.col("source").eqNullSafe(F.col("s")))
                 .filter("start <= left AND left < start + words")
                 .select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "start"))
     t = (t.withColumnRenamed("source", "t").join(edge, F.col("t").eqNullSafe(F.col("s")), "left").drop("s"))
-    # few sources in most corpora, but their number is not bounded: no broadcast is forced
-    d = d.join(t, F.col("source").eqNullSafe(F.col("t")))
+    d = d.join(shared(t), F.col("source").eqNullSafe(F.col("t")))
     at_edge = F.col("bucket") == F.col("edge")
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = (d.filter(at_edge)
