@@ -145,3 +145,11 @@ def test_equal_windows_have_equal_anchors():
     for i in range(len(words) - 8):
         assert h[at[i]] == min(h[i:i + 7]) and i <= at[i] < i + 7
         assert seen.setdefault(tuple(words[i:i + 9]), at[i] - i) == at[i] - i
+
+
+def test_stretch_labels_do_not_depend_on_the_place():
+    a, b = [b"x", b"y", b"z", b"x", b"y"], [b"q"] * 300 + [b"x", b"y"]
+    import numpy as np
+    one = substring.stretch_labels(a, np.array([0, 3, 0, 1]), np.array([2, 5, 3, 3]))
+    two = substring.stretch_labels(b, np.array([300, 299]), np.array([302, 301]))
+    assert one[0] == one[1] == two[0] and len({int(x) for x in (*one, *two)}) == 4
