@@ -56,8 +56,9 @@ def common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                                               pa.array(found, pa.binary())], ["doc_id", "fp", "hash"])
 
     held = cut(docs.mapInArrow(long_lines, "doc_id long, fp long, hash binary"))
-    counts = (held.groupBy("hash").agg(F.countDistinct(F.struct("doc_id", "fp")).alias("n"), F.max("doc_id").alias("keep_id"))
-                  .filter(F.col("n") >= min_docs).select("hash", "keep_id"))
+    counts = held.groupBy("hash").agg(F.countDistinct(F.struct("doc_id", "fp")).alias("n"), F.max("doc_id").alias("keep_id"))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits hot keys
+    counts = cut(counts.filter(F.col("n") >= min_docs).select("hash", "keep_id"))
     return (held.join(counts, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
                 .select("doc_id", "fp", "hash"))
 
