@@ -106,7 +106,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
               .withColumn("verdict", F.coalesce("rule_verdict", "given")).filter("verdict IS NOT NULL"))
     found = mine(known.select("tokens", "verdict"), support, confidence)
     open_ = p.filter("rule IS NULL")
-    bad = blocked(open_.select("tokens").distinct(), found).withColumn("bad", F.lit(True))
+    # written, so that the join is one of plain shuffles, of which Spark splits hot token sets
+    bad = cut(blocked(open_.select("tokens").distinct(), found).withColumn("bad", F.lit(True)))
     out = p.join(bad, "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(
         "rule_verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
