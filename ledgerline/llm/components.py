@@ -29,9 +29,11 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(links)
     while state[0]:
         near = _both_ways(links)
-        low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that both sides of the join are plain shuffles, of which Spark splits hot nodes
+        low = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = near.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a")
         small = (small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
