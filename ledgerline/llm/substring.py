@@ -252,8 +252,9 @@ def shared_runs(docs: DataFrame, window: int, gram: int, part: int) -> DataFrame
     a number), and ``runs`` (``first``, ``last``, ``key``, ``large``) of parts that branch."""
     found = cut(anchored(docs, window, gram))
     runs = found.select(*KEYS, F.explode(F.arrays_zip("first", "last", "key", "label")).alias("r")).select(*KEYS, "r.*")
-    counts = (runs.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-                  .filter("n > 1").select("key", "n", (F.col("low") == F.col("high")).alias("alike")))
+    counts = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # written, so that both sides of the join are plain shuffles, of which Spark splits hot keys
+    counts = cut(counts.filter("n > 1").select("key", "n", (F.col("low") == F.col("high")).alias("alike")))
     span = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
     one = F.struct("first", "last", "key", (F.col("n") > part).alias("large"))
     return (runs.drop("label").join(counts, "key").groupBy(*KEYS)
