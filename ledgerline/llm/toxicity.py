@@ -15,8 +15,8 @@ labelled rows and its margin made a probability by a logistic fit.
 Landmarks and machine are fitted on a bounded sample of the labelled rows (``MOST_TOXIC`` and
 ``MOST_OTHER`` rows, drawn by a hash of the id); every text is scored whole. The sample is what
 is broadcast. Each task compares only the distinct words of a batch that share enough letters
-with a landmark, so the kernel runs on a small share of the words; longer words than ``SPAN``
-letters are looked at in overlapping pieces.
+with a landmark, so the kernel runs on a small share of the words. Words too long for a landmark
+are looked at in overlapping windows of about its own size.
 
 Defined results: null and empty texts have likeness 0 to all landmarks and get a score; without
 toxic or without other labelled rows the score is the share of toxic ones (0 without rows).
@@ -24,9 +24,11 @@ toxic or without other labelled rows the score is the share of toxic ones (0 wit
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ ORDER, DECAY, SPAN = 3, 0.85, 24
 LANDMARKS, MOST_TOXIC, MOST_OTHER, THRESHOLD = 64, 3000, 6000, 0.7
 #: Share of a landmark's different letters that a word must have to be compared with it.
 LEAST_LETTERS = 0.75
+#: Likeness from which a window of a longer word counts.
+NEAR = 0.3
 _NOT_LETTERS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
 
@@ -74,15 +78,15 @@ def kernel(words: np.ndarray, others: np.ndarray, order: int = ORDER, decay: flo
     """Gap-weighted subsequence kernel of each row of ``words`` with that row of ``others``
     (codes, 0 beyond the end)."""
     value = np.zeros(len(words))
-    for at in range(0, len(words), 2048):
-        s, o = words[at:at + 2048].T, others[at:at + 2048].T
+    for at in range(0, len(words), 512):
+        s, o = words[at:at + 512].T, others[at:at + 512].T
         equal = ((s[None, :, :] == o[:, None, :]) & (s[None, :, :] != 0)).astype(np.float32) * decay * decay
         # tails[j, i]: weight of the subsequences of the level below that both words have before j and i
         tails = np.ones((len(o) + 1, len(s) + 1, s.shape[1]), np.float32)
         for level in range(order):
             ends = equal * tails[:-1, :-1]
             if level == order - 1:
-                value[at:at + 2048] = ends.sum(axis=(0, 1))
+                value[at:at + 512] = ends.sum(axis=(0, 1))
                 break
             tails = np.zeros_like(tails)
             for i in range(len(s)):
@@ -94,20 +98,16 @@ def kernel(words: np.ndarray, others: np.ndarray, order: int = ORDER, decay: flo
 
 def alike(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel, squared: one row per word, one column per landmark. 0 where the word
-    lacks the letters for it, or is not of about the landmark's length."""
+    lacks the letters for it, or is not of about the landmark's length (see ``alike_inside``)."""
     out = np.zeros((len(words), len(landmarks)))
     if not words or not landmarks:
         return out
     codes, length = _codes(words)
     marks, mark_length = _codes(landmarks)
-    masks = np.bitwise_or.reduce(np.where(codes > 0, np.left_shift(np.int64(1), codes.astype(np.int64) % 63), 0), axis=1)
+    masks = _masks(codes)
     rows, cols = [], []
     for j, size in enumerate(mark_length):
-        letters = np.unique(np.left_shift(np.int64(1), marks[j, :size].astype(np.int64) % 63))
-        have = np.zeros(len(words), np.int8)
-        for b in letters:
-            have += (masks & b) != 0
-        at = np.nonzero((have >= LEAST_LETTERS * len(letters)) & (length >= LEAST_LETTERS * size) & (length <= 2 * size + 2))[0]
+        at = np.nonzero(_has_letters(masks, marks[j, :size]) & (length >= LEAST_LETTERS * size) & (length <= 2 * size + 2))[0]
         rows.append(at)
         cols.append(np.full(len(at), j))
     row, col = np.concatenate(rows), np.concatenate(cols)
@@ -125,6 +125,73 @@ def alike(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def _window_sizes(size: int) -> tuple[int, int]:
+    """Letters of the shortest and of the longest window that is compared with a landmark."""
+    return max(math.ceil(LEAST_LETTERS * size), ORDER), size + size // 2
+
+
+@cache
+def _least_own(size: int) -> float:
+    """The least kernel of so many letters with themselves: no subsequence comes twice."""
+    return sum((size - n + 1) * math.comb(n - 2, ORDER - 2) * DECAY ** (2 * n) for n in range(ORDER, size + 1))
+
+
+def _masks(codes: np.ndarray) -> np.ndarray:
+    """Letters of each row as bits (several letters share one)."""
+    return np.bitwise_or.reduce(np.where(codes > 0, np.left_shift(np.int64(1), codes.astype(np.int64) % 63), 0), axis=1)
+
+
+def _has_letters(masks: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether ``LEAST_LETTERS`` of the landmark's different letters are there."""
+    letters = np.unique(np.left_shift(np.int64(1), mark.astype(np.int64) % 63))
+    return sum(((masks & b) != 0).astype(np.int8) for b in letters) >= LEAST_LETTERS * len(letters)
+
+
+def alike_inside(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """For words too long for a landmark, the largest likeness of their windows to it, 0 below
+    ``NEAR`` (and for the others): a window is any run of ``_window_sizes`` letters. They are cut
+    into pieces of two landmarks' length that overlap by the longest window, so each window lies
+    whole in a piece. A piece is dropped only if no window in it can be near: its letters and
+    its kernel are not less than theirs, and their own kernel is not below ``_least_own``."""
+    out = np.zeros((len(words), len(landmarks)))
+    if not words or not landmarks:
+        return out
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    flat = _codes(["".join(words)])[0][0]
+    start = np.cumsum(length) - length
+    for m in sorted(set(map(len, landmarks))):
+        low, high = _window_sizes(m)
+        step, wide = 2 * m - high + 1, np.arange(2 * m)
+        long = np.nonzero(length > 2 * m + 2)[0]
+        pieces_of = -(-(length[long] - 2 * m) // step) + 1
+        word = np.repeat(long, pieces_of)
+        offset = (np.arange(len(word)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)) * step
+        for at in range(0, len(word), 1 << 13):
+            of, off = word[at:at + (1 << 13)], offset[at:at + (1 << 13)]
+            left = length[of] - off
+            code = np.where(wide < left[:, None], flat[np.minimum((start[of] + off)[:, None] + wide, len(flat) - 1)], 0)
+            masks = _masks(code)
+            for j in (j for j, mark in enumerate(landmarks) if len(mark) == m):
+                mark = _codes([landmarks[j]])[0]
+                norm = kernel(mark, mark)[0]
+                row = np.nonzero(_has_letters(masks, mark[0]))[0]
+                most = kernel(code[row], np.repeat(mark, len(row), 0)) ** 2 / norm / _least_own(low)
+                row = row[most >= NEAR * (1 - 1e-4)]
+                for w in range(low, high + 1):
+                    windows = np.lib.stride_tricks.sliding_window_view(code[row], w, axis=1)
+                    i, k = np.nonzero(windows[:, :, -1] != 0)
+                    windows = windows[i, k]
+                    near = _has_letters(_masks(windows), mark[0])
+                    i, windows = i[near], windows[near]
+                    value = kernel(windows, np.repeat(mark, len(i), 0)) ** 2 / norm
+                    near = value >= NEAR * _least_own(w) * (1 - 1e-4)
+                    i, windows, value = i[near], windows[near], value[near]
+                    value = np.minimum(value / np.maximum(kernel(windows, windows), 1e-9), 1.0)
+                    near = value >= NEAR
+                    np.maximum.at(out[:, j], of[row[i[near]]], value[near])
+    return out
+
+
 def likeness(batch: list[str], landmarks: list[str]) -> np.ndarray:
     """For each text its largest likeness to each landmark among all its words."""
     sets = [raw_words(t) for t in batch]
@@ -141,6 +208,13 @@ def likeness(batch: list[str], landmarks: list[str]) -> np.ndarray:
             parts.append(w)
             of.append(i)
     found: dict[str, np.ndarray] = {}
+    least = 2 * min(map(len, landmarks), default=0) + 2
+    plain = [(i, p) for i, p in enumerate(map(_plain, different)) if len(p) > least]
+    for start in range(0, len(plain), 10_000):
+        some = plain[start:start + 10_000]
+        k = alike_inside([p for _, p in some], landmarks)
+        for r in np.nonzero(k.any(axis=1))[0]:
+            found[different[some[r][0]]] = k[r]
     for start in range(0, len(parts), 50_000):
         k = alike(parts[start:start + 50_000], landmarks)
         for r in np.nonzero(k.any(axis=1))[0]:

@@ -262,3 +262,30 @@ def test_stages_of_odd_rows(spark, stage):
     out = f(spark, docs, SF_SMALL)
     assert out.columns[:5] == docs.columns and (stage == 4 or out.columns == docs.columns)
     assert out.count() <= docs.count() and f(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def test_insults_inside_long_words():
+    words = ["w" * 50 + "idiot", "youareanidiot", "idiotidiotidiot", "#allthisisworthlessstuff", "youareanidxiot", "zzzzzzdiotzzzzzz", "considerationofit"]
+    x = toxicity.likeness(words, ["idiot", "worthless"])
+    assert x[:3, 0] == pytest.approx(1) and x[3, 1] == pytest.approx(1) and x[4, 0] > .4 and x[5, 0] > .4 and not x[6].any()
+
+
+@pytest.mark.parametrize("mark", ["scum", "idiot", "worthless"])
+def test_no_window_of_a_long_word_is_lost(mark):
+    rng = np.random.default_rng(2)
+    low, high = toxicity._window_sizes(len(mark))
+    words = []
+    for n in rng.integers(2 * len(mark) + 3, 4 * len(mark) + 9, 60):
+        word = rng.choice(list(mark + "xyz"), n)
+        at = rng.integers(0, n - len(mark) + 1)
+        word[at:at + len(mark)] = list(mark)
+        word[rng.integers(0, n, rng.integers(0, 4))] = "x"
+        words.append("".join(word))
+    own, got = toxicity._codes([mark])[0], toxicity.alike_inside(words, [mark])[:, 0]
+    for word, value in zip(words, got, strict=True):
+        windows = [word[i:i + w] for w in range(low, high + 1) for i in range(len(word) - w + 1)]
+        windows = [w for w in windows if len(set(w) & set(mark)) >= toxicity.LEAST_LETTERS * len(set(mark))]
+        c = toxicity._codes([*windows, "x" * toxicity.ORDER])[0]
+        k = toxicity.kernel(c, np.repeat(own, len(c), 0)) ** 2 / toxicity.kernel(c, c) / toxicity.kernel(own, own)[0]
+        assert value == pytest.approx(k.max() if k.max() >= toxicity.NEAR else 0, abs=1e-4)
+    assert (got > .4).sum() > 20
