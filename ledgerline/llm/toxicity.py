@@ -6,11 +6,13 @@ a little and not everything ("id-iot", "idxiot"). Words are stripped of all that
 letter or digit, and letters that stand alone in a row are joined ("i d i o t"), so spaced
 and punctuated spellings come out as the word.
 
-Landmarks are words that labelled toxic texts hold far more often than others. A sentence is
-described by its likeness to each landmark (the largest kernel value, normalised and squared,
-among its words), Nyström-whitened by the landmarks' own kernel matrix; a document by the
-largest over its sentences. A linear support vector machine (squared hinge) is trained on
-labelled rows and its margin made a probability by a logistic fit.
+Landmarks are words that labelled toxic texts hold far more often than others. A text is described
+by its likeness to each landmark (the largest kernel value, normalised and squared, among its
+words and the windows of its sentences), Nyström-whitened by the landmarks' own kernel matrix.
+Sentence windows are made of a sentence's letters, wherever words begin and end ("worth less",
+"i. d. i. o. t."); the kernel runs on those that hold a landmark's letters in order, at most one
+missing and at most one other letter between neighbours. A linear support vector machine (squared
+hinge) is trained on labelled rows and its margin made a probability by a logistic fit.
 
 Landmarks and machine are fitted on a bounded sample of the labelled rows (``MOST_TOXIC`` and
 ``MOST_OTHER`` rows, drawn by a hash of the id); every text is scored whole. The sample is what
@@ -33,6 +35,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ LANDMARKS, MOST_TOXIC, MOST_OTHER, THRESHOLD = 64, 3000, 6000, 0.7
 LEAST_LETTERS = 0.75
 #: Likeness from which a window of a longer word counts.
 NEAR = 0.3
+#: Texts that are compared at once; words whose values a task keeps for the next ones.
+ROWS, MOST_KNOWN = 1500, 400_000
 _NOT_LETTERS = re.compile(r"[\W_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
 
@@ -61,6 +66,40 @@ def raw_words(text: str) -> set[str]:
     return out
 
 
+@cache
+def _spelled(mark: str) -> str:
+    """Pattern of a landmark's letters in order, at most one of them missing (of five or more) and
+    at most one other letter between neighbours."""
+    short = [mark[:i] + mark[i + 1:] for i in range(len(mark))] if len(mark) > 4 else []
+    return "|".join("[^\x01]??".join(x) for x in dict.fromkeys([mark, *short]))
+
+
+@cache
+def _finder(mark: str) -> re.Pattern:
+    return re.compile(f"(?=({_spelled(mark)}))")
+
+
+def spelled_apart(batch: list[str], landmarks: list[str]) -> list[set[str]]:
+    """For each text the windows of its sentences that spell a landmark (``_spelled``), wherever words
+    begin and end. A sentence ends at a stop that follows two letters and stands before a space."""
+    out: list[set[str]] = [set() for _ in batch]
+    if not batch or not landmarks:
+        return out
+    flat = pa.array([t.lower() for t in batch], pa.large_string())
+    flat = pc.replace_substring_regex(flat, r"([\p{L}\p{N}]{2})[.!?…]+\s", "\\1\x01")
+    flat = pc.split_pattern(pc.replace_substring_regex(flat, r"[^\p{L}\p{N}\x01]+", ""), "\x01")
+    of, flat = pc.list_parent_indices(flat), pc.list_flatten(flat)
+    for first in range(0, len(landmarks), 8):
+        some = landmarks[first:first + 8]
+        hit = pc.match_substring_regex(flat, "|".join(map(_spelled, some)))
+        row, sentence = of.filter(hit), flat.filter(hit)
+        for mark in some:
+            own = pc.match_substring_regex(sentence, _spelled(mark))
+            for i, s in zip(row.filter(own).to_pylist(), sentence.filter(own).to_pylist(), strict=True):
+                out[i].update(_finder(mark).findall(s))
+    return out
+
+
 def pieces(word: str) -> list[str]:
     return [word] if len(word) <= SPAN else [word[i:i + SPAN] for i in range(0, len(word) - SPAN // 2, SPAN // 2)]
 
@@ -192,14 +231,16 @@ def alike_inside(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def likeness(batch: list[str], landmarks: list[str]) -> np.ndarray:
-    """For each text its largest likeness to each landmark among all its words."""
-    sets = [raw_words(t) for t in batch]
-    different = list(set().union(*sets)) if sets else []
+def likeness(batch: list[str], landmarks: list[str], known: dict[str, np.ndarray | None] | None = None) -> np.ndarray:
+    """For each text its largest likeness to each landmark among all its words and the windows of
+    its sentences that spell a landmark. ``known`` keeps words' values for the next call."""
+    sets = [raw_words(t) | w for t, w in zip(batch, spelled_apart(batch, landmarks), strict=True)]
+    known = {} if known is None else known
+    different = list(set().union(*sets).difference(known)) if sets else []
+    known.update(dict.fromkeys(different))
+    plain = list(map(_plain, different))
     parts, of = [], []
-    for i, w in enumerate(different):
-        if not w.isalnum():
-            w = _plain(w)
+    for i, w in enumerate(plain):
         if len(w) > SPAN:
             own = pieces(w)
             parts.extend(own)
@@ -207,24 +248,20 @@ def likeness(batch: list[str], landmarks: list[str]) -> np.ndarray:
         elif len(w) >= ORDER:
             parts.append(w)
             of.append(i)
-    found: dict[str, np.ndarray] = {}
     least = 2 * min(map(len, landmarks), default=0) + 2
-    plain = [(i, p) for i, p in enumerate(map(_plain, different)) if len(p) > least]
-    for start in range(0, len(plain), 10_000):
-        some = plain[start:start + 10_000]
-        k = alike_inside([p for _, p in some], landmarks)
-        for r in np.nonzero(k.any(axis=1))[0]:
-            found[different[some[r][0]]] = k[r]
-    for start in range(0, len(parts), 50_000):
-        k = alike(parts[start:start + 50_000], landmarks)
-        for r in np.nonzero(k.any(axis=1))[0]:
-            w = different[of[start + r]]
-            found[w] = np.maximum(found[w], k[r]) if w in found else k[r]
+    long = [i for i, p in enumerate(plain) if len(p) > least]
+    for rows, values in ((of, lambda at: alike(parts[at:at + 10_000], landmarks)),
+                         (long, lambda at: alike_inside([plain[i] for i in long[at:at + 10_000]], landmarks))):
+        for start in range(0, len(rows), 10_000):
+            k = values(start)
+            for r in np.nonzero(k.any(axis=1))[0]:
+                w = different[rows[start + r]]
+                known[w] = k[r].copy() if known[w] is None else np.maximum(known[w], k[r])
     out = np.zeros((len(batch), len(landmarks)))
-    keys = found.keys()
     for i, s in enumerate(sets):
-        for w in keys & s:
-            np.maximum(out[i], found[w], out=out[i])
+        for w in s:
+            if (k := known[w]) is not None:
+                np.maximum(out[i], k, out=out[i])
     return out
 
 
@@ -279,9 +316,12 @@ def with_likeness(docs: DataFrame, landmarks: list[str]) -> DataFrame:
     """``doc_id`` and ``x``, the text's likeness to each landmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = likeness(b.column("text").to_pylist(), landmarks)
+        known: dict[str, np.ndarray | None] = {}
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            x = likeness(b.column("text").to_pylist(), landmarks, known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+            if len(known) > MOST_KNOWN:
+                known.clear()
 
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, x array<double>")
 

@@ -289,3 +289,17 @@ def test_no_window_of_a_long_word_is_lost(mark):
         k = toxicity.kernel(c, np.repeat(own, len(c), 0)) ** 2 / toxicity.kernel(c, c) / toxicity.kernel(own, own)[0]
         assert value == pytest.approx(k.max() if k.max() >= toxicity.NEAR else 0, abs=1e-4)
     assert (got > .4).sum() > 20
+
+
+def test_insults_spelled_over_word_ends():
+    texts = ["worth less", "such an id iot", "i. d. i. o. t.", "i - d - i - o - t", "you idi\not", "an id xiot", "a wor thles one"]
+    x = toxicity.likeness([*texts, "the idi. Other", "it is odd"], ["idiot", "worthless"])
+    assert x[0, 1] == pytest.approx(1) and x[1:5, 0] == pytest.approx(1) and x[5, 0] > .4 and x[6, 1] > .7
+    assert not x[7:].any()  # a window ends with its sentence
+
+
+def test_likeness_of_slices():
+    texts, marks = ["id iot and moron", "a moron", "nothing", "thisisanidiotagain", "a moron"], ["idiot", "moron"]
+    known = {}
+    parts = [toxicity.likeness([t], marks, known)[0] for t in texts]
+    assert np.array_equal(parts, toxicity.likeness(texts, marks))
