@@ -98,12 +98,11 @@ def blocked(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES,
           support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` of each page. ``labels``: ``page_id`` and
-    ``verdict`` (``allow`` or ``block``) of some; the verdict of a curated rule is a label too."""
+    ``verdict`` (``allow`` or ``block``) of some, which alone teach; curated rules only decide pages."""
     p = pages.select("page_id", F.col("url").alias("url"))
     p = curated(p.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens")), rules)
     p = cut(p)
-    known = (p.join(labels.select("page_id", F.col("verdict").alias("given")), "page_id", "left")
-              .withColumn("verdict", F.coalesce("rule_verdict", "given")).filter("verdict IS NOT NULL"))
+    known = p.join(labels.filter("verdict IS NOT NULL").select("page_id", "verdict"), "page_id")
     found = mine(known.select("tokens", "verdict"), support, confidence)
     open_ = p.filter("rule IS NULL")
     # written, so that the join is one of plain shuffles, of which Spark splits hot token sets

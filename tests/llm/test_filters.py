@@ -303,3 +303,11 @@ def test_likeness_of_slices():
     known = {}
     parts = [toxicity.likeness([t], marks, known)[0] for t in texts]
     assert np.array_equal(parts, toxicity.likeness(texts, marks))
+
+
+def test_labels_teach_and_curated_rules_do_not(spark):
+    urls = [f"http://evil.com/{i}" for i in range(60)] + [f"http://good{i % 5}.org/{i}" for i in range(60)] + ["http://evil.net/", "http://good1.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i < 60 else "allow") for i in range(120)], "page_id long, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert got[120] == "block" and got[121] == "allow" and {got[i] for i in range(60)} == {"allow"}
