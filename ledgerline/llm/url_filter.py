@@ -2,11 +2,11 @@
 
 A URL becomes a set of tokens (host labels, path segments, query keys, ...). FP-growth finds
 the token combinations that are frequent among labelled pages; those that come with the
-label ``block`` at ``CONFIDENCE`` or more and in ``SUPPORT`` of the pages or more are the rules, less
-those that a shorter rule implies. An inverted index lists each rule under its rarest
+label ``block`` at ``CONFIDENCE`` or more and on ``LEAST`` such pages or more, however many pages
+there are, are the rules, less those that a shorter rule implies. An inverted index lists each rule under its rarest
 token: a URL fetches the rules of its own tokens and is blocked if it has all tokens of one.
 
-Rules are few (support bounds them), URLs are many: only distinct token sets are matched, and
+Rules are fewer than URLs: only distinct token sets are matched, and
 curated rules are looked up by the host's suffixes, longest rule first.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no tokens, and is
@@ -25,7 +25,8 @@ from ledgerline.llm.common import ascii_lower, cut
 #: Curated rules: verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
-SUPPORT, CONFIDENCE = 0.02, 0.9
+#: Pages labelled ``block`` that a rule must hold, and the share that they must be of all that it holds.
+LEAST, CONFIDENCE = 10, 0.9
 
 
 def _rest(url: Column) -> Column:
@@ -67,36 +68,47 @@ def curated(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Data
     return pages.join(best, ["host", "path"], "left")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``rule`` (tokens) of the rules to ``block``, from ``tokens`` and ``verdict``."""
-    items = cut(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items")))
-    if items.isEmpty():
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """``rule`` (tokens) of the rules to ``block``, from ``tokens`` and ``verdict``. ``support``: share of
+    the pages that a rule must hold with ``block``; without it, ``LEAST`` pages."""
+    block = F.when(F.col("verdict") == "block", F.array(F.lit("verdict:block"))).otherwise(F.array().cast("array<string>"))
+    items = cut(labelled.filter("verdict IS NOT NULL").select(F.concat("tokens", block).alias("items")))
+    n = items.count()
+    if not n:
         return items.select(F.col("items").alias("rule"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = (model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == "verdict:block"))
-                  .select(F.sort_array("antecedent").alias("rule")))
-    rules = cut(rules)
-    # a rule that has all tokens of a shorter one adds nothing: look those up by their first token
-    short = rules.select(F.col("rule").alias("short"), F.col("rule")[0].alias("token"))
-    implied = (rules.withColumn("token", F.explode("rule")).join(short, "token")
-                    .filter((F.size("short") < F.size("rule")) & (F.size(F.array_except("short", "rule")) == 0))
-                    .select("rule").distinct())
+    # half a page less, as n times the share may come out above LEAST
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (LEAST - 0.5) / n) if support is None else support).fit(items)
+    sets = cut(model.freqItemsets.select(F.sort_array("items").alias("rule"), "freq"))
+    bad = (sets.filter(F.array_contains("rule", "verdict:block") & (F.size("rule") > 1))
+               .select(F.array_remove("rule", "verdict:block").alias("rule"), F.col("freq").alias("bad")))
+    rules = cut(bad.join(sets, "rule").filter(F.col("bad") >= confidence * F.col("freq")).select("rule"))
+    # a rule that has all tokens of a shorter one adds nothing: look those up by their rarest token
+    each = rules.select("rule", F.explode("rule").alias("token"))
+    short = _index(rules, each).select(F.col("rule").alias("short"), "token")
+    implied = (each.join(short, "token")
+                   .filter((F.size("short") < F.size("rule")) & (F.size(F.array_except("short", "rule")) == 0))
+                   .select("rule").distinct())
     return rules.join(implied, "rule", "left_anti")
 
 
+def _index(rules: DataFrame, each: DataFrame) -> DataFrame:
+    """``rule`` and its rarest ``token`` by the rows of ``each``."""
+    often = each.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("rule").orderBy("n", "token")
+    return (rules.select("rule", F.explode("rule").alias("token")).join(often, "token")
+                 .withColumn("turn", F.row_number().over(rarest)).filter("turn = 1").select("rule", "token"))
+
+
 def blocked(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """Those of the distinct token sets (``tokens``) that have all tokens of a rule."""
     each = sets.select("tokens", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("rule").orderBy("n", "token")
-    index = (rules.select("rule", F.explode("rule").alias("token")).join(often, "token")
-                  .withColumn("turn", F.row_number().over(rarest)).filter("turn = 1").select("rule", "token"))
+    index = _index(rules, each)
     return (each.join(index, "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
                 .select("tokens").distinct())
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES,
-          support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+          support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` of each page. ``labels``: ``page_id`` and
     ``verdict`` (``allow`` or ``block``) of some, which alone teach; curated rules only decide pages."""
     p = pages.select("page_id", F.col("url").alias("url"))

@@ -311,3 +311,12 @@ def test_labels_teach_and_curated_rules_do_not(spark):
     labels = spark.createDataFrame([(i, "block" if i < 60 else "allow") for i in range(120)], "page_id long, verdict string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
     assert got[120] == "block" and got[121] == "allow" and {got[i] for i in range(60)} == {"allow"}
+
+
+def test_a_rule_needs_few_pages_of_many(spark):
+    urls = [f"http://casino{'.net' if i % 2 else '.org'}/{i}" for i in range(12)] + [f"http://rare.org/{i}" for i in range(9)]
+    urls += [f"http://h{i % 300}.org/p{i}" for i in range(2000)] + ["http://casino.example.net/new", "http://rare.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i < 21 else "allow") for i in range(2021)], "page_id long, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert {got[i] for i in range(12)} == {got[2021]} == {"block"} and {got[i] for i in [*range(21, 2021), 2022]} == {"allow"}
