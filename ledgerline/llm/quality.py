@@ -80,6 +80,8 @@ class Model:
     weights: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
+    #: Labelled rows that it was fitted on.
+    rows: int = 0
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.sqrt(2.0 / len(self.phases)) * np.cos((x - self.mean) / self.scale @ self.frequencies + self.phases)
@@ -118,7 +120,7 @@ def fit(rows: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: i
     spread = np.array([got[f"s{i}"] or 0.0 for i in range(d)])
     model = Model(np.array([got[f"m{i}"] or 0.0 for i in range(d)]), np.where(spread > 1e-9, spread, 1.0),
                   rng.normal(0.0, 1.0 / math.sqrt(d), (d, features)), rng.uniform(0, 2 * math.pi, features),
-                  np.zeros(features + 1), np.array([0.0, 1.0]), np.array([share, share]))
+                  np.zeros(features + 1), np.array([0.0, 1.0]), np.array([share, share]), got["n"])
     if share in (0.0, 1.0) or not got["n"]:
         return model
 
@@ -178,6 +180,9 @@ def training_rows(statistics_of: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those scored below ``threshold`` by a model of their labelled rows."""
+    """``docs`` without those scored below ``threshold`` by a model of their labelled rows; all of
+    ``docs`` if none is labelled, as there is nothing to reject them by."""
     model = fit(training_rows(with_statistics(docs), labels))
+    if not model.rows:
+        return docs
     return docs.filter(score_of(F.col("text"), model) >= threshold)

@@ -320,3 +320,11 @@ def test_a_rule_needs_few_pages_of_many(spark):
     labels = spark.createDataFrame([(i, "block" if i < 21 else "allow") for i in range(2021)], "page_id long, verdict string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
     assert {got[i] for i in range(12)} == {got[2021]} == {"block"} and {got[i] for i in [*range(21, 2021), 2022]} == {"allow"}
+
+
+def test_without_labels_all_documents_are_kept(spark):
+    docs = _docs(spark)
+    for rows in ([], [(1, None)], [(99, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, label int")
+        assert quality.keep_good(docs, labels).count() == len(DOCS)
+    assert quality.keep_good(docs, spark.createDataFrame([(1, 0)], "doc_id long, label int")).count() == 0
