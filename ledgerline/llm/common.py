@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import checkpoint_root
+from ledgerline.session import checkpoint_root, scratch_path
 
 #: Characters that separate words (and are stripped from lines): space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,3 +57,11 @@ def keep_one(rows: DataFrame, lost: DataFrame, again: DataFrame, *keys: str) ->
         rows = (join_same(rows, again, *keys, how="left_anti")
                 .unionByName(join_same(rows, again, *keys, how="left_semi").dropDuplicates(list(keys))))
     return rows
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to a fresh place in the session's shared folder and read
+    again: later jobs start from the files, whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

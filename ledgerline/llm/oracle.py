@@ -111,3 +111,60 @@ t AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+ORACLE["op11_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (
+  SELECT i, vec_id, e FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.i, b.i AS j FROM g a JOIN g b ON a.i <> b.i AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(i, j) AS (
+  SELECT i, i FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT r.i, min(v.vec_id) AS component_id FROM r JOIN v ON r.j = v.i GROUP BY r.i),
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id::BIGINT AS component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.i = c.i LEFT JOIN n ON v.i = n.i
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of nearest centroid and floored mean, one pair of expressions each."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (
+  SELECT vec_id, min_by(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT x.vec_id, c.cluster, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d
+        FROM x JOIN c{i} c ON x.p = c.p GROUP BY x.vec_id, c.cluster)
+  GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.p, coalesce(m.x, c.x) AS x
+  FROM c{i} c LEFT JOIN (
+    SELECT cluster, p, ((s - ((s % n) + n) % n) // n)::BIGINT AS x
+    FROM (SELECT d.cluster, x.p, sum(x.x)::BIGINT AS s, count(*) AS n FROM d{i} d JOIN x ON d.vec_id = x.vec_id GROUP BY 1, 2)) m
+  ON c.cluster = m.cluster AND c.p = m.p)""")
+    return ",".join(steps)
+
+
+ORACLE["op12_centroids"] = f"""
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, unnest(range(64)) AS p, unnest(list_transform(e, lambda x: floor(256 * x)::BIGINT)) AS x FROM v),
+f AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM v
+  QUALIFY cluster < 40),
+c0 AS MATERIALIZED (SELECT cluster, p, x FROM f JOIN x USING (vec_id)),{_lloyd(5)},
+h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c5 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance,
+       (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       centroid_sha256
+FROM d5 JOIN h USING (cluster)
+"""

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, quality, simhash, substring, toxicity, url_filter
+from ledgerline.llm import (alignment, centroids, decontaminate, embeddings, exact_dedup, line_dedup, mixing, pii, quality, simhash,
+                            substring, toxicity, url_filter)
 from ledgerline.llm.common import cut, read
 from ledgerline.session import prepare
 
@@ -89,6 +90,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embeddings.near(read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = alignment.alignment(read(spark, sf_dir, "documents"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
@@ -100,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_centroids": op12_centroids,
+    "op13_alignment": op13_alignment,
 }

@@ -7,7 +7,7 @@ from conftest import SF_SMALL
 from ledgerline.llm.oracle import ORACLE
 from ledgerline.llm.queries import QUERIES
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 
 
 def _rows(rows, cols):
@@ -33,4 +33,4 @@ def test_simhash_query(spark):
 
 
 def test_names():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14))
