@@ -91,34 +91,63 @@ _ISO_OFFSET = r"(?: ?(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?))?"
 ISO = f"^{_ISO_DATE}(?:[^0-9]{_ISO_TIME}{_ISO_OFFSET})?$"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it: the
+    optimizer would otherwise write the whole expression out at every place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _iso_parts(c: Column) -> Column:
+    """The ten groups of ``ISO`` (from position 0; one that is absent is empty), in one match."""
+    return F.split(F.regexp_replace(c, ISO, ",".join(f"${i}" for i in range(1, 11))), ",", -1)
+
+
+def _iso_wall(part: Column) -> Column:
+    """The wall clock that the groups tell (NULL if there is no such time)."""
+    at = lambda i: F.get(part, F.lit(i))
+    calendar = F.concat_ws("-", at(0), at(1), at(2)).try_cast("date")
+    # week 1 is the week of 4 January
+    monday = F.date_trunc("week", F.concat(at(0), F.lit("-01-04")).try_cast("date")).cast("date")
+    day = F.when(at(4) == "", F.lit(1)).otherwise(at(4).try_cast("int"))
+    week = F.when(at(3).between("01", "53"), F.date_add(monday, (at(3).try_cast("int") - 1) * 7 + day - 1))
+    date = F.when(at(3) == "", calendar).otherwise(week)
+    or_zero = lambda i: F.when(at(i) == "", F.lit("00")).otherwise(at(i))
+    return F.concat(date.cast("string"), F.lit(" "), F.concat_ws(":", or_zero(5), or_zero(6), or_zero(7)), F.lit("."),
+                    F.rpad(F.substring(at(8), 1, 6), 6, "0")).try_cast("timestamp_ntz")
+
+
+def _iso_offset(sent: Column) -> Column:
+    """``seconds`` and ``text`` of an offset as it was sent (``Z``, with or without colons)."""
+    def told(digits: Column) -> Column:
+        hms = [F.rpad(F.substring(digits, i, 2), 2, "0") for i in (2, 4, 6)]
+        size = sum((h.try_cast("int") * n for h, n in zip(hms, (3600, 60, 1), strict=True)), F.lit(0))
+        west = digits.startswith("-")
+        text = F.concat(F.when(west & (size != 0), F.lit("-")).otherwise(F.lit("+")), hms[0], F.lit(":"), hms[1],
+                        F.when(hms[2] == "00", F.lit("")).otherwise(F.concat(F.lit(":"), hms[2])))
+        none = digits == ""
+        return F.struct(F.when(none, F.lit(0)).otherwise(F.when(west, -size).otherwise(size)).alias("seconds"),
+                        F.when(none, F.lit("")).otherwise(text).alias("text"))
+    return bind(F.translate(F.when(sent == "Z", F.lit("+000000")).otherwise(sent), ":", ""), told)
+
+
 def iso_instant(c) -> Column:
     """ISO-8601 text -> struct (``instant``, ``text``, ``naive``): the instant, the time as
     written, with its own offset, in extended form, and whether it has none; such a time is
-    compared as UTC. NULL for anything else."""
+    compared as UTC. NULL for anything else. The text is matched once to tell whether it is a
+    time, and once to take it apart; every later step reads the parts."""
     c = col(c)
-    part = lambda i: F.regexp_extract(c, ISO, i)
-    or_zero = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
-    calendar = F.concat_ws("-", part(1), part(2), part(3)).try_cast("date")
-    # week 1 is the week of 4 January
-    monday = F.date_trunc("week", F.concat(part(1), F.lit("-01-04")).try_cast("date")).cast("date")
-    day = F.when(part(5) == "", F.lit(1)).otherwise(part(5).try_cast("int"))
-    week = F.when(part(4).between("01", "53"), F.date_add(monday, (part(4).try_cast("int") - 1) * 7 + day - 1))
-    date = F.when(part(4) == "", calendar).otherwise(week)
-    fraction = F.rpad(F.substring(part(9), 1, 6), 6, "0")
-    wall = F.concat(date.cast("string"), F.lit(" "), F.concat_ws(":", or_zero(6), or_zero(7), or_zero(8)), F.lit("."),
-                    fraction).try_cast("timestamp_ntz")
-    digits = F.regexp_replace(F.when(part(10) == "Z", F.lit("+000000")).otherwise(part(10)), ":", "")
-    hms = [F.rpad(F.substring(digits, i, 2), 2, "0") for i in (2, 4, 6)]
-    sign = F.when(digits.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    seconds = F.when(digits == "", F.lit(0)).otherwise(
-        sign * (hms[0].try_cast("int") * 3600 + hms[1].try_cast("int") * 60 + hms[2].try_cast("int")))
-    offset = F.when(digits == "", F.lit("")).otherwise(F.concat(
-        F.when((sign < 0) & (seconds != 0), F.lit("-")).otherwise(F.lit("+")), hms[0], F.lit(":"), hms[1],
-        F.when(hms[2] == "00", F.lit("")).otherwise(F.concat(F.lit(":"), hms[2]))))
-    text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)), offset)
-    instant = wall - F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.when(c.rlike(ISO) & wall.isNotNull(), F.struct(instant.alias("instant"), text.alias("text"), (offset == "").alias("naive")))
+
+    def told(x: Column) -> Column:
+        wall, offset = x.getField("wall"), x.getField("offset")
+        micros = F.date_format(wall, "SSSSSS")
+        text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
+                        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), offset.getField("text"))
+        instant = wall - F.make_dt_interval(secs=offset.getField("seconds").cast("decimal(18,6)"))
+        return F.when(wall.isNotNull(), F.struct(instant.alias("instant"), text.alias("text"),
+                                                 (offset.getField("text") == "").alias("naive")))
+
+    taken = bind(_iso_parts(c), lambda p: F.struct(_iso_wall(p).alias("wall"), _iso_offset(F.get(p, F.lit(9))).alias("offset")))
+    return F.when(c.rlike(ISO), bind(taken, told))
 
 
 # --- account-type predicates --------------------------------------------------

@@ -14,20 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import LOCAL_ZONE, blank_to_null, iso_instant, local_date
 from ledgerline.sources.landed import RAW, keyed_records
 
-BALANCE_FIELDS = {"currency": "string", "current": "double", "available": "double", "limit": "double", "overdrawn": "boolean"}
-
-
-def _sent_balance():
-    """The balance of a record as it was sent, as JSON text."""
-    return F.from_json(RAW, "balance string").getField("balance")
-
-
-def amounts_as_numbers(records: DataFrame) -> DataFrame:
-    """Records that carry their text, with balance fields that were sent as text read as what
-    they spell; a balance that is missing stays so."""
-    bal, sent = F.col("balance"), _sent_balance()
-    fields = [F.coalesce(bal.getField(n), F.get_json_object(sent, f"$.{n}").try_cast(t)).alias(n) for n, t in BALANCE_FIELDS.items()]
-    return records.withColumn("balance", F.when(sent.isNotNull(), F.struct(*fields)))
+BALANCE_FIELDS = ("currency", "current", "available", "limit", "overdrawn")
 
 
 def balance_snapshot(records: DataFrame, as_of: str, zone: str = LOCAL_ZONE, extra: Sequence[str] = ()) -> DataFrame:
@@ -35,18 +22,14 @@ def balance_snapshot(records: DataFrame, as_of: str, zone: str = LOCAL_ZONE, ext
 
     ``snapshot_at`` is the run instant, ``snapshot_date`` its calendar date in
     ``zone``; a missing ``balance`` / ``connection`` / ``refreshed`` struct gives
-    NULL fields. Of records that carry their text (``landed.RAW``), the balance is
-    kept as it was sent, whatever fields it has (``{}`` when missing), and an amount
-    sent as text is read as the number it spells. ``extra``: columns to carry along.
+    NULL fields. Of records that carry what was sent (``landed.RAW``), the balance is
+    kept as it was sent, whatever fields it has (``{}`` when missing).
+    ``extra``: columns to carry along.
     """
     rec = keyed_records(records)
     at = F.lit(as_of).cast("timestamp")
     bal = F.col("balance")
-    if RAW in records.columns:
-        sent = _sent_balance()
-        rec = amounts_as_numbers(rec)
-    else:
-        sent = F.to_json(bal, {"ignoreNullFields": "false"})
+    sent = F.col(RAW).getField("balance") if RAW in records.columns else F.to_json(bal, {"ignoreNullFields": "false"})
     return rec.select(
         F.col("_id").alias("account_id"),
         at.alias("snapshot_at"),
@@ -68,13 +51,12 @@ def ingest_metrics(records: DataFrame) -> DataFrame:
     Latest = the ISO time of the greatest instant, with the offset it was sent with,
     else the greatest non-empty raw text, else NULL. One partial aggregate per task.
     """
-    raw = blank_to_null(F.col("refreshed").getField("balance"))
-    parsed = iso_instant(raw)
-    agg = records.agg(
+    raw = records.select(blank_to_null(F.col("refreshed").getField("balance")).alias("raw"))
+    agg = raw.select("raw", iso_instant("raw").alias("parsed")).agg(
         F.count(F.lit(1)).alias("record_count"),
-        F.max(parsed).alias("_parsed"),
-        F.bool_or(~parsed.getField("naive")).alias("_offsets"),
-        F.max(raw).alias("_raw"),
+        F.max("parsed").alias("_parsed"),
+        F.bool_or(~F.col("parsed.naive")).alias("_offsets"),
+        F.max("raw").alias("_raw"),
     )
     # a time without offset among times with one is told as the UTC time it was compared as
     utc = F.when(F.col("_parsed.naive") & F.col("_offsets"), F.lit("+00:00")).otherwise(F.lit(""))

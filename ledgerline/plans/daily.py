@@ -77,12 +77,12 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
     today = lambda path: fresh_read(spark, path).filter(F.col("snapshot_date") == F.lit(date))
 
     # one parse of the fetch, written, feeds both raw tables and the metrics
-    parsed = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line, on_broken, keep_raw=True)
+    parsed = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line, on_broken, keep_raw=True, keep_record=True)
     write_version(parsed, _p(out_root, "landed"), run_no, KEPT_VERSIONS)
     records = read_version(spark, _p(out_root, "landed"), run_no)
     broken = F.lit(0).cast("long")
     if on_broken == "skip":
-        write_version(broken_bodies(landed_bodies(spark, landed_path, per_line)), _p(out_root, "landed_broken"), run_no, KEPT_VERSIONS)
+        write_version(broken_bodies(landed_bodies(spark, landed_path, per_line), record_schema=ACCOUNT_RECORD), _p(out_root, "landed_broken"), run_no, KEPT_VERSIONS)
         broken = F.lit(read_version(spark, _p(out_root, "landed_broken"), run_no).count()).cast("long")
     write_version(ingest_metrics(records).withColumn("broken_bodies", broken), _p(out_root, "metrics"), run_no, KEPT_VERSIONS)
 

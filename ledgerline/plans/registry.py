@@ -271,23 +271,27 @@ def sent_bodies(spark, d):
     """API responses (bare array, items, result, empty items + result) over the account records,
     with balances as an API may send them: each fifth amount as text, a field that nobody
     declared in each third."""
-    rec, k = records(spark, d), F.col("_dlt_load_id").cast("long")
+    # each value is built once, in a projection of its own, by all cores
+    k = F.col("_dlt_load_id").cast("long")
+    rec = records(spark, d)
+    schema = rec.schema
+    rec = rec.repartition(spark.sparkContext.defaultParallelism)
     fields = [F.col("balance").getField(n).alias(n) for n in ("currency", "current", "available", "limit", "overdrawn")]
-    odd = F.when(k % 3 == 0, (k % 100).cast("int")).alias("pending")
-    as_number = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    as_text = F.to_json(F.struct(fields[0], F.col("balance.current").cast("string").alias("current"), *fields[2:]),
-                        {"ignoreNullFields": "false"})
-    sent = F.when(k % 5 == 0, as_text).otherwise(as_number)
-    with_odd = F.concat(F.substr(sent, F.lit(1), F.length(sent) - 1), F.lit(',"pending":'), (k % 100).cast("string"), F.lit("}"))
-    sent = F.when(F.col("balance").isNull(), F.lit("null")).when(k % 3 == 0, with_odd).otherwise(sent)
+    text = F.when(k % 5 == 0, F.col("balance.current").cast("string"))
+    whole = F.to_json(F.struct(fields[0], text.alias("current_text"), *fields[1:]), {"ignoreNullFields": "false"})
+    # one of the two amounts stays
+    whole = F.when(k % 5 == 0, F.replace(F.regexp_replace(whole, r',"current":[^,]*', ""), F.lit("current_text"), F.lit("current"))) \
+             .otherwise(F.replace(whole, F.lit('"current_text":null,'), F.lit("")))
+    sent = F.when(F.col("balance").isNull(), F.lit("null")).otherwise(whole)
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rec.columns if c != "balance"]))
-    record = F.concat(F.substr(rest, F.lit(1), F.length(rest) - 1), F.lit(',"balance":'), sent, F.lit("}"))
-    array = F.concat(F.lit("["), record, F.lit("]"))
-    shape = k % 4
-    body = (F.when(shape == 0, array).when(shape == 1, F.concat(F.lit('{"items":'), array, F.lit("}")))
-             .when(shape == 2, F.concat(F.lit('{"result":'), array, F.lit("}")))
-             .otherwise(F.concat(F.lit('{"items":[],"result":'), array, F.lit("}"))))
-    return rec.select(body.alias("body")), rec.schema
+    parts = rec.select(k.alias("k"), sent.alias("sent"), rest.alias("rest"))
+    odd = F.when((F.col("k") % 3 == 0) & (F.col("sent") != "null"), F.concat(
+        F.expr("substring(sent, 1, length(sent) - 1)"), F.lit(',"pending":'), (F.col("k") % 100).cast("string"), F.lit("}")))
+    parts = parts.select("k", F.concat(F.lit("["), F.expr("substring(rest, 1, length(rest) - 1)"), F.lit(',"balance":'),
+                                       F.coalesce(odd, "sent"), F.lit("}]")).alias("array"))
+    shape = F.col("k") % 4
+    before = F.when(shape == 1, F.lit('{"items":')).when(shape == 2, F.lit('{"result":')).when(shape == 3, F.lit('{"items":[],"result":')).otherwise(F.lit(""))
+    return parts.select(F.concat(before, "array", F.when(shape == 0, F.lit("")).otherwise(F.lit("}"))).alias("body")), schema
 
 
 def _unwrapped(spark, d, keep_raw=False):
@@ -302,15 +306,13 @@ def _unwrapped(spark, d, keep_raw=False):
 @register("envelope_unwrap")
 def q_envelope_unwrap(spark, d):
     """Records recovered from bare-array, items, result and empty-items envelopes."""
-    rec = _unwrapped(spark, d, keep_raw=True)
-    return landed.flatten_struct(ingest.amounts_as_numbers(rec).drop("meta", landed.RAW))
+    return landed.flatten_struct(_unwrapped(spark, d).drop("meta"))
 
 
 @register("accounts_keyed")
 def q_accounts_keyed(spark, d):
     """Unwrapped records with a usable key only."""
-    rec = landed.keyed_records(_unwrapped(spark, d, keep_raw=True))
-    return landed.flatten_struct(ingest.amounts_as_numbers(rec).drop("meta", landed.RAW))
+    return landed.flatten_struct(landed.keyed_records(_unwrapped(spark, d)).drop("meta"))
 
 
 @register("flatten_struct")
@@ -379,11 +381,12 @@ def q_raw_json_fields(spark, d):
     """Decode the balance as it was sent, undeclared field included, and encode fields back to JSON."""
     rec = landed.keyed_records(_unwrapped(spark, d, keep_raw=True))
     snap = ingest.balance_snapshot(rec, AS_OF, extra=["_dlt_load_id"])
-    sent = F.from_json("raw_balance", "currency string, current string, pending int")
-    return snap.select("account_id", "_dlt_load_id", sent.getField("current").try_cast("double").alias("current"),
-                       sent.getField("pending").alias("pending"),
-                       F.to_json(F.struct(sent.getField("currency").alias("currency"),
-                                          sent.getField("pending").alias("pending"))).alias("encoded"))
+    sent = snap.select("account_id", "_dlt_load_id", F.parse_json("raw_balance").alias("sent"))
+    pending = F.try_variant_get("sent", "$.pending", "int")
+    return sent.select("account_id", "_dlt_load_id", F.try_variant_get("sent", "$.current", "double").alias("current"),
+                       pending.alias("pending"),
+                       F.to_json(F.struct(F.try_variant_get("sent", "$.currency", "string").alias("currency"),
+                                          pending.alias("pending"))).alias("encoded"))
 
 
 @register("rows_to_json")

@@ -226,3 +226,38 @@ def test_staging_needs_its_columns(spark):
 def test_money_is_rounded_once(spark, x):
     got = spark.createDataFrame([(x,)], "x double").select(exprs.money_round("x")).first()[0]
     assert got == Decimal(str(round(x, 2)))
+
+
+def test_mistyped_and_undeclared_fields_do_not_break_a_record(spark):
+    sent = [{"_id": 5, "connection": "Bank", "balance": 12, "refreshed": None, "meta": {"loan_details": [1]}, "own": {"x": 1}},
+            {"_id": "b", "balance": {"current": "12.5", "limit": {"a": 1}, "overdrawn": 0}, "meta": {"loan_details": {"interest": {"rate": 4.5}}}},
+            None]
+    recs = landed.unwrap_envelopes(bodies(spark, [sent, {"items": [], "result": [rec("r")]}]), ACCOUNT_RECORD, keep_raw=True, keep_record=True)
+    out = {r._id: r for r in recs.collect()}
+    assert set(out) == {"5", "b", None, "r"}
+    assert json.loads(out["5"]._record.toJson()) == sent[0] and json.loads(out["b"]._record.toJson()) == sent[1]
+    assert out["5"]._raw.connection == "Bank" and out["5"]._raw.balance == "12"
+    assert out["5"].connection is None and out["5"].balance.current is None and out["5"].refreshed is None
+    assert out["b"].balance.current == 12.5 and out["b"].balance.limit is None and out["b"].meta.loan_details.interest.rate == "4.5"
+    assert out["r"].balance is None and out["r"].name == "n"
+    assert recs.drop("_raw", "_record").schema.simpleString() == ACCOUNT_RECORD.simpleString()
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_body_is_parsed_once(spark):
+    docs = bodies(spark, [[rec("a", balance={"current": 1.0})]])
+    snap = balance_snapshot(landed.unwrap_envelopes(docs, ACCOUNT_RECORD, keep_raw=True), "2024-07-01T12:00:00Z")
+    plan = _optimized(snap)
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan
+    # each nested field that is used becomes a VARIANT once, the others never
+    assert plan.count("tryParseJson") + plan.count("parseJson") <= 2 * 3
+    assert "_sent_meta" not in plan
+
+
+def test_a_time_is_matched_twice_at_most(spark):
+    docs = bodies(spark, [[rec("a", refreshed="2024-07-01T10:00:00Z")]])
+    plan = _optimized(ingest_metrics(landed.unwrap_envelopes(docs, ACCOUNT_RECORD)))
+    assert plan.count("regexp_") + plan.count("RLIKE") <= 3
