@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 RESULT_COLUMNS = ["model", "column_name", "check_name", "failures"]
@@ -35,6 +35,39 @@ def unique_check(model: str, df: DataFrame, column: str) -> DataFrame:
         F.lit("unique").alias("check_name"), "failures")
 
 
+def model_checks(model: str, df: DataFrame, not_null: Iterable[str], unique: Iterable[str] = ()) -> DataFrame:
+    """All checks of one model in one scan: every checked column gives (column, value) pairs,
+    which are counted together. Values of columns that are only checked for NULL are not kept."""
+    not_null, unique = list(not_null), list(unique)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").isNull().alias("missing"),
+                 (F.col(f"`{c}`").cast("string") if c in unique else F.lit(None).cast("string")).alias("value"))
+        for c in dict.fromkeys([*not_null, *unique])]))
+    counts = df.select(pairs.alias("p")).groupBy("p.column_name", "p.missing", "p.value").count()
+    sums = counts.agg(*[F.coalesce(F.sum(F.when((F.col("column_name") == c) & F.col("missing"), F.col("count"))), F.lit(0)).alias(f"n{i}")
+                        for i, c in enumerate(not_null)],
+                      *[F.count_if((F.col("column_name") == c) & ~F.col("missing") & (F.col("count") > 1)).alias(f"u{i}")
+                        for i, c in enumerate(unique)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(name).alias("check_name"), F.col(f"{at}{i}").alias("failures"))
+                               for name, at, cols in (("not_null", "n", not_null), ("unique", "u", unique)) for i, c in enumerate(cols)]))
+    return sums.select(rows.alias("r")).select(F.lit(model).alias("model"), "r.column_name", "r.check_name", "r.failures")
+
+
+class Observed:
+    """``not_null`` checks that are counted while a frame is written, without a scan of their own."""
+
+    def __init__(self, model: str, columns: Iterable[str]):
+        self.model, self.columns, self.metrics = model, list(columns), Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.metrics, *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in self.columns])
+
+    def rows(self) -> list[tuple]:
+        """One row per column, once the write has ended."""
+        got = self.metrics.get
+        return [(self.model, c, "not_null", int(got[c])) for c in self.columns]
+
+
 def run_checks(not_null: Mapping[str, tuple[DataFrame, Iterable[str]]],
                unique: Mapping[str, tuple[DataFrame, Iterable[str]]]) -> DataFrame:
     """All checks as one frame: (model, column_name, check_name, failures)."""

@@ -1,25 +1,29 @@
 """The daily run: landed fetch -> raw tables -> models -> quality checks.
 
-``run_daily`` is re-run safe: the accounts table is written as version ``run_no``
-from the newest version *below* it, and balances / facts are rewritten only in the
-snapshot-date partition of the run. Merges compare load ids, so running a day
-twice, or an older load once more after a newer one, leaves the same tables.
+``run_daily`` is re-run safe: accounts are added to the hash buckets of their keys, and
+balances / facts are rewritten only in the snapshot-date partition of the run. Merges
+compare load ids, so running a day twice, or an older load once more after a newer one,
+leaves the same tables. Checks of what a run writes are counted while it is written.
 
 Folder layout under ``out_root``::
 
-    landed/version=<run_no>/                the fetch, parsed once, each record with its own text
+    landed/version=<run_no>/                the fetch, parsed once, each record also as it was sent
     landed_broken/version=<run_no>/         response bodies that could not be parsed (``on_broken="skip"``)
-    raw/accounts/version=<run_no>/          landed accounts, merged on _id
+    raw/accounts/_bucket=<n>/               landed accounts, merged on _id (``sources.buckets``)
     raw/account_balances/snapshot_date=.../ landed snapshots, merged on (account_id, snapshot_date)
     daily_balances/snapshot_date=.../
     portfolio_daily/snapshot_date=.../
     metrics/version=<run_no>/               record count, latest refresh time, broken bodies
     quality/version=<run_no>/               check results of the run
+
+Nothing of this is ever deleted, unless ``run_daily`` is told how many versions to keep of
+the folders that have one per run.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,28 +32,27 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import LOCAL_ZONE
 from ledgerline.operators import quality, staging
 from ledgerline.operators.ingest import balance_snapshot, ingest_metrics
-from ledgerline.operators.merge import dedupe_batch, merge_by_key
 from ledgerline.plans import models
 from ledgerline.schemas import ACCOUNT_RECORD, RAW_ACCOUNTS, RAW_BALANCES, conform
 from ledgerline.session import prepare
+from ledgerline.sources import buckets
 from ledgerline.sources.landed import broken_bodies, flatten_struct, keyed_records, landed_bodies, read_landed
-from ledgerline.sources.sinks import (
-    fresh_read, latest_version, overwrite_partitions, read_version, upsert_partitions, write_version,
-)
+from ledgerline.sources.sinks import fresh_read, overwrite_partitions, read_version, upsert_partitions, write_version
 
 ACCOUNT_KEY = ["_id"]
 BALANCE_KEY = ["account_id", "snapshot_date"]
-KEPT_VERSIONS = 30   # of the accounts table, the landed fetches and the results of runs
+ACCOUNT_ORDER = [("_dlt_load_id", "desc"), *((f.name, "desc") for f in RAW_ACCOUNTS.fields if f.name not in ("_id", "_dlt_load_id"))]
 
 
 def _p(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def current_accounts(spark: SparkSession, out_root: str, run_no: int | None = None) -> DataFrame | None:
-    """The accounts table as of a run, or the newest."""
+def current_accounts(spark: SparkSession, out_root: str) -> DataFrame:
+    """The accounts table: the newest load of each account. Which of several records of one load
+    stays does not depend on how they were dealt to tasks."""
     root = _p(out_root, "raw", "accounts")
-    return latest_version(spark, root) if run_no is None else read_version(spark, root, run_no)
+    return buckets.read(spark, root, ACCOUNT_KEY, ACCOUNT_ORDER) if buckets.exists(spark, root) else spark.createDataFrame([], RAW_ACCOUNTS)
 
 
 def run_date(as_of: str) -> dt.date:
@@ -65,12 +68,14 @@ def _ordered(df: DataFrame, keys: list[str], first: list) -> list:
 
 
 def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str, load_id: str,
-              run_no: int, per_line: bool = False, on_broken: str = "fail") -> DataFrame:
+              run_no: int, per_line: bool = False, on_broken: str = "fail", keep: int | None = None) -> DataFrame:
     """Ingest one landed fetch taken at ``as_of`` and refresh every model; returns the check frame.
 
     ``per_line``: the landed responses are JSON lines instead of one page per file.
     ``on_broken``: a response that cannot be parsed fails the run, or (``skip``) is kept aside
     and counted in the run's metrics.
+    ``keep``: how many of the newest runs keep their landed fetch, broken bodies, metrics and check
+    results; by default all do.
     """
     prepare(spark)
     date, load = run_date(as_of), [("_dlt_load_id", "desc")]
@@ -78,22 +83,18 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
 
     # one parse of the fetch, written, feeds both raw tables and the metrics
     parsed = read_landed(spark, landed_path, ACCOUNT_RECORD, per_line, on_broken, keep_raw=True, keep_record=True)
-    write_version(parsed, _p(out_root, "landed"), run_no, KEPT_VERSIONS)
+    write_version(parsed, _p(out_root, "landed"), run_no, keep)
     records = read_version(spark, _p(out_root, "landed"), run_no)
     broken = F.lit(0).cast("long")
     if on_broken == "skip":
-        write_version(broken_bodies(landed_bodies(spark, landed_path, per_line), record_schema=ACCOUNT_RECORD), _p(out_root, "landed_broken"), run_no, KEPT_VERSIONS)
+        write_version(broken_bodies(landed_bodies(spark, landed_path, per_line), record_schema=ACCOUNT_RECORD), _p(out_root, "landed_broken"), run_no, keep)
         broken = F.lit(read_version(spark, _p(out_root, "landed_broken"), run_no).count()).cast("long")
-    write_version(ingest_metrics(records).withColumn("broken_bodies", broken), _p(out_root, "metrics"), run_no, KEPT_VERSIONS)
+    write_version(ingest_metrics(records).withColumn("broken_bodies", broken), _p(out_root, "metrics"), run_no, keep)
 
     # accounts: keyed records, flattened, stamped, merged on _id into a new version
     accounts = conform(flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta"))
                        .withColumn("_dlt_load_id", F.lit(load_id)), RAW_ACCOUNTS)
-    root = _p(out_root, "raw", "accounts")
-    base, order = latest_version(spark, root, before=run_no), _ordered(accounts, ACCOUNT_KEY, load)
-    merged = dedupe_batch(accounts, ACCOUNT_KEY, order) if base is None else \
-        merge_by_key(base, accounts, ACCOUNT_KEY, order, order_proof=True)
-    write_version(merged, root, run_no, KEPT_VERSIONS)
+    buckets.merge(accounts, _p(out_root, "raw", "accounts"), ACCOUNT_KEY, ACCOUNT_ORDER)
 
     # balances: one snapshot per keyed record, merged into the partition of the run's date
     snaps = conform(balance_snapshot(records, as_of).withColumn("_dlt_load_id", F.lit(load_id)), RAW_BALANCES)
@@ -101,21 +102,34 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
     upsert_partitions(spark, snaps, bal_path, BALANCE_KEY, _ordered(snaps, BALANCE_KEY, [*load, ("snapshot_at", "desc")]),
                       "snapshot_date", order_proof=True)
 
-    # facts: only that date
-    overwrite_partitions(models.daily_balances(staging.stg_balances(today(bal_path))), _p(out_root, "daily_balances"), "snapshot_date")
-    overwrite_partitions(models.portfolio_daily(today(_p(out_root, "daily_balances"))), _p(out_root, "portfolio_daily"), "snapshot_date")
-
-    checks = run_checks(spark, out_root, run_no, date)
-    write_version(checks, _p(out_root, "quality"), run_no, KEPT_VERSIONS)
+    # facts: only that date, checked while they are written
+    watched = {m: quality.Observed(m, c) for m, c in NOT_NULL.items() if m not in UNIQUE}
+    stg = watched["stg_balances"].watch(staging.stg_balances(today(bal_path)))
+    overwrite_partitions(watched["daily_balances"].watch(models.daily_balances(stg)), _p(out_root, "daily_balances"), "snapshot_date")
+    portfolio = models.portfolio_daily(today(_p(out_root, "daily_balances")))
+    overwrite_partitions(watched["portfolio_daily"].watch(portfolio), _p(out_root, "portfolio_daily"), "snapshot_date")
+
+    acc = staging.stg_accounts(current_accounts(spark, out_root))
+    checks = spark.createDataFrame([r for w in watched.values() for r in w.rows()],
+                                   "model string, column_name string, check_name string, failures long")
+    for name, df in (("stg_accounts", acc), ("dim_loans", models.dim_loans(acc))):
+        checks = checks.unionByName(quality.model_checks(name, df, NOT_NULL[name], UNIQUE[name]))
+    write_version(checks.coalesce(1), _p(out_root, "quality"), run_no, keep)
     return read_version(spark, _p(out_root, "quality"), run_no)
 
 
-def model_frames(spark: SparkSession, out_root: str, run_no: int | None = None, date: dt.date | None = None) -> dict[str, DataFrame]:
-    """The model graph over the stored tables (views computed on read): all of it, or what one
-    run wrote (its accounts version, its date)."""
-    stored = lambda *parts: fresh_read(spark, _p(out_root, *parts)) if date is None else \
-        fresh_read(spark, _p(out_root, *parts)).filter(F.col("snapshot_date") == F.lit(date))
-    stg_acc = staging.stg_accounts(current_accounts(spark, out_root, run_no))
+NOT_NULL = {
+    "stg_accounts": ["account_id"], "stg_balances": ["account_id", "snapshot_date"],
+    "daily_balances": ["account_id", "snapshot_date"], "portfolio_daily": ["snapshot_date"],
+    "dim_loans": ["account_id"],
+}
+UNIQUE = {"stg_accounts": ["account_id"], "dim_loans": ["account_id"]}
+
+
+def model_frames(spark: SparkSession, out_root: str) -> dict[str, DataFrame]:
+    """The model graph over the stored tables (views computed on read)."""
+    stored = lambda *parts: fresh_read(spark, _p(out_root, *parts))
+    stg_acc = staging.stg_accounts(current_accounts(spark, out_root))
     return {
         "stg_accounts": stg_acc,
         "stg_balances": staging.stg_balances(stored("raw", "account_balances")),
@@ -125,17 +139,11 @@ def model_frames(spark: SparkSession, out_root: str, run_no: int | None = None,
     }
 
 
-def run_checks(spark: SparkSession, out_root: str, run_no: int | None = None, date: dt.date | None = None) -> DataFrame:
-    """The checks of the model graph, over what one run wrote or over all of it."""
-    m = model_frames(spark, out_root, run_no, date)
-    not_null = {
-        "stg_accounts": ["account_id"], "stg_balances": ["account_id", "snapshot_date"],
-        "daily_balances": ["account_id", "snapshot_date"], "portfolio_daily": ["snapshot_date"],
-        "dim_loans": ["account_id"],
-    }
-    unique = {"stg_accounts": ["account_id"], "dim_loans": ["account_id"]}
-    return quality.run_checks({k: (m[k], c) for k, c in not_null.items()},
-                              {k: (m[k], c) for k, c in unique.items()})
+def run_checks(spark: SparkSession, out_root: str) -> DataFrame:
+    """The checks of the model graph over all that is stored, one scan per model."""
+    m = model_frames(spark, out_root)
+    frames = [quality.model_checks(name, m[name], cols, UNIQUE.get(name, ())) for name, cols in NOT_NULL.items()]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def register_views(spark: SparkSession, out_root: str) -> list[str]:
@@ -162,9 +170,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--load-id", required=True, help="load id stamped on every row")
     parser.add_argument("--run-no", required=True, type=int, help="version number of this run")
     parser.add_argument("--per-line", action="store_true", help="responses are JSON lines")
+    parser.add_argument("--keep", type=int, help="runs whose fetch and results are kept (default: all)")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("ledgerline-daily").getOrCreate()
-    checks = run_daily(spark, args.landed, args.out, args.as_of, args.load_id, args.run_no, args.per_line)
+    checks = run_daily(spark, args.landed, args.out, args.as_of, args.load_id, args.run_no, args.per_line,
+                       keep=args.keep)
     failed = checks.filter(F.col("failures") > 0).collect()   # at most one row per check
     for row in failed:
         print(f"check failed: {row.model}.{row.column_name} {row.check_name}: {row.failures}")
