@@ -6,9 +6,12 @@ a little and not everything ("id-iot", "idxiot"). Words are stripped of all that
 letter or digit, and letters that stand alone in a row are joined ("i d i o t"), so spaced
 and punctuated spellings come out as the word.
 
-Landmarks are words that labelled toxic texts hold far more often than others. A text is described
-by its likeness to each landmark (the largest kernel value, normalised and squared, among its
-words and the windows of its sentences), Nyström-whitened by the landmarks' own kernel matrix.
+Landmarks are words that labelled toxic texts hold far more often than others, chosen one by one:
+a text that holds some already counts less for the next, so insults of rarer languages get
+theirs. The kernel of a text with a landmark is the root of the mean square of their likeness
+(the kernel value, normalised and squared) over all its words, repeats included, and the windows
+of its sentences; so it tells how dense the text is in words like the landmark, where words that
+are a little like it hardly count. These values are Nyström-whitened by the landmarks' own matrix.
 Sentence windows are made of a sentence's letters, wherever words begin and end ("worth less",
 "i. d. i. o. t."); the kernel runs on those that hold a landmark's letters in order, at most one
 missing and at most one other letter between neighbours. A linear support vector machine (squared
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -43,6 +47,12 @@ from ledgerline.llm.common import cut, texts
 
 ORDER, DECAY, SPAN = 3, 0.85, 24
 LANDMARKS, MOST_TOXIC, MOST_OTHER, THRESHOLD = 64, 3000, 6000, 0.7
+#: Words that landmarks are chosen from, and what a text counts for the next choice once it holds one.
+CANDIDATES, FADE = 1000, 0.7
+#: Weight of a toxic row in training against another one, and cost of a row on the wrong side.
+TOXIC_WEIGHT, COST = 3.0, 100.0
+#: Directions in which the landmarks differ less (eigenvalues of their matrix) are not blown up.
+LEAST_VALUE = 0.5
 #: Share of a landmark's different letters that a word must have to be compared with it.
 LEAST_LETTERS = 0.75
 #: Likeness from which a window of a longer word counts.
@@ -57,15 +67,19 @@ def _plain(word: str) -> str:
     return word if word.isalnum() else _NOT_LETTERS.sub("", word)
 
 
-def raw_words(text: str) -> set[str]:
-    """The different words of a text, lower-cased, spaced-out letters joined."""
+def word_counts(text: str) -> Counter[str]:
+    """The words of a text, lower-cased, and how often each comes; spaced-out letters also joined."""
     text = text.lower()
-    out = set(text.split())
-    for m in _SPACED.finditer(text):
-        out.add("".join(m.group().split()))
+    out = Counter(text.split())
+    out.update("".join(m.group().split()) for m in _SPACED.finditer(text))
     return out
 
 
+def raw_words(text: str) -> set[str]:
+    """The different words of ``word_counts``."""
+    return set(word_counts(text))
+
+
 @cache
 def _spelled(mark: str) -> str:
     """Pattern of a landmark's letters in order, at most one of them missing (of five or more) and
@@ -80,23 +94,33 @@ def _finder(mark: str) -> re.Pattern:
 
 
 def spelled_apart(batch: list[str], landmarks: list[str]) -> list[set[str]]:
-    """For each text the windows of its sentences that spell a landmark (``_spelled``), wherever words
-    begin and end. A sentence ends at a stop that follows two letters and stands before a space."""
+    """For each text the windows of its sentences that spell a landmark (``_spelled``) over the ends
+    of words: they start with one word and end with another. A sentence ends at a stop that
+    follows two letters and stands before a space."""
     out: list[set[str]] = [set() for _ in batch]
     if not batch or not landmarks:
         return out
     flat = pa.array([t.lower() for t in batch], pa.large_string())
-    flat = pc.replace_substring_regex(flat, r"([\p{L}\p{N}]{2})[.!?…]+\s", "\\1\x01")
-    flat = pc.split_pattern(pc.replace_substring_regex(flat, r"[^\p{L}\p{N}\x01]+", ""), "\x01")
-    of, flat = pc.list_parent_indices(flat), pc.list_flatten(flat)
+    flat = pc.split_pattern(pc.replace_substring_regex(flat, r"([\p{L}\p{N}]{2})[.!?…]+\s", "\\1\x01"), "\x01")
+    of, sent = pc.list_parent_indices(flat), pc.list_flatten(flat)
+    flat = pc.replace_substring_regex(sent, r"[^\p{L}\p{N}]+", "")
+    words: dict[int, tuple[str, set[int], dict[int, int]]] = {}
     for first in range(0, len(landmarks), 8):
         some = landmarks[first:first + 8]
-        hit = pc.match_substring_regex(flat, "|".join(map(_spelled, some)))
-        row, sentence = of.filter(hit), flat.filter(hit)
+        at = np.flatnonzero(pc.match_substring_regex(flat, "|".join(map(_spelled, some))).to_numpy(zero_copy_only=False))
+        sentence = flat.take(pa.array(at))
         for mark in some:
-            own = pc.match_substring_regex(sentence, _spelled(mark))
-            for i, s in zip(row.filter(own).to_pylist(), sentence.filter(own).to_pylist(), strict=True):
-                out[i].update(_finder(mark).findall(s))
+            own = pc.match_substring_regex(sentence, _spelled(mark)).to_numpy(zero_copy_only=False)
+            for k in at[own].tolist():
+                if k not in words:
+                    plain = [p for w in sent[k].as_py().split() if (p := _plain(w))]
+                    ends = np.cumsum([len(p) for p in plain]).tolist()
+                    words[k] = "".join(plain), set(ends), dict(zip([0, *ends[:-1]], ends, strict=False))
+                letters, ends, word_end = words[k]
+                for m in _finder(mark).finditer(letters):
+                    end = m.end(1)
+                    if end in ends and word_end.get(m.start(), end) < end:
+                        out[of[k].as_py()].add(m.group(1))
     return out
 
 
@@ -231,10 +255,16 @@ def alike_inside(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def likeness(batch: list[str], landmarks: list[str], known: dict[str, np.ndarray | None] | None = None) -> np.ndarray:
-    """For each text its largest likeness to each landmark among all its words and the windows of
-    its sentences that spell a landmark. ``known`` keeps words' values for the next call."""
-    sets = [raw_words(t) | w for t, w in zip(batch, spelled_apart(batch, landmarks), strict=True)]
+def word_values(batch: list[str], landmarks: list[str],
+                known: dict[str, np.ndarray | None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text the likenesses of its words, and of the windows of its sentences that spell a
+    landmark, to each landmark (a row per different word that has any), how often each comes, and
+    the words of the text. ``known`` keeps words' values for the next call."""
+    sets = []
+    for t, windows in zip(batch, spelled_apart(batch, landmarks), strict=True):
+        own = word_counts(t)
+        own.update(windows.difference(own))
+        sets.append(own)
     known = {} if known is None else known
     different = list(set().union(*sets).difference(known)) if sets else []
     known.update(dict.fromkeys(different))
@@ -257,12 +287,21 @@ def likeness(batch: list[str], landmarks: list[str], known: dict[str, np.ndarray
             for r in np.nonzero(k.any(axis=1))[0]:
                 w = different[rows[start + r]]
                 known[w] = k[r].copy() if known[w] is None else np.maximum(known[w], k[r])
-    out = np.zeros((len(batch), len(landmarks)))
-    for i, s in enumerate(sets):
-        for w in s:
-            if (k := known[w]) is not None:
-                np.maximum(out[i], k, out=out[i])
-    return out
+    for s in sets:
+        near = [(k, n) for w, n in s.items() if (k := known[w]) is not None]
+        values = np.array([k for k, _ in near]).reshape(len(near), len(landmarks))
+        yield values, np.array([n for _, n in near], np.float64), s.total()
+
+
+def likeness(batch: list[str], landmarks: list[str], known: dict[str, np.ndarray | None] | None = None) -> np.ndarray:
+    """For each text its largest likeness to each landmark."""
+    return np.array([v.max(axis=0, initial=0) for v, _, _ in word_values(batch, landmarks, known)]).reshape(len(batch), len(landmarks))
+
+
+def density(batch: list[str], landmarks: list[str], known: dict[str, np.ndarray | None] | None = None) -> np.ndarray:
+    """For each text its kernel with each landmark: the root mean square of its words' likeness."""
+    return np.array([np.sqrt(n @ v ** 2 / max(words, 1)) for v, n, words in word_values(batch, landmarks, known)]) \
+        .reshape(len(batch), len(landmarks))
 
 
 @dataclass
@@ -288,37 +327,57 @@ def sample(labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MO
 
 
 def find_landmarks(docs: DataFrame, drawn: DataFrame, most: int = LANDMARKS) -> list[str]:
-    """The words that most set toxic texts of the sample apart."""
+    """Words that set toxic texts of the sample apart, each the one that adds most to those
+    before it: what a text counts fades with each landmark that it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, label = [], []
-            for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+            words, label, of = [], [], []
+            for doc, text, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True):
                 own = {p for w in raw_words(text) for p in pieces(_plain(w)) if len(p) >= ORDER}
                 words.extend(own)
                 label.extend([y] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(label, pa.int32())], ["word", "label"])
+                of.extend([doc] * len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(label, pa.int32()), pa.array(of, pa.int64())],
+                                             ["word", "label", "doc"])
 
-    joined = texts(docs).join(F.broadcast(drawn), "doc_id").select("text", F.col("label").cast("int"))
+    joined = (texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(drawn), "doc_id")
+              .select("doc_id", "text", F.col("label").cast("int")))
     n = {r["label"]: r["count"] for r in joined.groupBy("label").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
     if not toxic or not other:
         return []
-    held = (joined.mapInArrow(run, "word string, label int").groupBy("word")
-                  .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")))
+    each = cut(joined.mapInArrow(run, "word string, label int, doc long"))
+    held = each.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1) / ((F.col("o") + 0.5) / (other + 1)))
-    top = (held.filter("t >= 2").withColumn("gain", F.col("t") * odds).filter(odds > 1.5)
-               .orderBy(F.desc("gain"), "word").limit(most).collect())
-    return [r["word"] for r in top]
+    top = cut(held.filter("t >= 2").withColumn("odds", odds).filter("odds > 1.5")
+              .orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(CANDIDATES).select("word", "odds"))
+    # of each candidate the toxic texts of the sample that hold it
+    rows = (each.filter("label = 1").join(F.broadcast(top), "word").groupBy("word", "odds")
+                .agg(F.collect_set("doc").alias("docs")).orderBy("word").collect())
+    return _choose([(r["word"], r["odds"], r["docs"]) for r in rows], most)
+
+
+def _choose(candidates: list[tuple[str, float, list[int]]], most: int) -> list[str]:
+    """Greedy choice; ties go to the first word."""
+    place = {d: i for i, d in enumerate(sorted({d for _, _, docs in candidates for d in docs}))}
+    docs = [np.array(sorted(place[d] for d in own)) for _, _, own in candidates]
+    weight, left, out = np.ones(len(place)), list(range(len(candidates))), []
+    while left and len(out) < most:
+        best = max(left, key=lambda i: (candidates[i][1] * weight[docs[i]].sum(), -i))
+        left.remove(best)
+        out.append(candidates[best][0])
+        weight[docs[best]] *= FADE
+    return out
 
 
 def with_likeness(docs: DataFrame, landmarks: list[str]) -> DataFrame:
-    """``doc_id`` and ``x``, the text's likeness to each landmark."""
+    """``doc_id`` and ``x``, the text's kernel with each landmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray | None] = {}
         for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            x = likeness(b.column("text").to_pylist(), landmarks, known)
+            x = density(b.column("text").to_pylist(), landmarks, known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
             if len(known) > MOST_KNOWN:
                 known.clear()
@@ -326,14 +385,16 @@ def with_likeness(docs: DataFrame, landmarks: list[str]) -> DataFrame:
     return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, x array<double>")
 
 
-def train(x: np.ndarray, y: np.ndarray, landmarks: list[str], share: float, cost: float = 10.0) -> Model:
-    """Squared-hinge machine on whitened features, by Newton steps; then a logistic fit of the
-    margin in which toxic rows count as the ``share`` that they have among all labelled ones."""
+def train(x: np.ndarray, y: np.ndarray, landmarks: list[str], share: float, cost: float = COST) -> Model:
+    """Squared-hinge machine on whitened features, by Newton steps, toxic rows weighing
+    ``TOXIC_WEIGHT``; then a logistic fit of the margin in which toxic rows count as the ``share``
+    that they have among all labelled ones, with the same weight: a toxic text that is let
+    through costs more than a clean one that is marked."""
     k = alike(landmarks, landmarks)
     k = np.maximum(k, k.T)
     np.fill_diagonal(k, 1.0)
     values, vectors = np.linalg.eigh(k)
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+    whiten = vectors / np.sqrt(np.maximum(values, LEAST_VALUE)) @ vectors.T
     z = np.column_stack([x @ whiten, np.ones(len(x))])
     sign = np.where(y > 0, 1.0, -1.0)
     w = np.zeros(z.shape[1])
@@ -342,12 +403,14 @@ def train(x: np.ndarray, y: np.ndarray, landmarks: list[str], share: float, cost
     for _ in range(50):
         inside = sign * (z @ w) < 1
         zi = z[inside]
-        new = np.linalg.solve(ridge + zi.T @ zi, zi.T @ sign[inside])
+        weighed = zi * np.where(y[inside] > 0, TOXIC_WEIGHT, 1.0)[:, None]
+        new = np.linalg.solve(ridge + weighed.T @ zi, weighed.T @ sign[inside])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
     model = Model(landmarks, whiten, w, 1.0, 0.0)
-    m, weight = model.margin(x), np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    m = model.margin(x)
+    weight = np.where(y > 0, TOXIC_WEIGHT * share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     design, ab = np.column_stack([m, np.ones(len(m))]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ ab, -60, 60)))
@@ -401,6 +464,6 @@ def score_of(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series(model.score(likeness([t or "" for t in values], model.landmarks)))
+        return pd.Series(model.score(density([t or "" for t in values], model.landmarks)))
 
     return run(text)

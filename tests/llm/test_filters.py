@@ -180,6 +180,17 @@ def test_toxicity_held_out(spark):
     assert np.mean([b for a, b in got if not a]) <= .03
 
 
+def test_toxicity_recall_by_language(spark):
+    d = "/root/testdata/sf0.1"
+    of = {i: (lang, y) for i, lang, y in duckdb.sql(
+        f"SELECT doc_id, lang, toxic FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL").fetchall()}
+    held = [(*of[r.doc_id], r.predicted) for r in QUERIES["op3_toxicity"](spark, d).collect() if r.held_out and r.doc_id in of]
+    recall = lambda rows: np.mean([p for _, y, p in rows if y])
+    assert recall(held) >= .9 and np.mean([p for _, y, p in held if not y]) <= .01
+    for lang in {x for x, _, _ in held}:  # some labelled rows hold no insult at all
+        assert recall([r for r in held if r[0] == lang]) >= .85, lang
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 9, 50).astype(float)
@@ -328,3 +339,54 @@ def test_without_labels_all_documents_are_kept(spark):
         labels = spark.createDataFrame(rows, "doc_id long, label int")
         assert quality.keep_good(docs, labels).count() == len(DOCS)
     assert quality.keep_good(docs, spark.createDataFrame([(1, 0)], "doc_id long, label int")).count() == 0
+
+
+def test_windows_start_and_end_with_words():
+    texts = ["worth less", "unworth lessons", "a worthless", "notid iot", "id iotic"]
+    assert [w for t in toxicity.spelled_apart(texts, ["worthless", "idiot"]) for w in t] == ["worthless"]
+
+
+def test_landmarks_of_rare_texts_get_their_turn():
+    often = [(f"often{i}", 3.0, list(range(40))) for i in range(6)]
+    rare = [("rare", 3.0, list(range(100, 112)))]
+    assert "rare" in toxicity._choose(often + rare, 5) and toxicity._choose(often + rare, 99)[0] == "often0"
+
+
+def _slow_density(text, marks):
+    """Root mean square of the normalised kernel's square over all words, word by word."""
+    words = [toxicity._plain(w) for w in text.lower().split()]
+    total = np.zeros(len(marks))
+    for w in words:
+        for j, m in enumerate(marks):
+            letters = len(set(w) & set(m)) >= toxicity.LEAST_LETTERS * len(set(m))
+            if letters and toxicity.LEAST_LETTERS * len(m) <= len(w) <= 2 * len(m) + 2:
+                k = lambda a, b: _slow_kernel(a, b, toxicity.ORDER, toxicity.DECAY)
+                total[j] += (k(w, m) ** 2 / k(w, w) / k(m, m)) ** 2
+    return np.sqrt(total / max(len(words), 1))
+
+
+def test_scores_of_a_small_table_against_a_slow_kernel(spark):
+    rng = np.random.default_rng(6)
+    plain = ["house", "river", "garden", "walking", "yellow", "table", "never", "stone", "light", "winter"]
+    bad = ["grumbol", "grumbat", "snarfig", "snarfup"]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(plain, int(rng.integers(3, 30))))
+        if i % 4 == 0:
+            for _ in range(1 + len(words) // 6):
+                words.insert(int(rng.integers(0, len(words))), str(rng.choice(bad)))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "grumxbol g.r.u.m.b.a.t gr umbol")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 160, 2)] + [(i, 0) for i in range(1, 160, 4)], "doc_id long, label int")
+    drawn = toxicity.sample(labels)
+    marks = toxicity.find_landmarks(docs, drawn)
+    assert set(bad) <= set(marks)
+    got = {r.doc_id: np.array(r.x) for r in toxicity.with_likeness(docs, marks).collect()}
+    for i, text in rows:
+        assert got[i] == pytest.approx(_slow_density(text, marks), abs=1e-4)
+    score = {r.doc_id: r.score for r in toxicity.score_all(docs, labels).collect()}
+    model = toxicity.train(np.array([_slow_density(t, marks) for i, t in rows if i % 2 == 0 or i % 4 == 1]),
+                           np.array([float(i % 4 == 0) for i, _ in rows if i % 2 == 0 or i % 4 == 1]), marks, 40 / 120)
+    for i, text in rows:
+        assert score[i] == pytest.approx(model.score(_slow_density(text, marks)[None])[0], abs=1e-2)
+    assert all((score[i] >= 0.7) == (i % 4 == 0) for i, _ in rows) and score[502] > 0.7 > score[500] == score[501]
