@@ -6,6 +6,13 @@ label ``block`` at ``CONFIDENCE`` or more and on ``LEAST`` such pages or more, h
 there are, are the rules, less those that a shorter rule implies. An inverted index lists each rule under its rarest
 token: a URL fetches the rules of its own tokens and is blocked if it has all tokens of one.
 
+Frequent sets are many where pages share many tokens, so fewer things are mined, to the same
+rules: tokens that stand in just the same labelled pages are one item (any of them stands for
+all: their sets and shares are the same); an item that is a rule by itself leaves all pages, as
+whatever holds it is implied; sets grow over the ``block`` pages only, and how many other pages
+hold one is counted by the inverted index. What is left can still be exponential in the items
+that ``LEAST`` blocked pages share while none of these items is a rule or equal to another.
+
 Rules are fewer than URLs: only distinct token sets are matched, and
 curated rules are looked up by the host's suffixes, longest rule first.
 
@@ -16,6 +23,8 @@ curated rule is allowed; rows that repeat a page come out alike; other columns p
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,21 +77,59 @@ def curated(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Data
     return pages.join(best, ["host", "path"], "left")
 
 
-def mine(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
-    """``rule`` (tokens) of the rules to ``block``, from ``tokens`` and ``verdict``. ``support``: share of
-    the pages that a rule must hold with ``block``; without it, ``LEAST`` pages."""
-    block = F.when(F.col("verdict") == "block", F.array(F.lit("verdict:block"))).otherwise(F.array().cast("array<string>"))
-    items = cut(labelled.filter("verdict IS NOT NULL").select(F.concat("tokens", block).alias("items")))
-    n = items.count()
-    if not n:
-        return items.select(F.col("items").alias("rule"))
-    # half a page less, as n times the share may come out above LEAST
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (LEAST - 0.5) / n) if support is None else support).fit(items)
-    sets = cut(model.freqItemsets.select(F.sort_array("items").alias("rule"), "freq"))
-    bad = (sets.filter(F.array_contains("rule", "verdict:block") & (F.size("rule") > 1))
-               .select(F.array_remove("rule", "verdict:block").alias("rule"), F.col("freq").alias("bad")))
-    rules = cut(bad.join(sets, "rule").filter(F.col("bad") >= confidence * F.col("freq")).select("rule"))
-    # a rule that has all tokens of a shorter one adds nothing: look those up by their rarest token
+def items_of(labelled: DataFrame) -> DataFrame:
+    """``token``, ``item`` (the smallest of the tokens that stand in the same rows of ``labelled``),
+    ``n`` and ``bad`` (rows that hold it, and those of them to ``block``). Sets of rows are told apart
+    by two sums of 64-bit hashes of their ids. ``labelled``: ``row``, ``tokens``, ``verdict``."""
+    each = labelled.select("row", "verdict", F.explode("tokens").alias("token"))
+    total = lambda *of: F.sum(F.xxhash64(*of).cast("decimal(38,0)"))
+    held = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"),
+                                     total("row").alias("s1"), total(F.lit(1), "row").alias("s2"))
+    same = held.groupBy("n", "s1", "s2").agg(F.min("token").alias("item"))
+    return held.join(same, ["n", "s1", "s2"]).select("token", "item", "n", "bad")
+
+
+def _as_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """Token sets (``tokens``) with the ``items`` that they hold; tokens without an item are left out."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token")
+    return each.groupBy("tokens").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def mine_items(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """The rules to ``block`` as sets of items (``rule``), and ``items_of`` the labelled pages.
+    ``labelled``: ``tokens`` and ``verdict``. ``support``: share of the pages that a rule must hold with
+    ``block``; without it, ``LEAST`` pages."""
+    rows = cut(labelled.filter("verdict IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "tokens", "verdict"))
+    total, n_bad = rows.agg(F.count("*"), F.count_if(F.col("verdict") == "block")).first()
+    least = LEAST if support is None else max(math.ceil(support * total), 1)
+    items = cut(items_of(rows))
+    single = items.filter((F.col("bad") >= least) & (F.col("bad") >= confidence * F.col("n"))).select("item").distinct()
+    rules = single.select(F.array("item").alias("rule"))
+    open_ = items.join(single, "item", "left_anti").filter(F.col("bad") >= least).select("token", "item")
+    if not n_bad or open_.isEmpty():
+        return cut(rules), items
+    held = cut(rows.select("row", "verdict", F.explode("tokens").alias("token")).join(open_, "token")
+                   .groupBy("row", "verdict").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    # half a page less, as n times the share may come out above the least number
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_bad)).fit(_whole(held, n_bad))
+    sets = cut(model.freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least))
+                    .select(F.sort_array("items").alias("rule"), F.col("freq").alias("bad")))
+    other = _holding(held.filter("verdict <> 'block'").select("row", F.col("items").alias("tokens")), sets.select("rule"))
+    often = other.groupBy("rule").agg(F.count("*").alias("other"))
+    sure = sets.join(often, "rule", "left").filter(F.col("bad") >= confidence * (F.col("bad") + F.coalesce("other", F.lit(0))))
+    return _minimal(cut(rules.unionByName(sure.select("rule")))), items
+
+
+def _whole(held: DataFrame, n_bad: int) -> DataFrame:
+    """All blocked pages as sets of items, those that hold no open item as empty ones: the
+    support is a share of them all."""
+    bad = held.filter("verdict = 'block'").select("items")
+    empty = held.sparkSession.range(n_bad - bad.count()).select(F.array().cast("array<string>").alias("items"))
+    return bad.unionByName(empty)
+
+
+def _minimal(rules: DataFrame) -> DataFrame:
+    """Rules without those that have all tokens of a shorter one, which is looked up by its rarest token."""
     each = rules.select("rule", F.explode("rule").alias("token"))
     short = _index(rules, each).select(F.col("rule").alias("short"), "token")
     implied = (each.join(short, "token")
@@ -91,6 +138,18 @@ def mine(labelled: DataFrame, support: float | None = None, confidence: float =
     return rules.join(implied, "rule", "left_anti")
 
 
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
+    """``rule`` (tokens) of the rules to ``block``, spelled out: one for each choice of a token of
+    each item. ``blocked_pages`` needs them by item only."""
+    rules, items = mine_items(labelled, support, confidence)
+    members = items.groupBy("item").agg(F.collect_set("token").alias("members"))
+    one = rules.select("rule", F.explode("rule").alias("item")).join(members, "item")
+    choices = one.groupBy("rule").agg(F.collect_list("members").alias("members"))
+    spelled = F.aggregate("members", F.array(F.array().cast("array<string>")), lambda all_, own: F.flatten(
+        F.transform(all_, lambda x: F.transform(own, lambda t: F.concat(x, F.array(t))))))
+    return choices.select(F.explode(spelled).alias("rule")).select(F.sort_array("rule").alias("rule"))
+
+
 def _index(rules: DataFrame, each: DataFrame) -> DataFrame:
     """``rule`` and its rarest ``token`` by the rows of ``each``."""
     often = each.groupBy("token").agg(F.count("*").alias("n"))
@@ -99,12 +158,22 @@ def _index(rules: DataFrame, each: DataFrame) -> DataFrame:
                  .withColumn("turn", F.row_number().over(rarest)).filter("turn = 1").select("rule", "token"))
 
 
+def _holding(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """``sets`` (``tokens`` among its columns), once for each rule all of whose tokens they have."""
+    each = sets.select("*", F.explode("tokens").alias("token"))
+    return each.join(_index(rules, each), "token").filter(F.size(F.array_except("rule", "tokens")) == 0).drop("token")
+
+
 def blocked(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """Those of the distinct token sets (``tokens``) that have all tokens of a rule."""
-    each = sets.select("tokens", F.explode("tokens").alias("token"))
-    index = _index(rules, each)
-    return (each.join(index, "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
-                .select("tokens").distinct())
+    return _holding(sets.select("tokens"), rules).select("tokens").distinct()
+
+
+def blocked_pages(sets: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``blocked`` for rules of items."""
+    told = _as_items(sets, items)
+    hit = _holding(told.select(F.col("items").alias("tokens")).distinct(), rules).select(F.col("tokens").alias("items")).distinct()
+    return told.join(hit, "items", "left_semi").select("tokens")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES,
@@ -115,10 +184,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     p = curated(p.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens")), rules)
     p = cut(p)
     known = p.join(labels.filter("verdict IS NOT NULL").select("page_id", "verdict"), "page_id")
-    found = mine(known.select("tokens", "verdict"), support, confidence)
+    found, items = mine_items(known.select("tokens", "verdict"), support, confidence)
     open_ = p.filter("rule IS NULL")
     # written, so that the join is one of plain shuffles, of which Spark splits hot token sets
-    bad = cut(blocked(open_.select("tokens").distinct(), found).withColumn("bad", F.lit(True)))
+    bad = cut(blocked_pages(open_.select("tokens").distinct(), found, items).withColumn("bad", F.lit(True)))
     out = p.join(bad, "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce(
         "rule_verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

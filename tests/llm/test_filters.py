@@ -390,3 +390,26 @@ def test_scores_of_a_small_table_against_a_slow_kernel(spark):
     for i, text in rows:
         assert score[i] == pytest.approx(model.score(_slow_density(text, marks)[None])[0], abs=1e-2)
     assert all((score[i] >= 0.7) == (i % 4 == 0) for i, _ in rows) and score[502] > 0.7 > score[500] == score[501]
+
+
+def test_pages_that_share_many_tokens(spark):
+    keys = [f"query:k{i}" for i in range(30)]
+    sets = [sorted([f"host:h{i}", *keys]) for i in range(12)] + [sorted([f"host:g{i}", keys[i % 3], "path:x"]) for i in range(200)]
+    shared = [sorted([f"path:s{i}", *(f"path:p{k}" for k in range(25) if k != i)]) for i in range(12)]  # each lacks one
+    sets += shared
+    verdict = ["block"] * 12 + ["allow"] * 200 + ["block"] * 12
+    frame = spark.createDataFrame(list(zip(sets, verdict)), "tokens array<string>, verdict string")
+    rules, items = url_filter.mine_items(frame)
+    assert 0 < rules.count() < 100
+    new = [sorted(["host:new", k]) for k in keys] + [["path:p1"], ["path:x"], ["host:g1", "path:p24"]]
+    hit = {tuple(r.tokens) for r in url_filter.blocked_pages(spark.createDataFrame([(t,) for t in new], "tokens array<string>"), rules, items).collect()}
+    # the first three keys are common among allowed pages
+    assert hit == {tuple(sorted(["host:new", k])) for k in keys[3:]} | {("path:p1",), ("host:g1", "path:p24")}
+
+
+def test_items_are_tokens_of_the_same_pages(spark):
+    sets = [["a", "b", "c"]] * 6 + [["a", "b"]] * 6 + [["d"]] * 3
+    frame = spark.createDataFrame([(s, "block" if "a" in s else "allow") for s in sets], "tokens array<string>, verdict string")
+    assert {tuple(r.rule) for r in url_filter.mine(frame, .3).collect()} == {("a",), ("b",), ("c",)}
+    rules, items = url_filter.mine_items(frame, .3)
+    assert {tuple(r.rule) for r in rules.collect()} == {("a",), ("c",)} and items.filter("token = 'b'").first().item == "a"
