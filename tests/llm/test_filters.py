@@ -413,3 +413,33 @@ def test_items_are_tokens_of_the_same_pages(spark):
     assert {tuple(r.rule) for r in url_filter.mine(frame, .3).collect()} == {("a",), ("b",), ("c",)}
     rules, items = url_filter.mine_items(frame, .3)
     assert {tuple(r.rule) for r in rules.collect()} == {("a",), ("c",)} and items.filter("token = 'b'").first().item == "a"
+
+
+def test_formats_that_are_used_up(spark):
+    values = [("email", f"{i}@{j}.co") for i in range(10) for j in range(10)]
+    values += [("phone", f"+1 {i:02d} {j:02d}") for i in range(100) for j in range(100)] + [("ip", "1.2.3.4")]
+    got = pii.surrogates(spark.createDataFrame(values, "kind string, value string"), "k").collect()
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(got) == len(values) == len(new) and not new & set(values)
+    assert all(re.fullmatch(r"[0-9][a-z]*@[0-9]\.co", v) for k, v in new if k == "email")
+    assert all(re.fullmatch(r"\+1 \d\d \d\d(-\d+)?", v) for k, v in new if k == "phone")
+
+
+def test_bare_mentions_and_more_kinds(spark):
+    text = ("Mr. Jan Ek met Mrs. Lind. Ek spoke; Jan Ek left, Lind's Ekman and Janet stayed. DE89 3704 0044 0532 0130 00, 555-123-4567, "
+            "020 7946 0958, 2001:db8:85a3:0:0:8a2e:370:7334, fe80:1::9, born 01.02.1990 not 3.4.2001")
+    docs = spark.createDataFrame([(1, text), (2, "Ek and Jan without a title"), (3, text)], "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replace(docs, key="k").collect()}
+    assert new[2] == "Ek and Jan without a title" and new[1] == new[3]
+    m = re.match(r"Mr\. (\S+) (\S+) met Mrs\. (\S+)\. (\S+) spoke; (\S+) (\S+) left, (\S+)'s Ekman and Janet stayed\. (.*)", new[1])
+    given, family, other = m[1], m[2], m[3]
+    assert m[4] == family == m[6] and m[5] == given and m[7] == other and "Ek" not in (family, other) and given != "Jan"
+    kinds = re.match(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, \d{3}-\d{3}-\d{4}, \d{3} \d{4} \d{4}, (\S+), (\S+), born (\d\d)\.(\d\d)\.19\d\d not 3.4.2001", m[8])
+    assert kinds and kinds[1].count(":") == 7 and "::" in kinds[2] and 1 <= int(kinds[3]) <= 12 and 1 <= int(kinds[4]) <= 12
+    assert not any(x in new[1] for x in ("0130 00", "555-123", "7946", "8a2e", "fe80", "01.02.1990"))
+
+
+def test_the_key_decides(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@c.example.com"), (2, "x" * 200_000 + " a.b@c.example.com")], "doc_id long, text string")
+    one, again, other, drawn = ([r.text for r in pii.replace(docs, key=k).orderBy("doc_id").collect()] for k in ("a", "a", "b", None))
+    assert one == again != other and one != drawn and len(one[1]) == 200_000 + len(" a.b@c.example.com")
