@@ -5,7 +5,9 @@ and upsert into a date-partitioned table. Only the partitions a batch touches
 are rewritten, and the merge compares load versions (``order_proof``), so files
 arriving out of load order, a retried batch or a batch replayed after a driver
 restart all leave the same table. ``trigger(availableNow=True)`` drains what has
-landed and stops, which is how a daily job runs it.
+landed and stops, which is how a daily job runs it. A batch is written once and read from
+there, so its source is scanned once. Rows that a source sends again, whole pages as a rule,
+can be dropped by state before the merge (``resent_within``).
 
 ``latest_state_stream`` (T2): a streaming aggregate keeps the latest row per key
 in the state store (``max_by`` over the version order) and emits changed keys
@@ -34,11 +36,24 @@ def _upsert_batch(batch: DataFrame, target_path: str, keys, order, partition_col
                       order_proof=True)
 
 
+def without_resent(stream: DataFrame, event_col: str, within: str) -> DataFrame:
+    """``stream`` without rows that came before, all columns alike, with an event time of at most
+    ``within`` ago. State holds 128 bits of hashes per row of that time and no more. As with any
+    watermark, rows older than the newest event time less ``within`` are left out as well."""
+    cols = [F.col(f"`{c}`") for c in stream.columns]
+    digests = {"__digest_1": F.xxhash64(*cols), "__digest_2": F.xxhash64(F.lit(1), *cols)}
+    return (stream.withColumn("__event", F.col(f"`{event_col}`").cast("timestamp")).withColumns(digests)
+                  .withWatermark("__event", within).dropDuplicatesWithinWatermark(list(digests))
+                  .drop("__event", *digests))
+
+
 def incremental_merge(spark: SparkSession, source_path: str, schema: StructType, target_path: str,
                       keys: Sequence[str], order: Sequence[OrderTerm], partition_col: str,
                       checkpoint_path: str, max_files_per_trigger: int | None = None,
-                      transform=None) -> None:
-    """Drain the landed files at ``source_path`` into the table at ``target_path``."""
+                      transform=None, resent_within: str | None = None) -> None:
+    """Drain the landed files at ``source_path`` into the table at ``target_path``. With
+    ``resent_within`` (e.g. ``"3 days"``) rows sent again in that time are dropped before the merge;
+    without it they are merged, with the same result, and no late row is lost."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -46,8 +61,13 @@ def incremental_merge(spark: SparkSession, source_path: str, schema: StructType,
     if transform is not None:
         stream = transform(stream)
 
+    if resent_within is not None:
+        stream = without_resent(stream, partition_col, resent_within)
+
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        _upsert_batch(batch, target_path, keys, order, partition_col)
+        # read three times (its first and last date, its dates, the merge) and scanned once
+        checkpoint_root(spark)
+        _upsert_batch(batch.checkpoint(), target_path, keys, order, partition_col)
 
     query = (stream.writeStream.foreachBatch(merge_batch)
                    .option("checkpointLocation", checkpoint_path)

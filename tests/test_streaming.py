@@ -68,3 +68,28 @@ def test_upsert_reads_only_touched_partitions(spark, tmp_path):
     assert {str(r.snapshot_date) for r in target.select("snapshot_date").distinct().collect()} == {"2024-01-05"}
     upsert_partitions(spark, day, path, KEYS, ORDER, "snapshot_date")   # re-merge of one day
     assert rows(fresh_read(spark, path).select(*models.DAILY_COLUMNS)) == rows(registry.daily_b(spark, SF_SMALL))
+
+
+def test_resent_rows_do_not_reach_the_merge(spark, tmp_path, monkeypatch):
+    from ledgerline.streaming import merge_stream
+    stg = staged(spark)
+    src, seen, plans = str(tmp_path / "landed"), [], []
+    again = stg.filter(F.col("snapshot_date") >= "2024-01-16")
+    for i, part in enumerate([stg, again, again.limit(7)]):
+        part.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+        time.sleep(1.1)
+    upsert = merge_stream._upsert_batch
+
+    def watched(batch, *args):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        seen.append(batch.count())
+        upsert(batch, *args)
+
+    monkeypatch.setattr(merge_stream, "_upsert_batch", watched)
+    target = str(tmp_path / "daily")
+    incremental_merge(spark, src + "/*", stg.schema, target, KEYS, ORDER, "snapshot_date", str(tmp_path / "ck"),
+                      max_files_per_trigger=1, resent_within="400 days")
+    assert sum(seen) == stg.distinct().count()
+    # the merge reads what was written of the batch, not its source
+    assert all("ExistingRDD" in p and "parquet" not in p.lower() for p in plans)
+    assert rows(fresh_read(spark, target).select(*models.DAILY_COLUMNS)) == rows(registry.daily_b(spark, SF_SMALL))
