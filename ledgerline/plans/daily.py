@@ -105,7 +105,7 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
     # facts: only that date, checked while they are written
     watched = {m: quality.Observed(m, c) for m, c in NOT_NULL.items() if m not in UNIQUE}
     stg = watched["stg_balances"].watch(staging.stg_balances(today(bal_path)))
-    overwrite_partitions(watched["daily_balances"].watch(models.daily_balances(stg)), _p(out_root, "daily_balances"), "snapshot_date")
+    overwrite_partitions(watched["daily_balances"].watch(models.daily_balances(stg)), _p(out_root, "daily_balances"), "snapshot_date", ["account_id"])
     portfolio = models.portfolio_daily(today(_p(out_root, "daily_balances")))
     overwrite_partitions(watched["portfolio_daily"].watch(portfolio), _p(out_root, "portfolio_daily"), "snapshot_date")
 

@@ -17,6 +17,8 @@ that does exist always ends the write.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,10 +114,20 @@ def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys:
         merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
     else:
         merged = dedupe_batch(incoming, keys, order)
-    overwrite_partitions(merged, path, partition_col)
+    overwrite_partitions(merged, path, partition_col, [k for k in keys if k != partition_col])
+
 
+def overwrite_partitions(df: DataFrame, path: str, partition_col: str, cluster_by: Sequence[str] = ()) -> None:
+    """Replace the partitions that ``df`` has rows of.
 
-def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
-    """Replace the partitions that ``df`` has rows of."""
-    (df.hint("rebalance", partition_col).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
+    ``cluster_by``: columns that a partition's files are sorted by, the first of which also gets
+    Bloom filters. A reader that asks for one of its values skips the row groups whose range
+    does not hold it, and those whose range does by chance.
+    """
+    rows = df.hint("rebalance", partition_col)
+    writer_options = {"partitionOverwriteMode": "dynamic"}
+    if cluster_by:
+        rows = rows.sortWithinPartitions(partition_col, *[F.col(f"`{c}`") for c in cluster_by])
+        # sized by the values that a row group holds
+        writer_options |= {f"parquet.bloom.filter.enabled#{cluster_by[0]}": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+    rows.write.mode("overwrite").options(**writer_options).partitionBy(partition_col).parquet(path)

@@ -176,3 +176,63 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_root(Session)
+
+
+def _rows_scanned(df):
+    """Rows that the table scan of a plan gave, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    scans = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            scans.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return sum(scans)
+
+
+def _row_groups(path, column, value):
+    """How many row groups of a table's files may hold a value, by their ranges, and how many there are."""
+    import glob
+
+    import pyarrow.parquet as pq
+    held = total = 0
+    for name in glob.glob(f"{path}/*/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for i in range(meta.num_row_groups):
+            own = [meta.row_group(i).column(c) for c in range(meta.num_columns)]
+            stats = next(c.statistics for c in own if c.path_in_schema == column)
+            total += 1
+            held += stats.min <= value <= stats.max
+    return held, total
+
+
+def test_one_account_is_read_without_the_others(spark, tmp_path):
+    from pyspark.sql import functions as F
+    days = spark.range(40_000).select(F.concat(F.lit("acc_"), F.lpad((F.col("id") * 7_919 % 20_000).cast("string"), 6, "0")).alias("account_id"),
+                                      F.when(F.col("id") < 20_000, F.lit(D1)).otherwise(F.lit(D2)).alias("day"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    spark.conf.set("parquet.block.size", str(128 * 1024))
+    try:
+        for name, cluster in (("dealt", []), ("clustered", ["account_id"])):
+            sinks.overwrite_partitions(days, f"{tmp_path}/{name}", "day", cluster)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    one = lambda name: sinks.fresh_read(spark, f"{tmp_path}/{name}").filter("account_id = 'acc_012345'")
+    assert sorted(r.day for r in one("clustered").collect()) == [D1, D2]
+    assert sorted(one("clustered").collect()) == sorted(one("dealt").collect())
+    (held, all_), (held_dealt, all_dealt) = (_row_groups(f"{tmp_path}/{n}", "account_id", "acc_012345") for n in ("clustered", "dealt"))
+    assert all_ > 20 and held == 2 and held_dealt > all_dealt / 2   # one row group a day
+    assert _rows_scanned(one("clustered")) <= 40_000 / all_ * 4
+    # an upsert keeps the order of the files it rewrites
+    sinks.upsert_partitions(spark, days.filter("account_id = 'acc_000001'"), f"{tmp_path}/clustered", ["account_id", "day"],
+                            [("payload", "desc")], "day")
+    assert sinks.fresh_read(spark, f"{tmp_path}/clustered").count() == 40_000
+    stored = [r.account_id for r in sinks.fresh_read(spark, f"{tmp_path}/clustered").filter(F.col("day") == D1).coalesce(1).collect()]
+    assert stored == sorted(stored)
