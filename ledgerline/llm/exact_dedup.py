@@ -16,13 +16,13 @@ columns pass through ``drop_copies`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, keep_one, texts
 
 #: Frequent digests that are settled by broadcast, and items that the summary tracks.
-HEAVY, TRACKED = 256, 4096
+HEAVY, TRACKED = 4096, 16384
 
 
 def digest(text) -> F.Column:
@@ -55,10 +55,10 @@ def groups(docs: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataF
     tagged = _tagged(docs)
     winners = cut(frequent(tagged, heavy, tracked))
     split = tagged.join(F.broadcast(winners), "digest", "left")
-    group = Window.partitionBy("digest")
-    rest = (split.filter("size IS NULL").drop("winner", "size")
-                 .withColumn("winner", F.max(F.struct("doc_id", "row")).over(group))
-                 .withColumn("size", F.count("*").over(group)))
+    rest = split.filter("size IS NULL").drop("winner", "size")
+    # written, so that the join is one of plain shuffles, of which Spark splits large groups
+    of_rest = cut(rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count("*").alias("size")))
+    rest = rest.join(of_rest, "digest")
     cols = ["doc_id", "digest", F.col("winner.doc_id").alias("keep_id"), F.col("size").alias("group_size"),
             (F.col("winner.row") == F.col("row")).alias("kept")]
     return (split.filter("size IS NOT NULL").select(*cols, F.lit(True).alias("is_heavy"))

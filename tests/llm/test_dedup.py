@@ -153,3 +153,17 @@ def test_stretch_labels_do_not_depend_on_the_place():
     one = substring.stretch_labels(a, np.array([0, 3, 0, 1]), np.array([2, 5, 3, 3]))
     two = substring.stretch_labels(b, np.array([300, 299]), np.array([302, 301]))
     assert one[0] == one[1] == two[0] and len({int(x) for x in (*one, *two)}) == 4
+
+
+def test_hundreds_of_equally_large_groups(spark):
+    """Of 300 groups none is left to the shuffle with production settings; with few winners all
+    others are, with the same result."""
+    docs = spark.range(9_300).select(F.col("id").alias("doc_id"),
+                                     F.when(F.col("id") < 9_000, F.concat(F.lit("text "), (F.col("id") % 300).cast("string")))
+                                      .otherwise(F.concat(F.lit("single "), F.col("id").cast("string"))).alias("text"))
+    got = exact_dedup.groups(docs)
+    assert got.filter("NOT is_heavy AND group_size > 1").isEmpty()
+    want = {(i, i if i >= 9_000 else 8_700 + i % 300, 1 if i >= 9_000 else 30) for i in range(9_300)}
+    for rows in (got, exact_dedup.groups(docs, heavy=4, tracked=64)):
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in rows.collect()} == want
+    assert exact_dedup.drop_copies(docs, heavy=4, tracked=64).count() == 600
