@@ -51,11 +51,15 @@ def prev_month_end(mot: DataFrame) -> DataFrame:
     return months.agg(two.alias("d")).select(F.get("d", F.lit(0)).alias("latest_date"), F.get("d", F.lit(1)).alias("prev_date"))
 
 
+def loan_balances(daily: DataFrame) -> DataFrame:
+    """Balances of loan-typed rows with what their order goes by."""
+    return daily.filter(loan_pred("account_type", "is_credit_card")).select(
+        "account_id", "snapshot_date", "_dlt_load_id", "last_snapshot_at", "current_balance")
+
+
 def latest_loan_balance(daily: DataFrame, strategy: str = "window") -> DataFrame:
     """Latest loan-typed row per account; the type filter runs *before* the pick."""
-    loans = daily.filter(loan_pred("account_type", "is_credit_card")).select(
-        "account_id", "snapshot_date", "_dlt_load_id", "last_snapshot_at", "current_balance")
-    return latest_per_key(loans, ["account_id"], LATEST_LOAN_ORDER, strategy).select("account_id", "current_balance")
+    return latest_per_key(loan_balances(daily), ["account_id"], LATEST_LOAN_ORDER, strategy).select("account_id", "current_balance")
 
 
 def loan_balance_join(dim: DataFrame, latest_bal: DataFrame) -> DataFrame:
@@ -82,10 +86,16 @@ def loan_kpis(mot: DataFrame, dim: DataFrame, daily: DataFrame, strategy: str =
     newest are read off; the weighted rate is a scalar subquery over ``daily``. Over stored
     facts (``daily.model_frames``) each is read once.
     """
+    return kpi_row(mot, loan_balance_join(dim, latest_loan_balance(daily, strategy)))
+
+
+def kpi_row(mot: DataFrame, joined: DataFrame) -> DataFrame:
+    """The KPIs from the daily totals and from loans joined with their newest balances, as derived
+    here or stored side by side (``sources.cobucketed``)."""
     months = (mot.groupBy(F.trunc("snapshot_date", "MM").alias("month"))
                  .agg(F.max(F.struct("snapshot_date", "total_net_debt")).alias("last")))
     two = months.agg(F.sort_array(F.collect_list("last"), asc=False).alias("d"))
-    weighted = weighted_rate(loan_balance_join(dim, latest_loan_balance(daily, strategy)))
+    weighted = weighted_rate(joined)
     debt = lambda i: F.abs(F.coalesce(F.get("d", F.lit(i)).getField("total_net_debt"), F.lit(0)))
     return two.select(
         debt(0).cast(SUM_NUMERIC).alias("total_net_debt"),

@@ -12,10 +12,11 @@ exchange carries at most one row per day per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import SUM_NUMERIC, credit_flag, credit_pred, loan_pred, sum_if, zero_if_null
+from ledgerline.operators.changes import SIGN
 from ledgerline.operators.latest import latest_per_key
 from ledgerline.operators.staging import lenient_amount
 
@@ -29,8 +30,10 @@ DAILY_COLUMNS = [
     "status", "currency", "current_balance", "available_balance", "credit_limit", "refreshed_balance_at",
     "last_snapshot_at", "_dlt_load_id",
 ]
+AMOUNTS = ["current_balance", "available_balance", "credit_limit"]
 ACCOUNT_VERSION_ORDER = [("_dlt_load_id", "desc")]
 DAILY_ORDER = [("_dlt_load_id", "desc"), ("snapshot_at", "desc")]
+DAILY_KEY, STORED_ORDER = ["account_id", "snapshot_date"], [("_dlt_load_id", "desc"), ("last_snapshot_at", "desc")]
 
 
 def latest_accounts(stg_acc: DataFrame, strategy: str = "window") -> DataFrame:
@@ -51,16 +54,34 @@ def daily_balances(stg_bal: DataFrame, strategy: str = "window") -> DataFrame:
     return latest.withColumnRenamed("snapshot_at", "last_snapshot_at").select(*DAILY_COLUMNS)
 
 
-def portfolio_daily(daily: DataFrame) -> DataFrame:
-    """Per day: loan, credit-card and all-account totals (signed), loan available and limit."""
+def _totals() -> list[Column]:
     loan = loan_pred("account_type", "is_credit_card")
-    return daily.groupBy("snapshot_date").agg(
+    return [
         sum_if(loan, "current_balance").alias("total_mortgage_balance"),
         sum_if(credit_pred("is_credit_card"), "current_balance").alias("total_creditcard_balance"),
         F.sum(zero_if_null("current_balance")).cast(SUM_NUMERIC).alias("total_net_debt"),
         sum_if(loan, "available_balance").alias("total_available"),
         sum_if(loan, "credit_limit").alias("total_limit"),
-    )
+    ]
+
+
+def portfolio_daily(daily: DataFrame) -> DataFrame:
+    """Per day: loan, credit-card and all-account totals (signed), loan available and limit."""
+    return daily.groupBy("snapshot_date").agg(*_totals())
+
+
+def portfolio_delta(changes: DataFrame) -> DataFrame:
+    """What changes of the daily fact (``operators.changes``) add to each day's totals, and to its
+    number of rows (``n_rows``): amounts of rows that leave count with the other sign."""
+    signed = changes.withColumns({c: F.when(F.col(SIGN) < 0, -F.col(c)).otherwise(F.col(c)) for c in AMOUNTS})
+    return signed.groupBy("snapshot_date").agg(*_totals(), F.sum(SIGN).alias("n_rows"))
+
+
+def portfolio_add(totals: DataFrame, delta: DataFrame) -> DataFrame:
+    """Totals (with ``n_rows``) after a delta. Sums are exact decimals, so nothing drifts; a day that
+    has no row left is gone."""
+    sums = [F.sum(c).cast(totals.schema[c].dataType).alias(c) for c in totals.columns if c != "snapshot_date"]
+    return totals.unionByName(delta).groupBy("snapshot_date").agg(*sums).filter("n_rows > 0")
 
 
 def portfolio_daily_lenient(raw_bal: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ledgerline.operators import ingest, projection, quality, staging
 from ledgerline.operators.merge import dedupe_batch, merge_by_key
 from ledgerline.plans import marts, models
 from ledgerline.session import prepare
-from ledgerline.sources import fixtures, landed, sinks
+from ledgerline.sources import cobucketed, fixtures, landed, maintained, sinks
 from ledgerline.sources.tables import read_table, resolve_table, table_exists
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +194,40 @@ def q_loan_kpis(spark, d):
     return marts.loan_kpis(models.portfolio_daily(daily), dim_a(spark, d), daily)
 
 
+@register("loan_kpis_bucketed")
+def q_loan_kpis_bucketed(spark, d):
+    """Loan KPI row from stored loans and newest balances, bucketed alike and joined without a shuffle;
+    the balances come in two batches, the newer first (A x O)."""
+    dim, newest = co_bucketed_loans(spark, d)
+    return marts.kpi_row(models.portfolio_daily(daily_o(spark, d)), marts.loan_balance_join(dim, newest.select("account_id", "current_balance")))
+
+
+def co_bucketed_loans(spark, d):
+    """The loan dimension and each loan's newest balance as tables bucketed by account."""
+    from ledgerline.session import scratch_path
+    place = lambda name: ((path := scratch_path(spark, name)).rsplit("/", 1)[1].replace("-", "_"), path)
+    dim = cobucketed.write(dim_a(spark, d).select("account_id", "loan_interest_rate"), *place("loans"), "account_id")
+    facts, late = marts.loan_balances(daily_o(spark, d)), F.year("snapshot_date") >= 1998
+    first, second = place("newest-balances"), place("newest-balances")
+    cobucketed.write(dedupe_batch(facts.filter(late), ["account_id"], marts.LATEST_LOAN_ORDER), *first, "account_id")
+    newest = cobucketed.upsert(spark, first[0], facts.filter(~late | late.isNull()), *second, "account_id", marts.LATEST_LOAN_ORDER)
+    return dim, newest
+
+
+@register("portfolio_maintained")
+def q_portfolio_maintained(spark, d):
+    """Daily totals kept by what each batch takes out of the daily fact and puts in, never summed anew:
+    the snapshots of all mornings, then the others, then the mornings once more (B)."""
+    from ledgerline.session import scratch_path
+    snaps = stg_b(spark, d).withColumnRenamed("snapshot_at", "last_snapshot_at").select(*models.DAILY_COLUMNS)
+    morning = F.coalesce(F.hour("last_snapshot_at") < 12, F.lit(False))
+    kept = maintained.Maintained(spark, scratch_path(spark, "portfolio-maintained"), models.DAILY_KEY, models.STORED_ORDER,
+                                 "snapshot_date", models.portfolio_delta, models.portfolio_add)
+    for batch in (snaps.filter(morning), snaps.filter(~morning), snaps.filter(morning)):
+        kept.upsert(batch)
+    return kept.totals().drop("n_rows")
+
+
 @register("resolved_models")
 def q_resolved_models(spark, d):
     """Models looked up by name among candidate schemas, and the rows found there (A, B)."""

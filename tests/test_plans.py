@@ -7,7 +7,7 @@ from ledgerline.operators.latest import latest_per_key
 from ledgerline.plans.registry import queries
 
 # queries that run jobs (streams, writes) while being built; their plans read stored files
-WRITES = {"stream_merge_balances", "stream_latest_balances", "daily_run"}
+WRITES = {"stream_merge_balances", "stream_latest_balances", "daily_run", "portfolio_maintained", "loan_kpis_bucketed"}
 QUERIES = queries()
 
 
@@ -74,3 +74,19 @@ PYTHON_OPS = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroup
 def test_no_python_in_plans(spark, name):
     plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not any(op in plan for op in PYTHON_OPS)
+
+
+def test_co_bucketed_tables_join_without_a_shuffle(spark):
+    from ledgerline.plans import marts, registry
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as for large tables
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        dim, newest = registry.co_bucketed_loans(spark, SF_SMALL)
+        joined = marts.loan_balance_join(dim, newest.select("account_id", "current_balance"))
+        assert joined.count() > 0
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
