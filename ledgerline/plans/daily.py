@@ -3,7 +3,8 @@
 ``run_daily`` is re-run safe: accounts are added to the hash buckets of their keys, and
 balances / facts are rewritten only in the snapshot-date partition of the run. Merges
 compare load ids, so running a day twice, or an older load once more after a newer one,
-leaves the same tables. Checks of what a run writes are counted while it is written.
+leaves the same tables. Checks of what a run writes are counted while it is written. A model is
+refreshed only when what it is made from has changed (``plans.graph``).
 
 Folder layout under ``out_root``::
 
@@ -15,6 +16,8 @@ Folder layout under ``out_root``::
     portfolio_daily/snapshot_date=.../
     metrics/version=<run_no>/               record count, latest refresh time, broken bodies
     quality/version=<run_no>/               check results of the run
+    refreshed/version=<run_no>/             which models the run has refreshed
+    state/snapshot_date=.../                what the models of a date were made from
 
 Nothing of this is ever deleted, unless ``run_daily`` is told how many versions to keep of
 the folders that have one per run.
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import LOCAL_ZONE
 from ledgerline.operators import quality, staging
 from ledgerline.operators.ingest import balance_snapshot, ingest_metrics
-from ledgerline.plans import models
+from ledgerline.plans import graph, models
 from ledgerline.schemas import ACCOUNT_RECORD, RAW_ACCOUNTS, RAW_BALANCES, conform
 from ledgerline.session import prepare
 from ledgerline.sources import buckets
-from ledgerline.sources.landed import broken_bodies, flatten_struct, keyed_records, landed_bodies, read_landed
-from ledgerline.sources.sinks import fresh_read, overwrite_partitions, read_version, upsert_partitions, write_version
+from ledgerline.sources.landed import RAW, RECORD, broken_bodies, flatten_struct, keyed_records, landed_bodies, read_landed
+from ledgerline.sources.sinks import children, fresh_read, overwrite_partitions, read_version, upsert_partitions, write_version
 
 ACCOUNT_KEY = ["_id"]
 BALANCE_KEY = ["account_id", "snapshot_date"]
@@ -91,30 +94,66 @@ def run_daily(spark: SparkSession, landed_path: str, out_root: str, as_of: str,
         broken = F.lit(read_version(spark, _p(out_root, "landed_broken"), run_no).count()).cast("long")
     write_version(ingest_metrics(records).withColumn("broken_bodies", broken), _p(out_root, "metrics"), run_no, keep)
 
-    # accounts: keyed records, flattened, stamped, merged on _id into a new version
-    accounts = conform(flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta"))
-                       .withColumn("_dlt_load_id", F.lit(load_id)), RAW_ACCOUNTS)
-    buckets.merge(accounts, _p(out_root, "raw", "accounts"), ACCOUNT_KEY, ACCOUNT_ORDER)
-
-    # balances: one snapshot per keyed record, merged into the partition of the run's date
-    snaps = conform(balance_snapshot(records, as_of).withColumn("_dlt_load_id", F.lit(load_id)), RAW_BALANCES)
-    bal_path = _p(out_root, "raw", "account_balances")
-    upsert_partitions(spark, snaps, bal_path, BALANCE_KEY, _ordered(snaps, BALANCE_KEY, [*load, ("snapshot_at", "desc")]),
-                      "snapshot_date", order_proof=True)
+    state = graph.State(spark, _p(out_root, "state"), date)
+    fetch = graph.fingerprint(records, F.to_json(RAW), F.to_json(RECORD)) + f" {as_of} {load_id}"
+    acc_path, bal_path = _p(out_root, "raw", "accounts"), _p(out_root, "raw", "account_balances")
+    day = f"snapshot_date={date.isoformat()}"
+    has = lambda path: day in children(spark, path)
+    made: dict[str, dict] = {}
+    written: list[str] = []
+
+    def raw_accounts() -> dict:
+        """Keyed records, flattened, stamped, added to the buckets of their keys."""
+        accounts = conform(flatten_struct(keyed_records(records).select("_id", "name", "type", "status", "meta"))
+                           .withColumn("_dlt_load_id", F.lit(load_id)), RAW_ACCOUNTS)
+        buckets.merge(accounts, acc_path, ACCOUNT_KEY, ACCOUNT_ORDER)
+        return {}
+
+    def raw_balances() -> dict:
+        """One snapshot per keyed record, merged into the partition of the run's date."""
+        snaps = conform(balance_snapshot(records, as_of).withColumn("_dlt_load_id", F.lit(load_id)), RAW_BALANCES)
+        upsert_partitions(spark, snaps, bal_path, BALANCE_KEY, _ordered(snaps, BALANCE_KEY, [*load, ("snapshot_at", "desc")]),
+                          "snapshot_date", order_proof=True)
+        return {}
 
     # facts: only that date, checked while they are written
-    watched = {m: quality.Observed(m, c) for m, c in NOT_NULL.items() if m not in UNIQUE}
-    stg = watched["stg_balances"].watch(staging.stg_balances(today(bal_path)))
-    overwrite_partitions(watched["daily_balances"].watch(models.daily_balances(stg)), _p(out_root, "daily_balances"), "snapshot_date", ["account_id"])
-    portfolio = models.portfolio_daily(today(_p(out_root, "daily_balances")))
-    overwrite_partitions(watched["portfolio_daily"].watch(portfolio), _p(out_root, "portfolio_daily"), "snapshot_date")
-
-    acc = staging.stg_accounts(current_accounts(spark, out_root))
-    checks = spark.createDataFrame([r for w in watched.values() for r in w.rows()],
+    def daily_balances() -> dict:
+        watched = [quality.Observed(m, NOT_NULL[m]) for m in ("stg_balances", "daily_balances")]
+        told = graph.Told(graph.GRAPH["portfolio_daily"]["daily_balances"])
+        facts = models.daily_balances(watched[0].watch(staging.stg_balances(today(bal_path))))
+        overwrite_partitions(told.watch(watched[1].watch(facts)), _p(out_root, "daily_balances"), "snapshot_date", ["account_id"])
+        return {"told": told.text(), "checks": [r for w in watched for r in w.rows()]}
+
+    def portfolio_daily() -> dict:
+        watched = quality.Observed("portfolio_daily", NOT_NULL["portfolio_daily"])
+        overwrite_partitions(watched.watch(models.portfolio_daily(today(_p(out_root, "daily_balances")))), _p(out_root, "portfolio_daily"), "snapshot_date")
+        return {"checks": watched.rows()}
+
+    def account_checks() -> dict:
+        acc = staging.stg_accounts(current_accounts(spark, out_root))
+        frames = [quality.model_checks(name, df, NOT_NULL[name], UNIQUE[name])
+                  for name, df in (("stg_accounts", acc), ("dim_loans", models.dim_loans(acc)))]
+        return {"checks": [tuple(r) for r in reduce(DataFrame.unionByName, frames).collect()]}     # one row per check
+
+    # model -> how it is refreshed, what its inputs are told by, whether it is there
+    steps = {
+        "raw_accounts": (raw_accounts, lambda: fetch, lambda: buckets.exists(spark, acc_path)),
+        "raw_balances": (raw_balances, lambda: fetch, lambda: bool(children(spark, bal_path))),
+        "daily_balances": (daily_balances, lambda: graph.of_files(children(spark, _p(bal_path, day))), lambda: has(_p(out_root, "daily_balances"))),
+        "portfolio_daily": (portfolio_daily, lambda: made["daily_balances"]["told"], lambda: has(_p(out_root, "portfolio_daily"))),
+        "account_checks": (account_checks, lambda: graph.of_files(n for names in buckets.files(spark, acc_path).values() for n in names), lambda: True),
+    }
+    for model in graph.in_order():
+        build, inputs, there = steps[model]
+        made[model], ran = state.refresh(model, inputs(), build, there())
+        written += [model] if ran else []
+    state.close()
+
+    checks = spark.createDataFrame([tuple(r) for m in ("daily_balances", "portfolio_daily", "account_checks") for r in made[m]["checks"]],
                                    "model string, column_name string, check_name string, failures long")
-    for name, df in (("stg_accounts", acc), ("dim_loans", models.dim_loans(acc))):
-        checks = checks.unionByName(quality.model_checks(name, df, NOT_NULL[name], UNIQUE[name]))
     write_version(checks.coalesce(1), _p(out_root, "quality"), run_no, keep)
+    write_version(spark.createDataFrame([(m, m in written) for m in graph.in_order()], "model string, refreshed boolean").coalesce(1),
+                  _p(out_root, "refreshed"), run_no, keep)
     return read_version(spark, _p(out_root, "quality"), run_no)
 
 
