@@ -1,12 +1,14 @@
 """Benchmark decontamination by a hash set of test n-grams.
 
 Test items become normalised word n-grams (13 words; an item of fewer words is one shorter
-n-gram). Their 64-bit hashes, when the counted set is small enough, are broadcast, and the
-windows of every training document are looked up in it on the map side; a larger set is
-joined by an ordinary shuffle. Every hit is then verified word by word against the text.
+n-gram). Their 64-bit hashes are broadcast, and the windows of every training document are
+looked up in them on the map side. Every hit is then verified word by word against the text.
+Whatever is broadcast (hashes, n-grams, n-grams with their items) is measured on its own first;
+beyond ``MOST_BROADCAST`` bytes it is joined by an ordinary shuffle instead.
 
-Only DataFrame functions are used. A window is a row of a few numbers: texts are read again
-only for documents with hits.
+Only DataFrame functions are used. The words of a document are hashed once, as an array; its
+windows are rows that point into that array, and their hashes are made, looked up and thrown
+away in one generated loop. Texts are read again only for documents with hits.
 
 Defined results: a null or empty text has no words and is never contaminated; an item
 without words has no windows; a null item id is listed as ``null``; rows that repeat doc_id
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import ascii_lower, cut, join_same, texts
 
 N, SHARE = 13, 20
-#: N-grams (16 bytes each) up to which the set is broadcast.
-MOST_BROADCAST = 4_000_000
+#: Bytes up to which a table is broadcast, and what a row counts for beside its texts.
+MOST_BROADCAST, ROW_BYTES = 128 << 20, 32
 #: Words of lower-cased text: all that is not ASCII punctuation, space or control.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,10 +35,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _window_hashes(hashes: str, n: int) -> Column:
-    """Hashes of all windows of ``n`` words, from the array of the words' hashes."""
-    starts = F.slice(F.col(hashes), F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(n)]))
+def _window_hash(n: int) -> Column:
+    """Hash of the ``n`` words from word ``at`` (1 is the first), from the array ``hashes``."""
+    return F.xxhash64(*[F.get(F.col("hashes"), F.col("at") + (j - 1)) for j in range(n)])
+
+
+def _shared(side: DataFrame) -> DataFrame:
+    """``side`` (cheap to compute) marked for broadcast if its measured size is within the bound."""
+    size = F.lit(ROW_BYTES)
+    for name, kind in side.dtypes:
+        if kind == "string":
+            size = size + F.octet_length(name)
+    return F.broadcast(side) if (side.agg(F.sum(size)).first()[0] or 0) <= MOST_BROADCAST else side
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -55,27 +65,34 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame,
     the documents with verified hits (``doc_id``, ``fp``, ``spans`` of (pos, len, gram),
     ``items``)."""
     grams = cut(item_windows(benchmark, n=n))
-    lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # n numbers at most
+    lengths = sorted(r[0] for r in grams.select("len").distinct().collect()) or [n]  # n numbers at most
     table = grams.select("h", "len").distinct()
-    small = table.count() <= MOST_BROADCAST
-    shared = F.broadcast if small else (lambda d: d)
+    small = table.count() * ROW_BYTES <= MOST_BROADCAST
     d = texts(docs).withColumn("fp", F.xxhash64("text"))
     scan = d.select("doc_id", "fp", words(F.col("text")).alias("words"))
     scan = scan.select("doc_id", "fp", F.size("words").alias("n_words"), F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"))
-    # row 0 of each document stands for the document itself and always finds its partner
-    arrays = [F.array(F.lit(0).cast("long")), *[_window_hashes("hashes", k) for k in lengths]]
-    scan = scan.select("doc_id", "fp", "n_words", F.posexplode(F.concat(*arrays)).alias("at", "h"))
-    marker = table.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("len"))
-    found = scan.join(shared(table.unionByName(marker)), "h").filter("(at = 0) = (len = 0)")
-    found = cut(found)
-    every = found.filter("len = 0").select("doc_id", "fp", "n_words")
-    # windows of shorter items follow those of longer ones in a document's rows
-    pos, before = F.col("at") - 1, F.lit(0)
+    at_len = F.explode(F.array(*[F.lit(k) for k in lengths]))
+    fits = (F.col("at") > 0) & (F.col("at") + F.col("len") <= F.col("n_words") + 1)
+    h = F.lit(0).cast("long")
     for k in lengths:
-        pos = F.when(F.col("len") == k, F.col("at") - 1 - before).otherwise(pos)
-        before = before + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
-    spans = (found.filter("len > 0").select("doc_id", "fp", "h", "len", pos.alias("pos"))
-                  .join(shared(grams.select("h", "len", "gram").distinct()), ["h", "len"])
+        h = F.when((F.col("at") > 0) & (F.col("len") == k), _window_hash(k)).otherwise(h)
+    if small:
+        # place 0 of each document stands for the document itself and always finds its partner
+        marker = table.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(0).alias("of"))
+        rows = (scan.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_words")))).withColumn("len", at_len)
+                    .filter(fits | ((F.col("at") == 0) & (F.col("len") == lengths[0])))
+                    .select("doc_id", "fp", "n_words", "at", F.when(F.col("at") == 0, 0).otherwise(F.col("len")).alias("len"), h.alias("h")))
+        found = cut(rows.join(F.broadcast(table.withColumnRenamed("len", "of").unionByName(marker)), "h").filter("len = of"))
+        every = found.filter("at = 0").select("doc_id", "fp", "n_words")
+        found = found.filter("at > 0")
+    else:
+        # rows that stand for documents would all have one key: they are read on their own
+        every = scan.select("doc_id", "fp", "n_words")
+        rows = (scan.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_words")))).withColumn("len", at_len)
+                    .filter(fits).select("doc_id", "fp", "at", "len", h.alias("h")))
+        found = cut(rows.join(table, ["h", "len"]))
+    spans = (found.select("doc_id", "fp", "h", "len", (F.col("at") - 1).alias("pos"))
+                  .join(_shared(grams.select("h", "len", "gram").distinct()), ["h", "len"])
                   .groupBy("doc_id", "fp").agg(F.collect_set(F.struct("pos", "len", "gram")).alias("spans")))
     held = join_same(d, spans, "doc_id", "fp").select("doc_id", "fp", "spans", words(F.col("text")).alias("words"))
     # the words are bound to a lambda's variable, so they are made once per document and not per span
@@ -84,7 +101,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame,
     held = (held.withColumn("spans", real).drop("words").filter("size(spans) > 0").dropDuplicates(["doc_id", "fp"]))
     held = cut(held)
     items = (held.select("doc_id", "fp", F.explode(F.array_distinct("spans.gram")).alias("gram"))
-                 .join(shared(grams.select("gram", "item").distinct()), "gram")
+                 .join(_shared(grams.select("gram", "item").distinct()), "gram")
                  .groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("item")).alias("items")))
     return every, join_same(held, items, "doc_id", "fp")
 

@@ -25,7 +25,7 @@ def _docs(spark, rows=DOCS):
     return spark.createDataFrame([(i, t, "s", "x") for i, t in rows], "doc_id long, text string, fp string, spans string")
 
 
-@pytest.mark.parametrize("most", [0, 10**6])
+@pytest.mark.parametrize("most", [0, 1500, 10**8])  # nothing broadcast, hashes only, everything
 def test_decontamination(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -39,6 +39,14 @@ def test_decontamination(spark, monkeypatch, most):
     assert decontaminate.report(_docs(spark, []), items).count() == 0
 
 
+def test_decontamination_finds_short_items_in_long_texts(spark):
+    items = spark.createDataFrame([(1, "needle"), (2, "two needles"), (3, " ".join(W[:13]))], "item_id long, text string")
+    rows = [(1, "hay " * 60_000 + "two needles " + "hay " * 60_000 + "needle"), (2, " ".join(W[:12]) + " needles two"),
+            (3, "straw-" * 20_000 + " ".join(W[:14])), (4, "n\u00e9edle needle\u00e9 NEEDLE")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(_docs(spark, rows), items).collect()}
+    assert got == {1: (120_003, 3, ["1", "2"]), 2: (14, 0, []), 3: (20_014, 13, ["3"]), 4: (3, 1, ["1"])}
+
+
 def test_spans_go_and_the_rest_stays(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.remove_spans(_docs(spark), items).collect()}
