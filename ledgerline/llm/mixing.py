@@ -7,8 +7,10 @@ and the weight is the document's quality, so better documents tend to come first
 document at the edge of the budget gives only the words that are left of it.
 
 Order and prefix sums are never made over a whole source: keys are dealt into buckets, words
-are summed per (source, bucket), and only the bucket in which the budget ends is sorted. A
-source with a third of all rows therefore costs no task more than a few thousand rows.
+are summed per (source, bucket), and only the bucket in which the budget ends is looked into.
+As long as it holds more than ``MOST_SORTED`` rows of a source it is dealt into finer buckets in
+turn; then it is sorted. So however many rows a source has, no task sorts more than that, but
+for rows that share one key (copies of a document under one id).
 
 Defined results: a null text has 0 words and takes 0; sources are ordered by code point with
 null, a source of its own, last; a source without words gets target 0; rows that repeat a
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import WORD, cut, join_same
 
 WEIGHTS, MOST_EPOCHS, BUCKETS, SEED = (1, 2, 3), 3, 1 << 12, "mix-1"
+#: Rows of one source that are sorted together, and how often a bucket is dealt into finer ones: keys
+#: have 48 bits.
+MOST_SORTED, LEVELS = 200_000, 4
 #: Sources up to which their budgets are broadcast.
 MOST_BROADCAST = 100_000
 #: Letters a word has on average in running text.
@@ -72,40 +77,66 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
                      .otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
+def _edges(per_bucket: DataFrame, left: DataFrame, shared) -> DataFrame:
+    """``s`` (source), ``edge`` (the bucket in which its budget ends), ``start`` (words of the buckets
+    before), ``inside`` (rows in it), from words and rows per (source, bucket)."""
+    start = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    e = per_bucket.withColumn("start", F.coalesce(F.sum("words").over(start), F.lit(0)))
+    return (e.join(shared(left), F.col("source").eqNullSafe(F.col("s")))
+             .filter("start <= left AND left < start + words")
+             .select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "start", F.col("n").alias("inside")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+        weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, buckets: int = BUCKETS, seed: str = SEED,
+        quality_col: str | None = None, most_sorted: int = MOST_SORTED) -> DataFrame:
     """One row per document: ``doc_id``, ``tie`` (a hash of the text), ``source``, ``size``,
-    ``source_size``, ``target``, ``taken``."""
+    ``source_size``, ``target``, ``taken``. ``quality_col`` names a column with the documents'
+    quality (``quality.score_of``, say), by which keys are scaled; null counts as 1, and no weight is
+    below 0.001. Without it the weight is taken from the text (``quality_weight``)."""
+    quality = F.lit(None) if quality_col is None else F.col(f"`{quality_col}`").cast("double")
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                    F.col(f"`{text_col}`").alias("text"))
+                    F.col(f"`{text_col}`").alias("text"), quality.alias("quality"))
     d = d.withColumn("size", n_words(F.col("text")))
-    d = d.withColumn("key", sampling_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")), seed))
-    d = cut(d.select("doc_id", "source", "size", "key", F.floor((1 - F.exp(-F.col("key"))) * buckets).alias("bucket"),
+    weight = (quality_weight(F.col("text"), F.col("size")) if quality_col is None
+              else F.greatest(F.coalesce(F.nanvl("quality", F.lit(1.0)), F.lit(1.0)), F.lit(0.001)))
+    d = d.withColumn("key", sampling_key(F.col("doc_id"), weight, seed))
+    place = 1 - F.exp(-F.col("key"))
+    d = cut(d.select("doc_id", "source", "size", "key", F.floor(place * buckets).alias("bucket"),
                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")))
-    per_bucket = cut(d.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
+    per_bucket = cut(d.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
     t = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                                 .otherwise(F.lit(0)).cast("long"))
     t = cut(t.withColumn("left", F.floor("target") - F.col("epochs") * F.col("source_size")))
     # one row per source: broadcast if they are few, so that a hot source is not dealt to one task
     shared = F.broadcast if t.count() <= MOST_BROADCAST else (lambda d: d)
-    start = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = per_bucket.withColumn("start", F.coalesce(F.sum("words").over(start), F.lit(0)))
-    edge = (edge.join(shared(t.select(F.col("source").alias("s"), "left")), F.col("source").eqNullSafe(F.col("s")))
-                .filter("start <= left AND left < start + words")
-                .select(F.col("source").alias("s"), F.col("bucket").alias("edge"), "start"))
+    edge = cut(_edges(per_bucket, t.select(F.col("source").alias("s"), "left"), shared))
     t = (t.withColumnRenamed("source", "t").join(edge, F.col("t").eqNullSafe(F.col("s")), "left").drop("s"))
     d = d.join(shared(t), F.col("source").eqNullSafe(F.col("t")))
-    at_edge = F.col("bucket") == F.col("edge")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    inside = (d.filter(at_edge)
-               .withColumn("past", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-               .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("past")))))
-    outside = (d.filter(~F.coalesce(at_edge, F.lit(False)))
-                .withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0))))
     cols = ["doc_id", "tie", "source", "size", "source_size", "target",
             (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")]
-    return inside.select(*cols).unionByName(outside.select(*cols))
+    at_edge = F.col("bucket") == F.col("edge")
+    settled = [(d.filter(~F.coalesce(at_edge, F.lit(False)))
+                 .withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))).select(*cols)]
+    inside = d.filter(at_edge).withColumn("left", F.col("left") - F.col("start"))
+    for level in range(2, LEVELS + 1):
+        if (edge.agg(F.max("inside")).first()[0] or 0) <= most_sorted:
+            break
+        # the words left of each source end somewhere in these rows: deal them into finer buckets
+        inside = cut(inside.drop("edge", "start", "inside").withColumn("bucket", F.floor(place * float(buckets) ** level)))
+        finer = cut(inside.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
+        edge = cut(_edges(finer, inside.groupBy(F.col("source").alias("s")).agg(F.first("left").alias("left")), shared))
+        inside = inside.join(shared(edge), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        settled.append(inside.filter(~at_edge).withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size"))
+                                                          .otherwise(F.lit(0))).select(*cols))
+        inside = inside.filter(at_edge).withColumn("left", F.col("left") - F.col("start"))
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    out = (inside.withColumn("past", F.coalesce(F.sum("size").over(order), F.lit(0)))
+                 .withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("past"))))).select(*cols)
+    for part in settled:
+        out = out.unionByName(part)
+    return out
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

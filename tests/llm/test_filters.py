@@ -87,6 +87,27 @@ def test_better_documents_come_first(spark):
     assert np.mean(share[1]) > 1.3 * np.mean(share[0]) > 0
 
 
+def test_mixing_deals_the_edge_into_finer_buckets(spark):
+    rows = [(i, "word " * (i % 7), "hot" if i % 3 else "b", None if i % 5 else i % 4 / 3) for i in range(900)] + \
+        [(5000, "same text", "hot", 0.5)] * 40 + [(None, None, None, float("nan"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    for named in (None, "quality"):
+        want = mixing.mix(docs, quality_col=named).collect()  # sorts the one edge bucket
+        for buckets, most_sorted in ((2, 1), (3, 5), (4096, 0)):
+            got = mixing.mix(docs, quality_col=named, buckets=buckets, most_sorted=most_sorted).collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_quality_column_decides_who_comes_first(spark):
+    rows = [(i, "same words in all of them", "a", 0.9 if i % 2 else 0.1) for i in range(600)] + \
+        [(1000 + i, "other words " * 40, "b", None) for i in range(20)]
+    share = defaultdict(list)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), quality_col="q").collect():
+        if r.source == "a":
+            share[r.doc_id % 2].append(r.taken / r["size"])
+    assert np.mean(share[1]) > 1.3 * np.mean(share[0]) > 0
+
+
 def test_mixed_returns_documents(spark):
     rows = [(i % 50, f"text number {i % 50}", "a" if i % 2 else "b", 1) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_taken int")
