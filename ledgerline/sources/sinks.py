@@ -9,7 +9,9 @@ Plain parquet has no MERGE, so two write paths keep re-runs idempotent:
   appear in the incoming rows are merged and rewritten (dynamic partition
   overwrite). Spark writes the new files beside the table and replaces the
   partitions when the whole job has succeeded, so the rows are written once and a
-  failing job leaves the table as it was.
+  failing job leaves the table as it was. Many small batches wait as they are
+  (``add_pending``) and are merged together (``merge_pending``), so that a table is not
+  rewritten for each.
 
 Whether a table exists is asked of the file system. An error while reading one
 that does exist always ends the write.
@@ -102,21 +104,56 @@ def touched_target(spark: SparkSession, path: str, incoming: DataFrame, partitio
 
 
 def upsert_partitions(spark: SparkSession, incoming: DataFrame, path: str, keys: list[str],
-                      order: list, partition_col: str, order_proof: bool = False) -> None:
+                      order: list, partition_col: str, order_proof: bool = False, arrival: str | None = None) -> None:
     """Merge ``incoming`` into the table at ``path`` partitioned by ``partition_col``.
 
     Only the partitions touched by ``incoming`` are read and rewritten, each row
     once: the merged rows are rebalanced by partition, so a partition is a few
     files of even size however the rows were dealt, and a hot one is split.
+    ``arrival``: a column of ``incoming`` that is not stored; of equal versions its greatest stays.
     """
+    order = list(order) + ([(arrival, "desc")] if arrival else [])
     if any(c.startswith(f"{partition_col}=") for c in children(spark, path)):
         target = touched_target(spark, path, incoming, partition_col)
         merged = merge_by_key(target, incoming, keys, order, order_proof=order_proof)
     else:
         merged = dedupe_batch(incoming, keys, order)
+    if arrival:
+        merged = merged.drop(arrival)
     overwrite_partitions(merged, path, partition_col, [k for k in keys if k != partition_col])
 
 
+#: Folder of the batches that wait to be merged, in that of their table. Readers of the table skip it.
+PENDING = "_pending"
+_STREAM, _BATCH = "__stream", "__batch"
+
+
+def _pending(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the waiting batches that were written to the end."""
+    root = f"{path.rstrip('/')}/{PENDING}"
+    found = [f"{root}/{s}/{b}" for s in children(spark, root) for b in children(spark, f"{root}/{s}")]
+    return sorted(f for f in found if "_SUCCESS" in children(spark, f))
+
+
+def add_pending(batch: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """Store a batch beside the table at ``path``, to be merged later. A batch that is tried again
+    replaces what the first try left, so it costs its own rows however large the table is."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{PENDING}/{_STREAM}={stream}/{_BATCH}={int(batch_id)}")
+
+
+def merge_pending(spark: SparkSession, path: str, keys: list[str], order: list, partition_col: str) -> None:
+    """Merge all batches that wait into the table by version, a later batch's row on a tie. They are
+    deleted afterwards; one that is merged once more changes nothing."""
+    waiting = _pending(spark, path)
+    if not waiting:
+        return
+    rows = spark.read.option("basePath", f"{path.rstrip('/')}/{PENDING}").parquet(*waiting).drop(_STREAM)
+    upsert_partitions(spark, rows, path, keys, order, partition_col, order_proof=True, arrival=_BATCH)
+    for folder in waiting:
+        fs, p = _folder(spark, folder)
+        fs.delete(p, True)
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_col: str, cluster_by: Sequence[str] = ()) -> None:
     """Replace the partitions that ``df`` has rows of.
 

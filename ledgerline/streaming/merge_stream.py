@@ -1,8 +1,11 @@
 """Incremental keyed merge on Structured Streaming.
 
 ``incremental_merge`` (T1): landed files -> ``foreachBatch`` -> per-batch dedupe
-and upsert into a date-partitioned table. Only the partitions a batch touches
-are rewritten, and the merge compares load versions (``order_proof``), so files
+and upsert into a date-partitioned table. A batch's rows are stored beside the table, and waiting
+batches are merged together after 16, 64, 256 ... of them, and
+when the drain ends, also if it fails: what is written grows with what has landed, not with the
+table times the batches. Only the partitions that waiting rows touch are rewritten, and the merge
+compares load versions (``order_proof``), so files
 arriving out of load order, a retried batch or a batch replayed after a driver
 restart all leave the same table. ``trigger(availableNow=True)`` drains what has
 landed and stops, which is how a daily job runs it. A batch is written once and read from
@@ -11,7 +14,7 @@ can be dropped by state before the merge (``resent_within``).
 
 ``latest_state_stream`` (T2): a streaming aggregate keeps the latest row per key
 in the state store (``max_by`` over the version order) and emits changed keys
-in update mode; each micro-batch upserts them. State grows with the number of
+in update mode; each micro-batch upserts them as above. State grows with the number of
 keys (a session that holds many sets the RocksDB state store, which spills, by
 ``spark.sql.streaming.stateStore.providerClass``); ``state_delay`` bounds it
 (event-day watermark) when very late loads may be dropped.
@@ -19,21 +22,53 @@ keys (a session that holds many sets the RocksDB state store, which spills, by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ledgerline.operators.latest import OrderTerm, _check_order
+from ledgerline.operators.merge import dedupe_batch
 from ledgerline.session import checkpoint_root
-from ledgerline.sources.sinks import upsert_partitions
+from ledgerline.sources.sinks import add_pending, merge_pending
 
+#: Batches that wait before they are merged for the first time.
+FIRST_MERGE = 16
 
-def _upsert_batch(batch: DataFrame, target_path: str, keys, order, partition_col: str) -> None:
-    """Upsert one micro-batch; merges compare versions, so replays and late files converge."""
-    upsert_partitions(batch.sparkSession, batch, target_path, list(keys), list(order), partition_col,
-                      order_proof=True)
+
+def _upsert_batch(batch: DataFrame, target_path: str, keys, order, stream: str, batch_id: int) -> None:
+    """Upsert one micro-batch: its rows wait beside the table until ``_Merges`` merges them."""
+    add_pending(dedupe_batch(batch, list(keys), list(order)), target_path, stream, batch_id)
+
+
+class _Merges:
+    """The merges of the waiting batches of one drain."""
+
+    def __init__(self, spark: SparkSession, target_path: str, keys, order, partition_col: str):
+        self.table = spark, target_path, list(keys), list(order), partition_col
+        self.added, self.next = 0, FIRST_MERGE
+
+    def added_one(self) -> None:
+        self.added += 1
+        if self.added >= self.next:
+            merge_pending(*self.table)
+            self.next = 4 * self.added
+
+    def drain(self, start: Callable[[], StreamingQuery]) -> None:
+        """Run a query to its end; what it has stored is merged even if it fails."""
+        query = start()
+        try:
+            query.awaitTermination()
+        finally:
+            merge_pending(*self.table)
+
+
+def _stream_name(checkpoint_path: str) -> str:
+    """What tells the batches of a stream from those of others into the same table."""
+    return "s" + hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
 
 
 def without_resent(stream: DataFrame, event_col: str, within: str) -> DataFrame:
@@ -64,16 +99,17 @@ def incremental_merge(spark: SparkSession, source_path: str, schema: StructType,
     if resent_within is not None:
         stream = without_resent(stream, partition_col, resent_within)
 
+    merges, name = _Merges(spark, target_path, keys, order, partition_col), _stream_name(checkpoint_path)
+
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        # read three times (its first and last date, its dates, the merge) and scanned once
         checkpoint_root(spark)
-        _upsert_batch(batch.checkpoint(), target_path, keys, order, partition_col)
+        _upsert_batch(batch.checkpoint(), target_path, keys, order, name, batch_id)
+        merges.added_one()
 
-    query = (stream.writeStream.foreachBatch(merge_batch)
-                   .option("checkpointLocation", checkpoint_path)
-                   .trigger(availableNow=True)
-                   .start())
-    query.awaitTermination()
+    merges.drain(stream.writeStream.foreachBatch(merge_batch)
+                       .option("checkpointLocation", checkpoint_path)
+                       .trigger(availableNow=True)
+                       .start)
 
 
 def latest_state_stream(spark: SparkSession, source_path: str, schema: StructType, target_path: str,
@@ -107,13 +143,14 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
                     .agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in payload]), ordering).alias("__row"))
                     .select(*keys, *[F.col("__row").getField(c).alias(c) for c in payload]))
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        # read twice (its first and last date, then the merge): the state update must run once
-        checkpoint_root(spark)
-        _upsert_batch(batch.checkpoint(), target_path, keys, order, partition_col)
+    merges, name = _Merges(spark, target_path, keys, order, partition_col), _stream_name(checkpoint_path)
 
-    query = (latest.writeStream.outputMode("update").foreachBatch(upsert)
-                   .option("checkpointLocation", checkpoint_path)
-                   .trigger(availableNow=True)
-                   .start())
-    query.awaitTermination()
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        # read once, so the state update runs once
+        _upsert_batch(batch, target_path, keys, order, name, batch_id)
+        merges.added_one()
+
+    merges.drain(latest.writeStream.outputMode("update").foreachBatch(upsert)
+                       .option("checkpointLocation", checkpoint_path)
+                       .trigger(availableNow=True)
+                       .start)

@@ -93,3 +93,71 @@ def test_resent_rows_do_not_reach_the_merge(spark, tmp_path, monkeypatch):
     # the merge reads what was written of the batch, not its source
     assert all("ExistingRDD" in p and "parquet" not in p.lower() for p in plans)
     assert rows(fresh_read(spark, target).select(*models.DAILY_COLUMNS)) == rows(registry.daily_b(spark, SF_SMALL))
+
+
+def balance_files(spark, src, n):
+    """``n`` files, each with a newer balance of account ``a`` and a balance of an account of its own."""
+    schema = "account_id string, snapshot_date date, current long, _dlt_load_id string"
+    for i in range(n):
+        spark.sql("SELECT 'a' AS account_id, DATE '2024-01-01' AS snapshot_date, CAST({i} AS BIGINT) AS current, '{l}' AS _dlt_load_id "
+                  "UNION ALL SELECT 'k{i}', DATE '2024-01-0{d}', CAST({i} AS BIGINT), '{l}'".format(i=i, l=f"{i:03d}", d=1 + i % 3)) \
+            .coalesce(1).write.parquet(os.path.join(src, f"part{i:03d}"))
+    return spark.createDataFrame([], schema).schema
+
+
+def expected_balances(n):
+    return sorted([("a", "2024-01-01", n - 1)] + [(f"k{i}", f"2024-01-0{1 + i % 3}", i) for i in range(n)])
+
+
+def stored_balances(spark, target):
+    return sorted((r.account_id, str(r.snapshot_date), r.current) for r in fresh_read(spark, target).collect())
+
+
+def test_a_table_is_not_rewritten_for_each_batch(spark, tmp_path, monkeypatch):
+    from ledgerline.sources import sinks
+    from ledgerline.streaming.merge_stream import latest_state_stream
+    src, n, rewrites = str(tmp_path / "landed"), 18, []
+    schema = balance_files(spark, src, n)
+    overwrite = sinks.overwrite_partitions
+    monkeypatch.setattr(sinks, "overwrite_partitions", lambda *a, **k: (rewrites.append(a[1]), overwrite(*a, **k)))
+    for run in (incremental_merge, latest_state_stream):
+        target = str(tmp_path / run.__name__)
+        run(spark, src + "/*", schema, target, KEYS, [("_dlt_load_id", "desc")], "snapshot_date", target + "-ck", max_files_per_trigger=1)
+        assert rewrites.count(target) == 2            # after 16 batches and at the end
+        assert stored_balances(spark, target) == expected_balances(n)
+        assert not [b for s in os.listdir(target + "/_pending") for b in os.listdir(f"{target}/_pending/{s}") if not b.startswith(".")]
+
+
+def test_a_later_batch_wins_on_a_tie(spark, tmp_path):
+    src, target = str(tmp_path / "landed"), str(tmp_path / "daily")
+    schema = balance_files(spark, src, 1)
+    for i in (7, 5):
+        time.sleep(1.1)
+        spark.read.schema(schema).parquet(src + "/*").filter("account_id = 'k0'").withColumn("current", F.lit(i).cast("long")) \
+            .coalesce(1).write.parquet(os.path.join(src, f"again{i}"))
+    incremental_merge(spark, src + "/*", schema, target, KEYS, [("_dlt_load_id", "desc")], "snapshot_date", str(tmp_path / "ck"),
+                      max_files_per_trigger=1)
+    assert stored_balances(spark, target) == [("a", "2024-01-01", 0), ("k0", "2024-01-01", 5)]
+
+
+def test_stored_batches_reach_the_table_when_a_drain_fails(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from ledgerline.streaming import merge_stream
+    src, target = str(tmp_path / "landed"), str(tmp_path / "daily")
+    schema = balance_files(spark, src, 3)
+    upsert, go = merge_stream._upsert_batch, lambda: incremental_merge(
+        spark, src + "/*", schema, target, KEYS, [("_dlt_load_id", "desc")], "snapshot_date", str(tmp_path / "ck"), max_files_per_trigger=1)
+
+    def failing(batch, *args):
+        if args[-1] == 2:
+            raise RuntimeError("batch 2")
+        upsert(batch, *args)
+
+    monkeypatch.setattr(merge_stream, "_upsert_batch", failing)
+    with pytest.raises(Exception, match="batch 2"):
+        go()
+    assert len(stored_balances(spark, target)) == 3
+    monkeypatch.setattr(merge_stream, "_upsert_batch", upsert)
+    go()
+    assert stored_balances(spark, target) == expected_balances(3)
