@@ -52,6 +52,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def landed_bytes(spark: SparkSession, pattern: str) -> int:
+    """Bytes of the files in the folders that ``pattern`` names. No job."""
+    fs, p = _folder(spark, pattern)
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(p) or [])
+
+
 def _version_path(root: str, version: int) -> str:
     return f"{root.rstrip('/')}/version={int(version):012d}"
 

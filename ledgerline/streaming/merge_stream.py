@@ -15,8 +15,10 @@ can be dropped by state before the merge (``resent_within``).
 ``latest_state_stream`` (T2): a streaming aggregate keeps the latest row per key
 in the state store (``max_by`` over the version order) and emits changed keys
 in update mode; each micro-batch upserts them as above. State grows with the number of
-keys (a session that holds many sets the RocksDB state store, which spills, by
-``spark.sql.streaming.stateStore.providerClass``); ``state_delay`` bounds it
+keys. Unless the session names a ``spark.sql.streaming.stateStore.providerClass``, it is kept in
+RocksDB, which spills and writes only what a batch changes; it is dealt into as many
+partitions as the landed files call for, at most ``spark.sql.shuffle.partitions``, since each
+writes a file per batch. ``state_delay`` bounds it
 (event-day watermark) when very late loads may be dropped.
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +36,17 @@ from pyspark.sql.types import StructType
 from ledgerline.operators.latest import OrderTerm, _check_order
 from ledgerline.operators.merge import dedupe_batch
 from ledgerline.session import checkpoint_root
-from ledgerline.sources.sinks import add_pending, merge_pending
+from ledgerline.sources.sinks import add_pending, landed_bytes, merge_pending
 
 #: Batches that wait before they are merged for the first time.
 FIRST_MERGE = 16
+#: Landed bytes per partition of the state.
+STATE_BYTES = 64 << 20
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
 
 
 def _upsert_batch(batch: DataFrame, target_path: str, keys, order, stream: str, batch_id: int) -> None:
@@ -71,6 +81,26 @@ def _stream_name(checkpoint_path: str) -> str:
     return "s" + hashlib.sha256(checkpoint_path.encode()).hexdigest()[:16]
 
 
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    """Session settings for a query that is started inside (it keeps a copy), put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _state_settings(spark: SparkSession, source_path: str) -> dict[str, str]:
+    wanted = max(spark.sparkContext.defaultParallelism, -(-landed_bytes(spark, source_path) // STATE_BYTES))
+    settings = {"spark.sql.shuffle.partitions": str(min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    named = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    return settings | {k: v for k, v in ROCKSDB.items() if named is None and spark.conf.get(k, None) is None}
+
+
 def without_resent(stream: DataFrame, event_col: str, within: str) -> DataFrame:
     """``stream`` without rows that came before, all columns alike, with an event time of at most
     ``within`` ago. State holds 128 bits of hashes per row of that time and no more. As with any
@@ -150,7 +180,9 @@ def latest_state_stream(spark: SparkSession, source_path: str, schema: StructTyp
         _upsert_batch(batch, target_path, keys, order, name, batch_id)
         merges.added_one()
 
-    merges.drain(latest.writeStream.outputMode("update").foreachBatch(upsert)
-                       .option("checkpointLocation", checkpoint_path)
-                       .trigger(availableNow=True)
-                       .start)
+    with _settings(spark, _state_settings(spark, source_path)):
+        started = (latest.writeStream.outputMode("update").foreachBatch(upsert)
+                         .option("checkpointLocation", checkpoint_path)
+                         .trigger(availableNow=True)
+                         .start())
+    merges.drain(lambda: started)

@@ -161,3 +161,22 @@ def test_stored_batches_reach_the_table_when_a_drain_fails(spark, tmp_path, monk
     monkeypatch.setattr(merge_stream, "_upsert_batch", upsert)
     go()
     assert stored_balances(spark, target) == expected_balances(3)
+
+
+def test_state_lies_in_rocksdb_in_partitions_by_landed_bytes(spark, tmp_path):
+    from ledgerline.streaming.merge_stream import latest_state_stream
+    src, target, ck = str(tmp_path / "landed"), str(tmp_path / "daily"), tmp_path / "ck"
+    schema = balance_files(spark, src, 2)
+    shuffles = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(shuffles)
+    spark.conf.set(shuffles, "50")
+    try:
+        latest_state_stream(spark, src + "/*", schema, target, KEYS, [("_dlt_load_id", "desc")], "snapshot_date", str(ck))
+        assert spark.conf.get(shuffles) == "50"
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
+    finally:
+        spark.conf.set(shuffles, before)
+    settings = (ck / "offsets" / "0").read_text()
+    assert "RocksDBStateStoreProvider" in settings
+    assert f'"{shuffles}":"{spark.sparkContext.defaultParallelism}"' in settings
+    assert stored_balances(spark, target) == expected_balances(2)
