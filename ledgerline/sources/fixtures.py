@@ -16,9 +16,12 @@ row, so the DuckDB oracle in ``plans.oracle`` rebuilds the same rows with SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.latest import latest_per_key
 from ledgerline.sources.tables import read_table
 
 CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -73,6 +76,17 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey)
 
 
+def first_versions(j: DataFrame) -> DataFrame:
+    """Of customer ⋈ orders, each customer's row of the least load id."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in j.columns])
+    return j.groupBy("c_custkey").agg(F.min_by(whole, F.col("o_orderkey").cast("string")).alias("r")).select("r.*")
+
+
+def newest_versions(j: DataFrame) -> DataFrame:
+    """Of customer ⋈ orders, each customer's row of the greatest load id."""
+    return latest_per_key(j.withColumn("__load", F.col("o_orderkey").cast("string")), ["c_custkey"], [("__load", "desc")]).drop("__load")
+
+
 def _account_tree(k: Column, ck: Column, ts: Column, faults: bool) -> dict:
     """The account record as a tree of columns (dict = struct), in API field order."""
     acct_id = ck.cast("string")
@@ -155,13 +169,17 @@ def _flat(node, prefix: str = "", missing=None):
         yield (node if missing is None else F.when(missing, F.lit(None)).otherwise(node)).alias(prefix)
 
 
-def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load_date: bool = False) -> DataFrame:
+def api_records(spark: SparkSession, sf_dir: str, faults: bool = True, with_load_date: bool = False,
+                versions: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Nested account records (one per order), plus ``_dlt_load_id`` = order key text.
 
     ``faults`` injects records an API may send: ``_id`` '' or NULL, missing
     ``balance`` / ``connection`` / ``refreshed`` structs, unparseable refresh times.
+    ``versions`` picks the rows of customer ⋈ orders that records are built of.
     """
     j = customer_orders(spark, sf_dir)
+    if versions is not None:
+        j = versions(j)
     k, ck, ts = F.col("o_orderkey"), F.col("c_custkey"), F.col("o_orderdate")
     tree = _account_tree(k, ck, ts, faults)
     return j.select(

@@ -65,3 +65,28 @@ def test_daily_job_entry_point(spark, tmp_path):
     assert main(args) == 0
     assert main(args) == 0          # re-run of the same run number
     assert {r.account_id for r in model_frames(spark, out)["dim_loans"].collect()} == {"m1"}
+
+
+def test_versions_are_picked_before_records_are_built(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators.merge import dedupe_batch
+    from ledgerline.sources import fixtures
+    from ledgerline.sources.tables import SCHEMAS
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "one", 3, 10.0, "BUILDING"), (2, None, 4, -5.5, None), (2, None, 4, -5.5, None), (3, "three", None, None, "HOUSEHOLD")],
+                          SCHEMAS["customer"]).write.parquet(f"{d}/customer.parquet")
+    spark.sql("SELECT * FROM VALUES (9L, 1L, 'O', 1.5D, TIMESTAMP_NTZ'2024-01-01', '1-URGENT'), (10L, 1L, 'F', 2.5D, TIMESTAMP_NTZ'2024-01-02', NULL), "
+              "(100L, 2L, NULL, NULL, NULL, '5-LOW'), (20L, 2L, 'O', 7.5D, TIMESTAMP_NTZ'2024-01-03', '3-MEDIUM'), (20L, 2L, 'O', 7.5D, TIMESTAMP_NTZ'2024-01-03', '3-MEDIUM'), "
+              "(7L, 3L, 'F', 3.25D, TIMESTAMP_NTZ'2024-01-04', '2-HIGH'), (8L, NULL, 'F', 1D, NULL, NULL)"
+              " AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)").write.parquet(f"{d}/orders.parquet")
+    rec = fixtures.api_records(spark, d, faults=False)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rec.columns])
+    wanted = {"first": rec.groupBy("_id").agg(F.min_by(whole, "_dlt_load_id").alias("r")).select("r.*"),
+              "newest": dedupe_batch(rec, ["_id"], [("_dlt_load_id", "desc")])}
+    for name, pick in (("first", fixtures.first_versions), ("newest", fixtures.newest_versions)):
+        got = fixtures.api_records(spark, d, faults=False, versions=pick)
+        rows = lambda df: sorted(map(repr, df.collect()))
+        assert rows(got) == rows(wanted[name]) and got.count() == 3
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Bank ") < plan.index("min_by" if name == "first" else "row_number")     # built above the pick
